@@ -1,0 +1 @@
+"""Continuous forms of the event-table operators."""
