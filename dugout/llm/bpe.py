@@ -24,8 +24,11 @@ from dugout.llm.common import BoundedCache, map_columns
 #: Fixed values of the vocabulary's format: how normalized text is cut into words, and the mark of a word's end.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t\n\v\f\r \x85\p{Z}\p{L}\p{N}]+")
 WORD_END = "</w>"
-#: White space at which a text may be cut before anything else is looked at.
-BLANKS = str.maketrans("\n\t\r", "   ")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The runs between blanks, tabs and line ends, some of them empty: a text may be cut there before anything else."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +89,7 @@ class WordBPE:
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: str) -> bytes:
-        """The ids, as little-endian 32-bit integers, of a run of text without the blanks of ``BLANKS``."""
+        """The ids, as little-endian 32-bit integers, of a run of text without white space of ``pieces_of``."""
         # lower-casing goes letter by letter: a capital sigma at a word's end gets no final form
         text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
@@ -100,7 +103,7 @@ class WordBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.translate(BLANKS).split(" ")))
+        return b"".join(map(self.pieces.__getitem__, pieces_of(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()

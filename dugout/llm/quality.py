@@ -81,12 +81,11 @@ class Model:
 
 def count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The log ratio of each feature's smoothed share of the rows of label 1 and of label 0."""
-    shares = []
-    for label in (1, 0):
-        own = [r for r, y in zip(rows, labels, strict=True) if y == label]
-        counts = np.bincount(np.concatenate([*own, np.empty(0, np.int64)]), minlength=BUCKETS) + 1.0
-        shares.append(counts / counts.sum())
-    return np.log(shares[0] / shares[1])
+    counts = np.ones((2, BUCKETS))
+    for r, y in zip(rows, labels, strict=True):
+        counts[int(y == 1), r] += 1
+    shares = counts / counts.sum(axis=1, keepdims=True)
+    return np.log(shares[1] / shares[0])
 
 
 def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -95,14 +94,14 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     y = np.where(labels == 1, 1.0, -1.0)
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     bound = cost * 0.5 / np.maximum(share, 1e-9)
-    scale = [1 / max(np.sqrt((ratios[r] ** 2).sum()), 1e-9) for r in rows]
-    values = [ratios[r] * k for r, k in zip(rows, scale, strict=True)]
-    squares = np.array([(v * v).sum() + 1 for v in values])
+    scale = np.array([1 / max(np.sqrt((ratios[r] ** 2).sum()), 1e-9) for r in rows])
+    squares = np.array([(ratios[r] ** 2).sum() * k * k + 1 for r, k in zip(rows, scale, strict=True)])
     weights, alpha = np.zeros(BUCKETS), np.zeros(len(rows))
     shuffled = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in shuffled.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratios[r] * scale[i]
             gradient = y[i] * (weights[r] @ v + weights[-1]) - 1
             now = min(max(alpha[i] - gradient / squares[i], 0.0), bound[i])
             if step := (now - alpha[i]) * y[i]:
@@ -162,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     found = map_columns(source, make, T.StructType([T.StructField("f", T.ArrayType(T.LongType()))]), ["_text"], ["_id", "_label"])
     table = found.select("_id", "_label", F.col("f").cast("array<int>").alias("f")).dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    grams = [np.asarray(x.values, np.int64) for x in table.column("f")]
+    grams = [x.values.to_numpy() for x in table.column("f")]
     return fit(grams, np.array(table.column("_label").to_pylist(), np.int64))
 
 

@@ -8,6 +8,7 @@ stream is the ids of earlier shards, of earlier blocks and of earlier documents
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dugout.llm import simple8b
-from dugout.llm.bpe import BLANKS
+from dugout.llm.bpe import pieces_of
 from dugout.llm.common import col, shuffle_partitions
 
 #: A block is closed when it holds so many ids or documents.
@@ -44,7 +45,7 @@ class LibraryEncoder:
     its pieces one after the other. Texts that may hold special tokens go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -57,6 +58,16 @@ class LibraryEncoder:
             np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """As ``_ask``; a word of small ASCII letters is one run already, so the library's model can take it directly."""
+        tokenize = self.library.model.tokenize
+        plain = [w.isascii() and w.isalpha() for w in words]
+        others = iter(self._ask([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [
+            struct.pack(f"<{len(t)}I", *[x.id for x in t]) if p and (t := tokenize(w)) is not None else next(others)
+            for w, p in zip(words, plain, strict=True)
+        ]
+
     @staticmethod
     def _parts(piece: str) -> tuple[str, str]:
         """A word and the marks behind it, where the tokenizer would part them anyway."""
@@ -67,17 +78,23 @@ class LibraryEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
-        if len(self.pieces) > self.cached or len(self.words) > self.cached:
-            self.pieces, self.words = {"": b""}, {"": b""}
+        if len(self.pieces) > self.cached:
+            self.pieces = {"": b""}
+        if len(self.words) > self.cached:
+            self.words = {"": b""}
         pieces, words = self.pieces, self.words
         whole = {i for i, t in enumerate(texts) if "<|" in t}
-        split = [[] if i in whole else t.translate(BLANKS).split(" ") for i, t in enumerate(texts)]
-        if new := set(chain.from_iterable(split)) - pieces.keys():
+        split = [[] if i in whole else pieces_of(t) for i, t in enumerate(texts)]
+        found = [list(map(pieces.get, s)) for s in split]
+        partial = [i for i, f in enumerate(found) if None in f]
+        if new := {p for i in partial for p, ids in zip(split[i], found[i], strict=True) if ids is None}:
             parts = {p: self._parts(p) for p in new}
-            unknown = list(set(chain.from_iterable(parts.values())) - words.keys())
-            words.update(zip(unknown, self._ask(unknown), strict=True))
+            unknown = [w for w in set(chain.from_iterable(parts.values())) if w not in words]
+            words.update(zip(unknown, self._ask_words(unknown), strict=True))
             pieces.update((p, words[a] + words[b]) for p, (a, b) in parts.items())
-        out = [b"".join(map(pieces.__getitem__, s)) for s in split]
+            for i in partial:
+                found[i] = [pieces[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
+        out = list(map(b"".join, found))
         for i in whole:
             out[i] = self._ask([texts[i]])[0]
         return out
