@@ -24,6 +24,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by number, so that no name of an operator's own clashes; and the new names by the old."""
+    names = {c: f"n{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[col(c).alias(n) for c, n in names.items()]), names
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``numbered`` under their own names again; others are left out."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def map_columns(
     df: DataFrame,
     make: Callable[[], Callable[..., Sequence]],

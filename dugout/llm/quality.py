@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import BoundedCache, col, map_columns
+from dugout.llm.common import BoundedCache, col, map_columns, numbered, renamed
 
 #: Buckets of the hashed n-grams. The last feature is the constant one.
 BUCKETS = 1 << 18
@@ -184,3 +184,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         return work
 
     return map_columns(docs, make, SCORED, [text], keep)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least the threshold, with all columns as they were, whatever their names."""
+    held, names = numbered(docs)
+    return renamed(score(held, model, names[text], threshold=threshold).filter("predicted = 1"), names)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import col, map_columns, materialize, shuffle_partitions
+from dugout.llm.common import col, map_columns, materialize, numbered, renamed, shuffle_partitions
 from dugout.llm.components import least_reachable
 
 BITS, SEED = 64, 42
@@ -160,9 +160,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` with one document of each component: the one of the least id, once. Rows with a null id can't be
-    named, and all stay."""
-    found = near_duplicates(docs, id_col, text, radius, words)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(col(id_col).isNull()))
+    """``docs`` with one document of each component, the one of the least id, and all columns as they were.
+
+    Of repeated rows one stays. Different texts under one id that is a component's least all stay, and so do rows
+    with a null id, which can't be named: no text is lost that isn't a near copy of one that stays.
+    """
+    held, names = numbered(docs)
+    key = names[id_col]
+    found = near_duplicates(held, key, names[text], radius, words)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    named = held.join(kept, F.col(key).cast("long") == F.col("kept"), "left_semi").dropDuplicates([key, names[text]])
+    return renamed(named.unionByName(held.filter(F.col(key).isNull())), names)
