@@ -31,6 +31,8 @@ TURN = re.compile(
 )
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
+#: Ties of the turn are dealt out by so many letters; the driver gets a sample of what rows are dealt out by.
+DEALT_CHARS = 64
 PARTS = "conv_id long, part long, n_turns long, formatted string, loss_start array<int>, loss_end array<int>"
 
 
@@ -121,7 +123,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             col("conv_id").cast("long").alias("conv_id"), col("turn").cast("long").alias("turn"),
             col("role").cast("string").alias("role"), col("text").cast("string").alias("text"),
         )
-        .repartitionByRange(shuffle_partitions(turns.sparkSession), *order)
+        .repartitionByRange(shuffle_partitions(turns.sparkSession), *order[:2], *[F.substring(c, 1, DEALT_CHARS).asc_nulls_first() for c in ("role", "text")])
         .sortWithinPartitions(*order)
         .select("conv_id", "role", "text")
     )

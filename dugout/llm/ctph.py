@@ -135,6 +135,8 @@ REPORT_DDL = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
+#: Ties of the id are dealt out by so many letters of the text; the driver gets a sample of what rows are dealt out by.
+DEALT_CHARS = 64
 #: With the partition that a row comes from, what it is (a report, or a partition's first or last document) and a text.
 TAGGED = pa.schema([*REPORT, ("part", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
 
@@ -164,7 +166,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     source = (
         docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
-        .repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), order[0], F.substring("text", 1, DEALT_CHARS).asc())
         .sortWithinPartitions(*order)
     )
 
