@@ -8,19 +8,18 @@ stream is the ids of earlier shards, of earlier blocks and of earlier documents
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dugout.llm import simple8b
-from dugout.llm.bpe import pieces_of
 from dugout.llm.common import col, shuffle_partitions
 
 #: A block is closed when it holds so many ids or documents.
@@ -38,6 +37,90 @@ BLOCKS_DDL = (
 )
 
 
+_BLANKS = np.arange(256, dtype=np.uint8)
+_BLANKS[[9, 10, 13]] = 32
+#: Texts are encoded together up to so many bytes.
+TOGETHER = 1 << 23
+
+
+def _layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an array of large strings without nulls."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, "<i8")[texts.offset : texts.offset + len(texts) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), at
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _pieces(texts: pa.Array) -> pa.Array:
+    """A list for each text of its runs between blanks, tabs and line ends, some of them empty: a text may be cut there
+    before anything else."""
+    data, at = _layout(texts)
+    return pc.split_pattern(_strings(_BLANKS[data[at[0] : at[-1]]], at - at[0]), " ")
+
+
+def _halves(pieces: pa.Array) -> pa.Array:
+    """Of every piece two strings: its word, and the marks behind it where the tokenizer would part them anyway."""
+    words = pc.utf8_rtrim(pieces, characters=MARKS)
+    parted = pc.match_substring_regex(words, r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False)
+    data, at = _layout(pieces)
+    cut = at[:-1] + np.where(parted, pc.binary_length(words).to_numpy(), np.diff(at))
+    halves = _strings(data, np.append(np.stack([at[:-1], cut], axis=1).ravel(), at[-1]))
+    return pc.if_else(pc.string_is_ascii(halves), pc.ascii_lower(halves), halves)
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    source = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    source += np.arange(len(source))
+    return flat[source]
+
+
+class Memo:
+    """Ids by text for whole arrays at a time. When it is full, what wasn't asked for since the last time goes."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._set(pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64))
+
+    def _set(self, keys: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.keys, self.ids, self.lengths, self.starts = keys, ids, lengths, np.cumsum(lengths) - lengths
+        self.asked = np.zeros(len(keys), bool)
+
+    def find(self, texts: pa.Array, learn) -> np.ndarray:
+        """The places of all texts; ``learn`` gets the distinct new ones and returns their ids and how many each has."""
+        if len(self.keys) > self.limit:
+            kept = self.asked if 2 * self.asked.sum() < self.limit else np.zeros(len(self.keys), bool)
+            self._set(self.keys.filter(pa.array(kept)), *self[np.flatnonzero(kept)])
+        coded = texts.dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.keys), -1).to_numpy()
+        new = at < 0
+        self.asked[at[~new]] = True
+        if new.any():
+            asked, missing = self.asked, coded.dictionary.filter(pa.array(new))
+            ids, lengths = learn(missing)
+            at = np.where(new, len(self.keys) - 1 + np.cumsum(new), at)
+            self._set(pa.concat_arrays([self.keys, missing]), np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths]))
+            self.asked[: len(asked)] = asked
+        return at[coded.indices.to_numpy()]
+
+    def __getitem__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts at these places, one after the other, and how many each has."""
+        return _gather(self.ids, self.starts[at], self.lengths[at]), self.lengths[at]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``TOGETHER`` bytes at most, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = before = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+        yield a, b
+        a, before = b, int(ends[b - 1])
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library, asked once for each distinct word while it is remembered.
 
@@ -45,58 +128,47 @@ class LibraryEncoder:
     its pieces one after the other. Texts that may hold special tokens go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 900_000):
+    def __init__(self, path: str, cached: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cached, self.pieces, self.words = cached, {"": b""}, {"": b""}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)
-        ]
-
-    def _ask_words(self, words: list[str]) -> list[bytes]:
-        """As ``_ask``; a word of small ASCII letters is one run already, so the library's model can take it directly."""
-        tokenize = self.library.model.tokenize
-        plain = [w.isascii() and w.isalpha() for w in words]
-        others = iter(self._ask([w for w, p in zip(words, plain, strict=True) if not p]))
-        return [
-            struct.pack(f"<{len(t)}I", *[x.id for x in t]) if p and (t := tokenize(w)) is not None else next(others)
-            for w, p in zip(words, plain, strict=True)
-        ]
-
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
-        """A word and the marks behind it, where the tokenizer would part them anyway."""
-        word = piece.rstrip(MARKS)
-        if not word or len(word) == len(piece) or not word[-1].isalnum():
-            word = piece
-        return (word.lower() if word.isascii() else word), piece[len(word) :]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        if len(self.pieces) > self.cached:
-            self.pieces = {"": b""}
-        if len(self.words) > self.cached:
-            self.words = {"": b""}
-        pieces, words = self.pieces, self.words
-        whole = {i for i, t in enumerate(texts) if "<|" in t}
-        split = [[] if i in whole else pieces_of(t) for i, t in enumerate(texts)]
-        found = [list(map(pieces.get, s)) for s in split]
-        partial = [i for i, f in enumerate(found) if None in f]
-        if new := {p for i in partial for p, ids in zip(split[i], found[i], strict=True) if ids is None}:
-            parts = {p: self._parts(p) for p in new}
-            unknown = [w for w in set(chain.from_iterable(parts.values())) if w not in words]
-            words.update(zip(unknown, self._ask_words(unknown), strict=True))
-            pieces.update((p, words[a] + words[b]) for p, (a, b) in parts.items())
-            for i in partial:
-                found[i] = [pieces[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
-        out = list(map(b"".join, found))
-        for i in whole:
-            out[i] = self._ask([texts[i]])[0]
+        self.pieces, self.words = Memo(cached), Memo(cached)
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A word of small ASCII letters is one run already, so the library's model can take it directly."""
+        tokenize, texts = self.library.model.tokenize, words.to_pylist()
+        coded = [[x.id for x in tokenize(w)] if w.isascii() and w.isalpha() and w.islower() else None for w in texts]
+        others = [i for i, ids in enumerate(coded) if ids is None]
+        for i, ids in zip(others, self._ask([texts[i] for i in others]), strict=True):
+            coded[i] = ids
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), "<u4", int(lengths.sum())), lengths
+
+    def _ask_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = self.words.find(_halves(pieces), self._ask_words)
+        ids, lengths = self.words[at]
+        return ids, lengths.reshape(-1, 2).sum(axis=1)
+
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (none of a null), as little-endian 32-bit integers.
+
+        All pieces of all texts are looked up at once, the unknown ones are learned, and the ids are gathered by
+        cumulative offsets.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        special = pc.match_substring(texts, "<|")
+        lists = _pieces(pc.if_else(special, "", texts))
+        ids, lengths = self.pieces[self.pieces.find(lists.flatten(), self._ask_pieces)]
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
+        data = ids.tobytes()
+        out = [data[4 * a : 4 * b] for a, b in pairwise(ends.tolist())]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self._ask([texts[i].as_py()])[0], "<u4").tobytes()
         return out
 
 
@@ -134,9 +206,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                for i, data in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                for i, data in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids.append(i)
                     coded.append(data + end)
                     size += len(data) // 4 + 1
