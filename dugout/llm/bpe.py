@@ -31,6 +31,32 @@ def pieces_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def _code_points(ranges: str) -> list[int]:
+    """``a-b`` and single ones, in hexadecimal."""
+    ends = (r.split("-") for r in ranges.split())
+    return [c for r in ends for c in range(int(r[0], 16), int(r[-1], 16) + 1)]
+
+
+#: Letters and digits of newer Unicode versions than the vocabulary's library knows; to it they are marks.
+NEWER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 "
+    "10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 "
+    "187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 "
+    "1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e "
+    "2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+_AS_MARK = {c: "\ue000" for c in _code_points(NEWER)}
+#: Capitals that the library knows and Python's own tables may not.
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {c: c + 0x20 for c in _code_points("10d50-10d65")} | {c: c + 0x1B for c in _code_points("16ea0-16eb8")}
+
+
+def words_of(text: str) -> list[str]:
+    """The words of normalized text."""
+    shape = text if text.isascii() else text.translate(_AS_MARK)
+    return WORDS.findall(text) if shape == text else [text[slice(*m.span())] for m in WORDS.finditer(shape)]
+
+
 @lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself if it is visible Latin-1, else the next letter from U+0100 on."""
@@ -91,8 +117,8 @@ class WordBPE:
     def encode_piece(self, piece: str) -> bytes:
         """The ids, as little-endian 32-bit integers, of a run of text without white space of ``pieces_of``."""
         # lower-casing goes letter by letter: a capital sigma at a word's end gets no final form
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return b"".join(map(self.words.__getitem__, WORDS.findall(text)))
+        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower().translate(_SMALL)
+        return b"".join(map(self.words.__getitem__, words_of(text)))
 
     def encode_bytes(self, text: str) -> bytes:
         if self.cut is not None and "<|" in text:

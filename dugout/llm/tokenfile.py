@@ -64,7 +64,9 @@ def _pieces(texts: pa.Array) -> pa.Array:
 def _halves(pieces: pa.Array) -> pa.Array:
     """Of every piece two strings: its word, and the marks behind it where the tokenizer would part them anyway."""
     words = pc.utf8_rtrim(pieces, characters=MARKS)
-    parted = pc.match_substring_regex(words, r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False)
+    # letters of these ranges may become a letter and a mark, which the marks behind would join
+    parted = pc.and_not(pc.match_substring_regex(words, r"[\p{L}\p{N}]$"), pc.match_substring_regex(words, r"[\x{130}\x{900}-\x{fff}\x{fb00}-\x{fb4f}]$"))
+    parted = parted.to_numpy(zero_copy_only=False)
     data, at = _layout(pieces)
     cut = at[:-1] + np.where(parted, pc.binary_length(words).to_numpy(), np.diff(at))
     halves = _strings(data, np.append(np.stack([at[:-1], cut], axis=1).ravel(), at[-1]))
