@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from dugout.functions.columns import bool_or_null, compact_date, id_or_null, int_or_null, slash_date, text_or_null, us_date
 from dugout.schemas import TABLES
 
-_FILE = F.col("_metadata.file_path")
+_FILE = "_metadata.file_path"
 _LINE = "_line"
 
 
@@ -47,7 +47,7 @@ def read_reference(spark: SparkSession, root: str, table: str) -> DataFrame:
 def read_rosters(spark: SparkSession, root: str) -> DataFrame:
     """All rosters; the year is the folder's, fields are trimmed, rows without a player are left out."""
     rows = read_rows(spark, f"{root}/seasons/[0-9][0-9][0-9][0-9]/*.[rR][oO][sS]", 7)
-    year = F.regexp_extract(_FILE, r"seasons/(\d{4})/", 1).cast("int")
+    year = F.regexp_extract(F.col(_FILE), r"seasons/(\d{4})/", 1).cast("int")
     cells = {"player_id": 0, "last_name": 1, "first_name": 2, "bats": 3, "throws": 4, "team": 5, "position": 6}
     named = rows.select(year.alias("year"), *[text_or_null(f"c{i}").alias(n) for n, i in cells.items()])
     return named.filter("player_id is not null").select(*TABLES["roster"].names)
@@ -70,7 +70,7 @@ LEAST_LOG_FIELDS = 93
 
 def read_game_logs(spark: SparkSession, root: str) -> DataFrame:
     """One row per game of all game logs: of a game in several lines, the first by file, then place, counts."""
-    lines = spark.read.text(f"{root}/gamelog/*.[tT][xX][tT]").select(F.trim("value").alias("value"), _FILE.alias("file"), F.monotonically_increasing_id().alias("place"))
+    lines = spark.read.text(f"{root}/gamelog/*.[tT][xX][tT]").select(F.trim("value").alias("value"), F.col(_FILE).alias("file"), F.monotonically_increasing_id().alias("place"))
     cells = F.transform(F.split("value", ","), lambda c: F.regexp_replace(c, '^"(.*)"$', "$1"))
     rows = lines.filter("value <> ''").select("file", "place", cells.alias("f")).filter(F.size("f") >= LEAST_LOG_FIELDS)
     cell = lambda i: F.get("f", F.lit(i))
@@ -128,7 +128,7 @@ def read_records(spark: SparkSession, root: str, seasons: Sequence[int] | None =
     """Records of all event files: game_id, seq (place behind the game's ``id`` line, blank lines not counted), type and
     fields f1 to f6. ``seasons`` prunes folders before anything is read."""
     years = "[0-9][0-9][0-9][0-9]" if seasons is None else "{" + ",".join(map(str, seasons)) + "}"
-    files = spark.read.text(f"{root}/seasons/{years}/*.[eE][vV][nNaAeE]", wholetext=True).select(_FILE.alias("file"), "value")
+    files = spark.read.text(f"{root}/seasons/{years}/*.[eE][vV][nNaAeE]", wholetext=True).select(F.col(_FILE).alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n"))).filter("col <> ''")
     cells = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(7)])
     parsed = lines.select("file", "pos", F.from_csv("col", cells.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"quote": '"', "escape": '"'}).alias("r")).select("file", "pos", "r.*")
