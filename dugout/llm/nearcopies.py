@@ -1,0 +1,147 @@
+"""Near copies by MinHash bands, each candidate pair checked by the exact Jaccard similarity of its shingles.
+
+A pair at similarity s shares a band of ``ROWS`` minima with probability s^ROWS, so one of ``BANDS`` bands with
+1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, and more above. Pairs that share a band are compared in a join, first each
+member of a band's bucket with the bucket's least, then all that the links found so far leave in different components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from dugout.llm.common import col, map_columns, materialize, numbered, renamed
+from dugout.llm.components import least_reachable
+from dugout.llm.simhash import SEED, shingle_hashes
+
+WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 24, 6
+_TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+_TIMES |= np.uint64(1)
+#: Shingles hashed at once.
+TOGETHER = 4096
+
+
+def parts_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def node(parts: list[bytes]) -> bytes:
+    """What texts of the same words in the same order share."""
+    return xxhash.xxh3_128_digest(b" ".join(parts))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One key for each band; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), TOGETHER):
+        least = np.minimum(least, (hashes[None, k : k + TOGETHER] * _TIMES + _PLUS).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two arrays of distinct hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _distinct(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(parts_of(text), words))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs a, b whose sets are at least so similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            near = [similarity(*(np.frombuffer(v.as_py(), np.uint64) for v in p)) >= similar for p in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    # sets of very unequal sizes can't be similar
+    joined = (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        .filter(F.least(F.length("x"), F.length("y")) >= F.lit(similar) * F.greatest(F.length("x"), F.length("y")))
+    )
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, ``node`` and component_id, the least id reachable by links.
+
+    Documents are linked where the Jaccard similarity of their distinct shingles is ``similar`` or more and they share a
+    band. Texts of the same words are taken as one until the end, those without words too. Null ids are no component's
+    name. Repeated rows are all returned. Other columns are left out.
+    """
+    source = docs.select(col(id_col).cast("long").alias("doc_id"), col(text).alias("text"))
+
+    def make():
+        def work(column: pa.Array):
+            parts = [parts_of(t.as_py() or "") for t in column]
+            return [[node(p) for p in parts], [bands(np.unique(shingle_hashes(p, words))) for p in parts]]
+
+        return work
+
+    marks = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    prints = materialize(map_columns(source, make, marks, ["text"], ["doc_id"]), "bands")
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    own = prints.select("node", F.posexplode("bands").alias("t", "key")).distinct()
+    # a bucket's least node travels, not its members
+    heads = own.groupBy("t", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("t", "key", "head")
+    held = materialize(own.join(heads, ["t", "key"]), "buckets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+        def make():
+            def work(column: pa.Array):
+                texts = [t.as_py() or "" for t in column]
+                return [[node(parts_of(t)) for t in texts], [_distinct(t, words).tobytes() for t in texts]]
+
+            return work
+
+        kinds = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("set", T.BinaryType())])
+        made = map_columns(source, make, kinds, ["text"], [])
+        return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    first = held.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    sets = materialize(sets_of(first), "sets")
+    links = materialize(_verified(first, sets, similar), "near-links")
+    roots = least_reachable(links, tag="near-roots")
+    # buckets that the links leave in several components: all pairs across these, but those already compared
+    placed = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("t", "key")
+    open_ = materialize(placed.join(split, ["t", "key"], "left_semi").select("t", "key", "node", "root"), "open")
+    other = open_.select("t", "key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    across = open_.withColumnRenamed("node", "a").join(other, ["t", "key"]).filter("a < b and root <> root_b").select("a", "b").distinct()
+    across = materialize(across.join(first, ["a", "b"], "left_anti"), "across")
+    links = links.unionByName(_verified(across, sets, similar))
+    roots = least_reachable(links, tag="near-roots")
+    # every text's component by its least node, then by its least document
+    member = least.join(roots.withColumnRenamed("node", "n").withColumnRenamed("root", "r"), F.col("node") == F.col("n"), "left")
+    member = member.select("node", "first_id", F.coalesce("r", "node").alias("root"))
+    named = member.join(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each component, the one of the least id, and all columns as they were.
+
+    Of repeated rows one stays. Different texts under one id that is a component's least all stay, and so do rows
+    with a null id, which can't be named: no text is lost that isn't linked to one that stays.
+    """
+    held, names = numbered(docs)
+    key = names[id_col]
+    found = near_copies(held, key, names[text], similar, words)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    named = held.join(kept, F.col(key).cast("long") == F.col("kept"), "left_semi").dropDuplicates([key, names[text]])
+    return renamed(named.unionByName(held.filter(F.col(key).isNull())), names)

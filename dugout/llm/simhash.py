@@ -24,6 +24,18 @@ BITS, SEED = 64, 42
 WORDS, RADIUS = 4, 4
 
 
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """The hash of every shingle in order, repeats included; none without words."""
+    if not parts:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    last = ends[words - 1 :].tolist() or [len(whole)]
+    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(whole[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64)
+
+
 def simhash(text: str, words: int = WORDS) -> int:
     """The fingerprint of a text's shingles, unsigned: a bit is 1 if it is set in over half of their hashes.
 
@@ -33,12 +45,7 @@ def simhash(text: str, words: int = WORDS) -> int:
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return 0
-    whole = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    last = ends[words - 1 :].tolist() or [len(whole)]
-    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64)
+    hashes = shingle_hashes(parts, words)
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         octets = hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
