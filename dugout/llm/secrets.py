@@ -30,8 +30,13 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
-LONG = 24
-TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LONG},}}")
+LONG = 16
+#: A run of the encodings' characters with its padding: '=' stands only at the end of a value, elsewhere it parts a name from it.
+TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{LONG},}}(?:={{1,6}}(?![A-Za-z0-9+/_=-]))?")
+#: Where a run that no encoding holds may be parted: at the signs of the one, of the other, or of both.
+PARTS = [re.compile(p) for p in (r"[^_-]+", r"[^+/]+", r"[^+/_-]+")]
+#: Of parts that overlap, the longest with a p-value of at least so much is taken: a value isn't parted at its own signs.
+DOUBTFUL = 0.05
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: The encodings a token may be in, the smallest alphabet first.
 ALPHABETS = {
@@ -45,8 +50,9 @@ ALPHABETS = {
     "base64url": LOWER.upper() + LOWER + DIGITS + "-_",
 }
 _INDEX = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
-#: Lower ends of the ranges of lengths that have a cut of their own.
-STRATA = (24, 32, 48, 64, 128)
+#: Lower ends of the ranges of lengths that have a cut of their own, each twice: for tokens with digits and without.
+STRATA = (16, 24, 32, 48, 64, 128)
+N_STRATA = 2 * len(STRATA)
 BINS = 200
 
 SPANS = T.ArrayType(
@@ -68,11 +74,17 @@ def _normal_tail(z: float) -> float:
 
 
 def randomness(token: str) -> float:
-    """The combined p-value of the battery for the token being uniformly random; 0 if it is in no known encoding."""
+    """The combined p-value of the battery for the token being uniformly random; 0 if it is in no known encoding.
+
+    Letters of one case without a digit count as words, with 0: of random values of ``LONG`` characters, 4 in a hundred in
+    base32 and less than 1 in the other encodings look so.
+    """
     token = token.rstrip("=")
     name = encoding(token)
     if name is None or len(token) < 8:
         return 0.0
+    if token in (token.lower(), token.upper()) and not any(c in DIGITS for c in token):
+        return 0.0
     index, k, n = _INDEX[name], len(_INDEX[name]), len(token)
     x = np.fromiter(map(index.__getitem__, token), np.int64, n)
     bins = min(8, k)
@@ -97,17 +109,34 @@ def randomness(token: str) -> float:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, float]]:
-    """Start, end and p-value of every long token with a digit and a letter."""
+    """Start, end and p-value of every long token but numbers.
+
+    A run that mixes the signs of base64 and base64url is in no encoding: of its parts, the longest that may
+    be random and then those of the greatest p-values, as far as they don't overlap.
+    """
     if len(text) < LONG or max(map(len, text.split()), default=0) < LONG:
         return
     for m in TOKEN.finditer(text):
         token = m[0]
-        if not token.isdigit() and any(c in DIGITS for c in token):
-            yield m.start(), m.end(), randomness(token)
-
-
-def stratum(length: int) -> int:
-    return sum(length >= least for least in STRATA) - 1
+        if not (("+" in token or "/" in token) and ("-" in token or "_" in token)):
+            if not token.rstrip("=").isdigit():
+                yield m.start(), m.end(), randomness(token)
+            continue
+        spans = {(x.start(), x.end()) for parts in PARTS for x in parts.finditer(token) if len(x[0].rstrip("=")) >= LONG}
+        tested = [(randomness(token[a:b]), b - a, a, b) for a, b in spans if not token[a:b].rstrip("=").isdigit()]
+        chosen: list[tuple[int, int, float]] = []
+        for p, _, a, b in sorted(tested, key=lambda t: (t[0] < DOUBTFUL, -t[1] if t[0] >= DOUBTFUL else 0, -t[0], -t[1], t[2])):
+            if all(b <= x or y <= a for x, y, _ in chosen):
+                chosen.append((a, b, p))
+        for a, b, p in sorted(chosen):
+            yield m.start() + a, m.start() + b, p
+
+
+def stratum(token: str) -> int:
+    """The number of the token's range of lengths, without its padding; tokens without a digit come behind all others."""
+    token = token.rstrip("=")
+    bare = not any(c in DIGITS for c in token)
+    return sum(len(token) >= least for least in STRATA) - 1 + len(STRATA) * bare
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -134,7 +163,7 @@ def scan_text(text: str, cuts: Mapping[int, float]) -> list[tuple[int, int, int,
     base = base_spans(text)
     found = [(a, kind, b, None) for a, kind, b in base]
     for a, b, p in candidates(text):
-        if p > cuts.get(stratum(b - a), 1.0) and not any(x < b and a < y for x, _, y in base):
+        if p > cuts.get(stratum(text[a:b]), 1.0) and not any(x < b and a < y for x, _, y in base):
             found.append((a, 3, b, p))
     return sorted(found, key=lambda s: s[:3])
 
@@ -157,14 +186,15 @@ def cut_by_discovery(counts: np.ndarray, rate: float) -> float:
 
 def learn_cuts(docs: DataFrame, text: str = "text", rate: float = 0.05) -> dict[int, float]:
     """The cut of each range of lengths, from every long token of the corpus. Only counts by range and bin, a
-    table of at most ``len(STRATA) * BINS`` rows, reach the driver."""
+    table of at most ``N_STRATA * BINS`` rows, reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(STRATA), BINS), np.int64)
+        totals = np.zeros((N_STRATA, BINS), np.int64)
         for batch in batches:
             for value in batch.column(0):
-                for a, b, p in candidates(value.as_py() or ""):
-                    totals[stratum(b - a), min(BINS - 1, int(p * BINS))] += 1
+                text = value.as_py() or ""
+                for a, b, p in candidates(text):
+                    totals[stratum(text[a:b]), min(BINS - 1, int(p * BINS))] += 1
         s, j = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays(
             [pa.array(s, pa.int32()), pa.array(j, pa.int32()), pa.array(totals[s, j], pa.int64())], names=["s", "j", "n"]
@@ -173,10 +203,10 @@ def learn_cuts(docs: DataFrame, text: str = "text", rate: float = 0.05) -> dict[
     rows = (
         docs.select(col(text).alias("text")).mapInArrow(count, "s int, j int, n long").groupBy("s", "j").agg(F.sum("n").alias("n"))
     ).collect()
-    tables = np.zeros((len(STRATA), BINS), np.int64)
+    tables = np.zeros((N_STRATA, BINS), np.int64)
     for r in rows:
         tables[r["s"], r["j"]] = r["n"]
-    return {s: cut_by_discovery(tables[s], rate) for s in range(len(STRATA)) if tables[s].any()}
+    return {s: cut_by_discovery(tables[s], rate) for s in range(N_STRATA) if tables[s].any()}
 
 
 def find_secrets(
