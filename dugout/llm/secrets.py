@@ -15,6 +15,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,24 +186,25 @@ def cut_by_discovery(counts: np.ndarray, rate: float) -> float:
 
 
 def learn_cuts(docs: DataFrame, text: str = "text", rate: float = 0.05) -> dict[int, float]:
-    """The cut of each range of lengths, from every long token of the corpus. Only counts by range and bin, a
-    table of at most ``N_STRATA * BINS`` rows, reach the driver."""
+    """The cut of each range of lengths, from every distinct long token of the corpus: one that is copied counts once.
+    Only counts by range and bin, a table of at most ``N_STRATA * BINS`` rows, reach the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((N_STRATA, BINS), np.int64)
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = set()
             for value in batch.column(0):
                 text = value.as_py() or ""
                 for a, b, p in candidates(text):
-                    totals[stratum(text[a:b]), min(BINS - 1, int(p * BINS))] += 1
-        s, j = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(s, pa.int32()), pa.array(j, pa.int32()), pa.array(totals[s, j], pa.int64())], names=["s", "j", "n"]
-        )
-
-    rows = (
-        docs.select(col(text).alias("text")).mapInArrow(count, "s int, j int, n long").groupBy("s", "j").agg(F.sum("n").alias("n"))
-    ).collect()
+                    # padding isn't part of what is tested
+                    token = text[a:b].rstrip("=")
+                    found.add((stratum(token), xxhash.xxh3_64_intdigest(token) - (1 << 63), min(BINS - 1, int(p * BINS))))
+            s, h, j = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s, pa.int32()), pa.array(h, pa.int64()), pa.array(j, pa.int32())], names=["s", "h", "j"]
+            )
+
+    tokens = docs.select(col(text).alias("text")).mapInArrow(test, "s int, h long, j int").distinct()
+    rows = tokens.groupBy("s", "j").agg(F.count("*").alias("n")).collect()
     tables = np.zeros((N_STRATA, BINS), np.int64)
     for r in rows:
         tables[r["s"], r["j"]] = r["n"]

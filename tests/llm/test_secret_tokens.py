@@ -48,3 +48,17 @@ def test_values_without_digits():
 def test_short_values(length):
     value = drawn(np.random.default_rng(24), "base62", length, lambda t: any(c.isdigit() for c in t))
     assert found(f"x {value} y") == ([value] if length >= 16 else [])
+
+
+def test_cuts_count_distinct_tokens(spark):
+    rng = np.random.default_rng(25)
+    letters = list(secrets.ALPHABETS["base62"])
+    true = ["1" + "".join(rng.choice(letters, 39)) for _ in range(600)]
+    copied = next(t for t in true if 0.28 < secrets.randomness(t) < 0.32)
+    high = next(t for t in true if secrets.randomness(t) > 0.9)
+    words = [f"aaaabbbbccccdddd{k}aaaabbbbccccdddd" for k in range(300)]
+    docs = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    once = secrets.learn_cuts(docs(true + words))
+    for token in (copied, high):
+        assert secrets.learn_cuts(docs(true + words + [f"{token} and {token}"] * 3000)) == once
+    assert max(once.values()) < 0.3
