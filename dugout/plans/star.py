@@ -436,16 +436,26 @@ def audit_counts(spark, d):
 @query("""SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n_lines, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey), '') AS parts
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY ALL""")
 def nested_game_detail(spark, d):
+    return nested_detail(table(spark, d, "orders").filter("o_orderkey < 2000"), table(spark, d, "lineitem"))
+
+
+def nested_detail(orders, lineitem):
+    """Each order with its lines."""
     entry = F.struct("l_linenumber", "l_partkey")
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(entry)).alias("lines"))
+    lines = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(entry)).alias("lines"))
     # an order holds a handful of lines: the nested value is bounded by the data model
-    joined = table(spark, d, "orders").filter("o_orderkey < 2000").join(lines, "o_orderkey", "left")
-    return joined.select(
+    return orders.join(lines, "o_orderkey", "left").select(
         "o_orderkey", "o_orderstatus", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.array_join(F.transform("lines", lambda x: x["l_partkey"].cast("string")), ","), F.lit("")).alias("parts"),
     )
 
 
+@query()
+def nested_order_detail(spark, d):
+    """``nested_game_detail`` over all orders."""
+    return nested_detail(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
 @query("""SELECT t.k AS o_orderkey, t.day AS logged, CAST(o_orderdate AS DATE) AS actual, o_orderkey IS NULL OR CAST(o_orderdate AS DATE) <> t.day AS bad
 FROM (SELECT unnest([1, 2, 3, 100, -5]) AS k, unnest([DATE '1996-01-02', DATE '1996-12-01', DATE '1993-10-14', DATE '1998-02-28', DATE '2000-01-01']) AS day) t LEFT JOIN orders ON o_orderkey = t.k""")
 def array_param_relation(spark, d):
