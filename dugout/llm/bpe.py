@@ -12,23 +12,35 @@ import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from dugout.llm.common import BoundedCache, map_columns
+from dugout.llm.common import Memo, dealt, held, map_columns, slices
 
 #: Fixed values of the vocabulary's format: how normalized text is cut into words, and the mark of a word's end.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t\n\v\f\r \x85\p{Z}\p{L}\p{N}]+")
 WORD_END = "</w>"
 
 
-def pieces_of(text: str) -> list[str]:
-    """The runs between blanks, tabs and line ends, some of them empty: a text may be cut there before anything else."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+#: Bytes of the pieces that a Python worker remembers, and how many words.
+REMEMBERED, WORDS_REMEMBERED = 1 << 24, 50_000
+_BLANKS = np.arange(256, dtype=np.uint8)
+_BLANKS[[9, 10, 13]] = 32
+
+
+def pieces_of(texts: pa.Array) -> pa.Array:
+    """A list for each text (large strings without nulls) of its runs between blanks, tabs and line ends, some of them
+    empty: a text may be cut there before anything else."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, "<i8")[texts.offset : texts.offset + len(texts) + 1]
+    plain = _BLANKS[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if data is not None else np.empty(0, np.uint8)
+    return pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(plain)), " ")
 
 
 def _code_points(ranges: str) -> list[int]:
@@ -66,9 +78,9 @@ def byte_letters() -> list[str]:
 
 
 class WordBPE:
-    """The encoder of one vocabulary file. Memo tables are bounded and outlive a task in its Python worker."""
+    """The encoder of one vocabulary file. Its memo tables are bounded; they outlive a task in its Python worker."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -82,8 +94,9 @@ class WordBPE:
         self.inner = [vocab[x] for x in letters]
         self.final = [vocab[x + WORD_END] for x in letters]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = BoundedCache(lambda w: np.array(self.encode_word(w), dtype="<i4").tobytes(), cached)
-        self.pieces = BoundedCache(self.encode_piece, cached)
+        self.words: dict[str, list[int]] = {}
+        self.pieces = Memo("i4", REMEMBERED)
+        self.shown = pa.array(self.strings, pa.string())
 
     def encode_word(self, word: str) -> list[int]:
         data = word.encode("utf-8")
@@ -114,33 +127,65 @@ class WordBPE:
                 heapq.heappush(queue, (found[0], h, left, found[1]))
         return [x for x in ids if x >= 0]
 
-    def encode_piece(self, piece: str) -> bytes:
-        """The ids, as little-endian 32-bit integers, of a run of text without white space of ``pieces_of``."""
+    def encode_piece(self, piece: str) -> list[int]:
+        """The ids of a run of text without white space of ``pieces_of``."""
         # lower-casing goes letter by letter: a capital sigma at a word's end gets no final form
         text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower().translate(_SMALL)
-        return b"".join(map(self.words.__getitem__, words_of(text)))
-
-    def encode_bytes(self, text: str) -> bytes:
-        if self.cut is not None and "<|" in text:
-            parts = self.cut.split(text)
-            return b"".join(
-                self.special[p].to_bytes(4, "little") if p in self.special else self._plain(p) for p in parts
-            )
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, pieces_of(text)))
+        ids: list[int] = []
+        for word in words_of(text):
+            known = self.words.get(word)
+            if known is None:
+                if len(self.words) >= WORDS_REMEMBERED:
+                    self.words.clear()
+                known = self.encode_word(word)
+                if len(word) < 64:
+                    self.words[word] = known
+            ids += known
+        return ids
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded = [self.encode_piece(p) for p in pieces.to_pylist()]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter((i for ids in coded for i in ids), "<i4", int(lengths.sum())), lengths
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts (large strings without nulls), one after the other, and where each text's begin, with the end.
+
+        Texts that may hold special tokens are first cut at these; what is left of all texts is cut into pieces,
+        which are looked up at once, and those not met lately are encoded.
+        """
+        parted = pc.match_substring(texts, "<|") if self.cut is not None else pa.array(np.zeros(len(texts), bool))
+        lists = pieces_of(pc.if_else(parted, pa.scalar("", pa.large_string()), texts))
+        ids, lengths = self.pieces[self.pieces.find(lists.flatten(), self._learn)]
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
+        odd = np.flatnonzero(parted.to_numpy(zero_copy_only=False)).tolist()
+        if not odd:
+            return ids, ends
+        own = [ids[a:b] for a, b in pairwise(ends.tolist())]
+        for i in odd:
+            own[i] = np.concatenate([np.empty(0, "<i4"), *map(self._part, self.cut.split(texts[i].as_py()))])
+        return np.concatenate(own), np.cumsum([0, *map(len, own)])
+
+    def _part(self, part: str) -> np.ndarray:
+        if part in self.special:
+            return np.array([self.special[part]], "<i4")
+        pieces = pieces_of(pa.array([part], pa.large_string())).flatten().to_pylist()
+        return np.array([i for piece in pieces for i in self.encode_piece(piece)], "<i4")
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+        parts = self.cut.split(text) if self.cut is not None and "<|" in text else [text]
+        return np.concatenate([*map(self._part, parts)]).tolist()
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of runs of ids: the vocabulary strings of each, joined by blanks."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.shown.take(pa.array(ids))), " ")
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordBPE:
-    return WordBPE(path)
+    return held(WordBPE, path)
 
 
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
@@ -158,15 +203,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
         bpe = encoder(vocabulary)
 
         def work(column: pa.Array):
-            coded, decoded = [], []
-            for i in range(len(column)):
-                data = bpe.encode_bytes(column[i].as_py() or "")
-                coded.append(data)
-                decoded.append(bpe.decode(np.frombuffer(data, "<i4").tolist()))
-            offsets = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype("<i4")
-            values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-            return pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())
+            coded, lengths, decoded = [np.empty(0, "<i4")], [np.zeros(1, np.int64)], [pa.array([], pa.string())]
+            for part in slices(column):
+                ids, ends = bpe.encode_many(part)
+                coded.append(ids)
+                lengths.append(np.diff(ends))
+                decoded.append(bpe.decode_many(ids, ends))
+            offsets = np.cumsum(np.concatenate(lengths)).astype("<i4")
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded))), pa.concat_arrays(decoded)
 
         return work
 
-    return map_columns(docs, make, ENCODED, [text], keep)
+    return map_columns(dealt(docs), make, ENCODED, [text], keep)

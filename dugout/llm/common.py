@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,32 +45,36 @@ def map_columns(
     outputs: T.StructType,
     inputs: Sequence[str],
     keep: Sequence[str] | None = None,
+    chosen: str | None = None,
 ) -> DataFrame:
     """Add columns computed batch by batch in Arrow.
 
     ``make()`` runs once per task and returns a function from the arrays of ``inputs`` to one sequence per
     field of ``outputs``. ``keep`` names the columns carried along (all by default). A kept column whose
-    name equals an output's, in any case, is replaced by the output.
+    name equals an output's, in any case, is replaced by the output. An input that is kept goes to Python once.
+    With ``chosen``, the name of a boolean output, only rows for which it is true go back.
     """
     new = {f.name.lower() for f in outputs.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(
-        *[col(c).alias(f"k{i}") for i, c in enumerate(kept)], *[col(c).alias(f"v{i}") for i, c in enumerate(inputs)]
-    )
+    sent = [*kept, *[c for c in dict.fromkeys(inputs) if c not in kept]]
+    source = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(sent)])
     schema = T.StructType(
         [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(kept)]
         + [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(outputs.fields)]
     )
     kinds = [to_arrow_type(f.dataType) for f in outputs.fields]
-    n_kept, n_in = len(kept), len(inputs)
+    n_kept, places = len(kept), [sent.index(c) for c in inputs]
+    picked = None if chosen is None else n_kept + [f.name for f in outputs.fields].index(chosen)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            made = work(*[batch.column(n_kept + i) for i in range(n_in)])
+            made = work(*[batch.column(i) for i in places])
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_kept)], *arrays], names=names)
+            out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_kept)], *arrays], names=names)
+            yield out if picked is None else out.filter(out.column(picked))
+        pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(run, schema)
     return out.select(
@@ -76,11 +84,13 @@ def map_columns(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one the session names, else (in tests) one of our own."""
+    """A folder that driver and executors share: the one the session names. Without a cluster, one of our own will do."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="dugout-")
     return f"file://{_own_folder}"
@@ -111,20 +121,94 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts_of(array: pa.Array) -> list[str]:
-    """The texts; null counts as empty."""
-    return [x or "" for x in array.to_pylist()]
-
+#: A key with more than one row in so many is joined by a broadcast: there are fewer such keys than this.
+HOT = 1000
 
-class BoundedCache(dict):
-    """A memo table emptied when it reaches ``limit`` entries. ``make`` computes a missing value."""
 
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
+def join_unevenly(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``named``, which has one row for each key and the number ``n`` of its rows; ``n`` is left out.
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+    Keys with more than one row in ``HOT`` of ``total`` are at most ``HOT``: what ``named`` has of them is broadcast, so
+    that their rows stay where they are. The others are shuffled, and none of them fills a task.
+    """
+    hot = named.filter(F.col("n") > total / HOT).drop("n")
+    cold = named.filter(F.col("n") <= total / HOT).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+#: Texts are worked on together up to so many bytes.
+TOGETHER = 1 << 21
+
+
+def ranges(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``limit`` bytes at most, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = before = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield a, b
+        a, before = b, int(ends[b - 1])
+
+
+def slices(texts: pa.Array, limit: int = TOGETHER) -> Iterator[pa.Array]:
+    """The rows of ``ranges``, as large strings without nulls."""
+    for a, b in ranges(texts, limit):
+        yield pc.fill_null(texts.slice(a, b - a), "").cast(pa.large_string())
+
+
+@lru_cache(maxsize=1)
+def held(make: Callable, *args):
+    """What a Python worker keeps for its next tasks: one operator's tables, until another operator asks."""
+    return make(*args)
+
+
+class Memo:
+    """Rows of numbers by text, looked up for whole arrays at a time, within a bound of bytes. When it is full, what
+    wasn't asked for since the last time goes."""
+
+    def __init__(self, kind: str, limit: int):
+        self.kind, self.limit = kind, limit
+        self._set(pa.array([], pa.large_string()), np.empty(0, kind), np.empty(0, np.int64))
+
+    def _set(self, keys: pa.Array, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.keys, self.values, self.lengths, self.starts = keys, values, lengths, np.cumsum(lengths) - lengths
+        self.asked = np.zeros(len(keys), bool)
+
+    def size(self) -> int:
+        return self.keys.nbytes + self.values.nbytes + 17 * len(self.keys)
+
+    def find(self, texts: pa.Array, learn) -> np.ndarray:
+        """The places of all texts; ``learn`` gets the distinct new ones and returns their numbers and how many each has."""
+        if self.size() > self.limit:
+            kept = self.asked
+            self._set(self.keys.filter(pa.array(kept)), *self[np.flatnonzero(kept)])
+            if 2 * self.size() > self.limit:
+                self._set(self.keys.slice(0, 0), self.values[:0], self.lengths[:0])
+        coded = texts.dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.keys), -1).to_numpy()
+        new = at < 0
+        self.asked[at[~new]] = True
+        if new.any():
+            asked, missing = self.asked, coded.dictionary.filter(pa.array(new))
+            values, lengths = learn(missing)
+            at = np.where(new, len(self.keys) - 1 + np.cumsum(new), at)
+            self._set(pa.concat_arrays([self.keys, missing]), np.concatenate([self.values, values]), np.concatenate([self.lengths, lengths]))
+            self.asked[: len(asked)] = asked
+        return at[coded.indices.to_numpy()]
+
+    def __getitem__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts at these places, one after the other, and how many each has."""
+        return gather(self.values, self.starts[at], self.lengths[at]), self.lengths[at]
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    source = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    source += np.arange(len(source))
+    return flat[source]
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew where its scan has fewer tasks than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

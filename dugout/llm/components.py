@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dugout.llm.common import forget, materialize
+from dugout.llm.common import forget, join_unevenly, materialize
 
 
-def _star(links: DataFrame) -> DataFrame:
-    """Both steps on links u > v; their result again has u > v, and every component stays connected."""
-    # large star: each node's larger neighbours are linked to the least node it knows
+def _least(links: DataFrame, value: Column) -> DataFrame:
+    """Of each node u: m, the least ``value`` of its links, and n, their number."""
+    return links.groupBy("u").agg(value.alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
+    """Each node's larger neighbours, linked to the least node it knows."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.filter("u <> v").distinct()
-    # small star: each node and its smaller neighbours are linked to the least of them
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    joined = large.join(least, "u")
-    return (
-        joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(least.select("u", F.col("m").alias("v")))
-        .filter("u <> v")
-        .distinct()
-    )
+    known = join_unevenly(both, _least(both, F.least(F.min("v"), F.col("u"))), "u", 2 * total)
+    return known.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    """Each node and its smaller neighbours, linked to the least of them."""
+    least = _least(links, F.min("v"))
+    joined = join_unevenly(links, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link to a smaller one or some to larger ones, not both: then the smaller are roots."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.filter("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def least_reachable(links: DataFrame, a: str = "a", b: str = "b", tag: str = "links") -> DataFrame:
     """For every node of a component with others: ``node``, and ``root``, the component's least node, but for the root's own row.
 
-    Only minima travel, so that a node of any degree is combined before it is shuffled. After each round the links
-    are written to the shared folder. A round that changes nothing ends the work: then all links are stars.
+    Nodes are of any type with an order. A node of so many links that it would fill a task gets its minimum by a
+    broadcast (``join_unevenly``). After each step the links are written to the shared folder. The work ends when all
+    links are stars.
     """
-    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    links = materialize(links, tag)
-    state = _state(links)
-    while state[0]:
-        after = materialize(_star(links), tag)
-        now = _state(after)
-        forget(links)
-        links = after
-        if now == state:
-            break
-        state = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    now = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), tag)
+    while not _stars(now):
+        before = now
+        large = materialize(_large_star(before, before.count()), tag)
+        now = materialize(_small_star(large, large.count()), tag)
+        forget(before)
+        forget(large)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -13,55 +13,70 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import BoundedCache, col, map_columns, numbered, renamed
+from dugout.llm.common import Memo, col, held, map_columns, numbered, renamed, slices
 
 #: Buckets of the hashed n-grams. The last feature is the constant one.
 BUCKETS = 1 << 18
-#: The most labelled rows that a model is fitted on.
-FIT_ROWS = 8000
+#: The most labelled rows that a model is fitted on, and the most n-grams that they have in all: what the driver gets.
+FIT_ROWS, FIT_GRAMS = 8000, 1 << 24
 THRESHOLD = 0.3
+#: Bytes of the words that a Python worker remembers.
+REMEMBERED = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = [(re.compile(p), r) for p, r in ((r"[A-Z]+", "A"), (r"[a-z]+", "a"), (r"[0-9]+", "0"), (r"[^\x00-\x7f]+", "u"))]
 _SAME = np.uint64(0x5BD1E9955BD1E995)
 
 
 def _shape(word: str) -> str:
+    if word.isalpha() and word.isascii() and word.islower():
+        return "a"
     for pattern, letter in _RUNS:
         word = pattern.sub(letter, word)
     return word[:12]
 
 
-def _word(word: str) -> bytes:
-    """Hashes of the lower-cased word and of its shape."""
-    return np.array(
-        [xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")), xxhash.xxh64_intdigest(_shape(word).encode("utf-8", "surrogatepass"), 1)],
-        np.uint64,
-    ).tobytes()
-
-
-_words = BoundedCache(_word, 600_000)
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each word: hashes of the lower-cased word and of its shape."""
+    digest = xxhash.xxh64_intdigest
+    found = [x for w in words.to_pylist() for x in (digest(w.lower().encode()), digest(_shape(w).encode(), 1))]
+    return np.array(found, np.uint64), np.full(len(words), 2)
 
 
 def _joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     return (a * _MIX ^ (b + np.uint64(seed))) * _MIX
 
 
+def grams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that each of the texts (large strings without nulls) has, ascending: their texts' places, and their numbers."""
+    lists = pc.utf8_split_whitespace(texts)
+    words = lists.flatten()
+    there = pc.greater(pc.binary_length(words), 0)
+    place = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[there.to_numpy(zero_copy_only=False)]
+    memo = held(Memo, "u8", REMEMBERED)
+    at = memo.find(words.filter(there), _hashes)
+    pairs = memo.values.reshape(-1, 2)[at]
+    w, s = pairs[:, 0], pairs[:, 1].copy()
+    next_ = place[1:] == place[:-1]  # whether a word's successor is of the same text
+    s[1:][next_ & (w[1:] == w[:-1])] = _SAME
+    two = _joined(s[:-1], s[1:], 3)
+    third = next_[1:] & next_[:-1]
+    grams = np.concatenate([w, _joined(w[:-1], w[1:], 1)[next_], _joined(s, s, 2), two[next_], _joined(two[:-1], s[2:], 4)[third]])
+    places = np.concatenate([place, place[:-1][next_], place, place[:-1][next_], place[:-2][third]])
+    both = places * BUCKETS + ((grams >> np.uint64(40)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    both.sort()
+    both = both[np.append(both[:-1] != both[1:], len(both) > 0)]
+    return both // BUCKETS, both % BUCKETS
+
+
 def features(text: str) -> np.ndarray:
     """The numbers of the n-grams that the text has, ascending."""
-    words = text.split()
-    if not words:
-        return np.empty(0, np.int64)
-    hashes = np.frombuffer(b"".join(map(_words.__getitem__, words)), np.uint64).reshape(-1, 2)
-    w, s = hashes[:, 0], hashes[:, 1].copy()
-    s[1:][w[1:] == w[:-1]] = _SAME
-    two = _joined(s[:-1], s[1:], 3)
-    grams = np.concatenate([w, _joined(w[:-1], w[1:], 1), _joined(s, s, 2), two, _joined(two[:-1], s[2:], 4)])
-    return np.unique((grams >> np.uint64(40)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    return grams_of(pa.array([text], pa.large_string()))[1]
 
 
 @dataclass
@@ -75,8 +90,19 @@ class Model:
         v = self.ratios[found]
         return float(self.weights[found] @ v / max(np.sqrt(v @ v), 1e-9) + self.weights[-1])
 
+    def score_all(self, texts: pa.Array) -> np.ndarray:
+        """Scores of the texts of a column; null counts as empty."""
+        made = [np.empty(0)]
+        for part in slices(texts):
+            place, gram = grams_of(part)
+            v = self.ratios[gram]
+            along = np.bincount(place, self.weights[gram] * v, len(part))
+            margins = along / np.maximum(np.sqrt(np.bincount(place, v * v, len(part))), 1e-9) + self.weights[-1]
+            made.append(1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -500, 500))))
+        return np.concatenate(made)
+
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features(text)) + self.offset, -500, 500))))
+        return float(self.score_all(pa.array([text]))[0])
 
 
 def count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -150,18 +176,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Fit a model on ``rows`` labelled documents at most, those whose ids hash lowest.
 
     ``labels`` has one label of 0 or 1 for an id; of several, the greatest holds, null ones and null ids count
-    for nothing. The chosen ids, ``rows`` at most, are broadcast; the driver gets their features.
+    for nothing. Of several texts of one id the least teaches, null counting as empty, so that the order of the
+    rows is nothing to the model. The chosen ids, ``rows`` at most, are broadcast; the driver gets their n-grams, as
+    many documents' as have ``FIT_GRAMS`` in all.
     """
     named = labels.filter(col(label).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("_id")).agg(F.max(col(label)).alias("_label"))
     chosen = named.orderBy(F.xxhash64(F.col("_id"), F.lit(11)), "_id").limit(rows)
-    source = docs.select(col(id_col).alias("_id"), col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    source = docs.select(col(id_col).alias("_id"), F.coalesce(col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    source = source.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     def make():
-        return lambda column: [[features(t.as_py() or "") for t in column]]
+        def work(column: pa.Array):
+            found: list[np.ndarray] = []
+            for part in slices(column):
+                place, gram = grams_of(part)
+                found += np.split(gram.astype("<i4"), np.searchsorted(place, np.arange(1, len(part))))
+            return [found]
+
+        return work
 
-    found = map_columns(source, make, T.StructType([T.StructField("f", T.ArrayType(T.LongType()))]), ["_text"], ["_id", "_label"])
-    table = found.select("_id", "_label", F.col("f").cast("array<int>").alias("f")).dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    grams = [x.values.to_numpy() for x in table.column("f")]
+    found = map_columns(source, make, T.StructType([T.StructField("f", T.ArrayType(T.IntegerType()))]), ["_text"], ["_id", "_label"])
+    first = Window.orderBy(F.xxhash64(F.col("_id"), F.lit(11)), "_id")  # of `rows` rows at most
+    within = found.withColumn("sum", F.sum(F.size("f")).over(first)).filter(F.col("sum") <= FIT_GRAMS)
+    table = within.select("_id", "_label", "f").toArrow().sort_by("_id").combine_chunks()
+    grams = [x.values.to_numpy().astype(np.int64) for x in table.column("f")]
     return fit(grams, np.array(table.column("_label").to_pylist(), np.int64))
 
 
@@ -178,8 +216,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def make():
         def work(column: pa.Array):
-            scores = [shared.value.score(t.as_py() or "") for t in column]
-            return scores, [int(s >= threshold) for s in scores]
+            scores = shared.value.score_all(column)
+            return pa.array(scores), pa.array((scores >= threshold).astype(np.int32))
 
         return work
 
@@ -188,5 +226,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold, with all columns as they were, whatever their names."""
-    held, names = numbered(docs)
-    return renamed(score(held, model, names[text], threshold=threshold).filter("predicted = 1"), names)
+    numbers, names = numbered(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda column: [pa.array(shared.value.score_all(column) >= threshold)]
+
+    good = map_columns(numbers, make, T.StructType([T.StructField("good", T.BooleanType())]), [names[text]], chosen="good")
+    return renamed(good, names)

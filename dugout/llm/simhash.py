@@ -4,6 +4,10 @@ Every one of the 64 bits of a fingerprint gets a vector of r + 1 bits. For each
 length, one table keeps the bits whose vector has odd parity with v. The r or fewer bits in which a pair
 differs give r equations, which some non-zero v solves: in its table the pair collides. So 2^(r+1) - 1 tables
 find every pair within the radius, and every collision is checked.
+
+Near copies by similarity have fingerprints of two such words, each with tables of its own: a pair within twice
+the radius and one is within the radius in one of the words. What collides and agrees in four fifths of all bits
+is compared exactly, by its sets of shingles.
 """
 
 from __future__ import annotations
@@ -17,23 +21,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import col, map_columns, materialize, numbered, renamed, shuffle_partitions
+from dugout.llm.common import col, join_unevenly, map_columns, materialize, numbered, renamed, shuffle_partitions
 from dugout.llm.components import least_reachable
 
 BITS, SEED = 64, 42
 WORDS, RADIUS = 4, 4
+#: Of near copies by similarity: words of a shingle, least Jaccard similarity, radius of each word's tables, bits of a
+#: table's keys, and the most of the 128 bits in which a pair that is compared differs.
+NEAR_WORDS, SIMILAR = 5, 0.8
+NEAR_RADIUS, KEY_BITS, NEAR_BITS = 5, 24, 25
+#: A bucket of more distinct fingerprints is dealt out by pairs of blocks of about so many.
+BLOCK = 8192
 
 
-def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
-    """The hash of every shingle in order, repeats included; none without words."""
+def words_of(text: str) -> list[bytes]:
+    """What ASCII white space parts, with A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(parts: list[bytes], words: int) -> Iterator[bytes]:
+    """The shingles in order, repeats included; none without words."""
     if not parts:
-        return np.zeros(0, np.uint64)
+        return
     whole = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     last = ends[words - 1 :].tolist() or [len(whole)]
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
+    for a, b in zip(first, last, strict=True):
+        yield whole[a:b]
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(whole[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64)
+    return np.array([digest(s, SEED) for s in _shingles(parts, words)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words, the bits that are set in over half of the rows."""
+    counts = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        octets = hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, hashes.shape[1] * 8)
+        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
 def simhash(text: str, words: int = WORDS) -> int:
@@ -42,15 +71,20 @@ def simhash(text: str, words: int = WORDS) -> int:
     A-Z are lower-cased; words are what ASCII white space parts, shingles so many words joined by one blank,
     repeats included. Fewer words make one shingle of all of them, none the fingerprint zero.
     """
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    hashes = shingle_hashes(parts, words)
-    counts = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 15):
-        octets = hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(majority(shingle_hashes(words_of(text), words)[:, None])[0])
+
+
+def shingle_set(text: str, words: int = NEAR_WORDS) -> np.ndarray:
+    """The 128-bit hashes of the distinct shingles, a row of two words each."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join({digest(s, SEED) for s in _shingles(words_of(text), words)}), np.uint64).reshape(-1, 2)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two sets of 64-bit hashes; 1 if both are empty."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS) -> DataFrame:
@@ -67,25 +101,48 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def covering_masks(radius: int) -> list[int]:
-    """One mask of kept bits for each table, as signed 64-bit integers. Bit i has the vector 1 + i mod (2^(r+1) - 1)."""
+    """One mask of kept bits for each table, as signed 64-bit integers, for a radius up to 5. Bit i has the vector
+    1 + i mod (2^(r+1) - 1), so that each mask keeps about half of the bits."""
     size = (1 << (radius + 1)) - 1
     masks = [sum(1 << i for i in range(BITS) if ((1 + i % size) & v).bit_count() % 2) for v in range(1, size + 1)]
     return np.array(masks, np.uint64).view(np.int64).tolist()
 
 
+def narrowed(masks: list[int], bits: int, word: int = 0) -> list[int]:
+    """Each mask without all its kept bits but so many, drawn for each by itself: what collides by a whole mask does so by
+    its part."""
+    some = []
+    for t, mask in enumerate(masks):
+        kept = [i for i in range(BITS) if mask >> i & 1]
+        drawn = np.random.default_rng([SEED, word, t]).choice(kept, min(bits, len(kept)), replace=False).tolist()
+        some.append(sum(1 << i for i in drawn))
+    return np.array(some, np.uint64).view(np.int64).tolist()
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits each fingerprint of ``a`` (rows of words) differs from each of ``b``."""
+    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]) for k in range(a.shape[1]))
+
+
 def spanning_links(group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the members of one bucket just as all its pairs within the radius do: each member of a
-    component with the one it was reached from. Members already reached aren't compared again, so a dense group
-    takes a few passes, not all pairs."""
+    """Links that connect the members of one bucket (fingerprints, or rows of words) just as all its pairs within the
+    radius do: each member of a component with the one it was reached from. Members already reached aren't compared
+    again, so a dense group takes a few passes, not all pairs; members without any link go 64 at a time."""
+    prints = group[:, None] if group.ndim == 1 else group
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    rest = np.sort(group)
+    rest = np.lexsort(prints.T)
     while len(rest) > 1:
-        front, rest = rest[:1], rest[1:]
+        near = _apart(prints[rest[:64]], prints[rest]) <= radius
+        linked = np.flatnonzero(near.sum(axis=1) > 1)
+        if not len(linked):
+            rest = rest[64:]
+            continue
+        front, rest = rest[linked[:1]], np.concatenate([rest[linked[0] + 1 : 64], rest[64:]])
         while len(front) and len(rest):
             ahead = []
             for k in range(0, len(front), 64):
                 part = front[k : k + 64]
-                near = np.bitwise_count(part[:, None] ^ rest[None, :]) <= radius
+                near = _apart(prints[part], prints[rest]) <= radius
                 hit = near.any(axis=0)
                 if hit.any():
                     ahead.append(rest[hit])
@@ -94,58 +151,125 @@ def spanning_links(group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
                     if not len(rest):
                         break
             front = np.concatenate(ahead) if ahead else rest[:0]
-    if not found:
-        return group[:0], group[:0]
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    return group[a], group[b]
+
+
+def linking_pairs(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius of members of different roots."""
+    found = [(np.empty((0, prints.shape[1]), prints.dtype),) * 2]
+    for k in range(0, len(prints), 64):
+        near = (_apart(prints[k : k + 64], prints[k:]) <= radius) & (roots[k : k + 64, None] != roots[None, k:])
+        i, j = np.nonzero(near)
+        found.append((prints[k + i], prints[k + j]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links a, b between distinct fingerprints (column ``simhash``) that connect all pairs within the radius.
+#: A link from one fingerprint to another; or, with a key, a member of a bucket that is too large for one task.
+FOUND = pa.schema([("key", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("other0", pa.int64()), ("other1", pa.int64()), ("root", pa.int64())])
+FOUND_DDL = "key long, w0 long, w1 long, other0 long, other1 long, root long"
+
+
+def _found(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, root: np.ndarray | None = None) -> pa.RecordBatch:
+    word = lambda x, k: pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) if x is not None and k < x.shape[1] else pa.nulls(len(a), pa.int64())
+    number = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
+    return pa.RecordBatch.from_arrays([number(key), word(a, 0), word(a, 1), word(b, 0), word(b, 1), number(root)], schema=FOUND)
+
 
-    Rows of a bucket lie side by side after a sort by table and key, and a bucket is worked on when it is
-    complete; a bucket of one costs nothing. The number of rows sorted is that of the fingerprints times that
-    of the tables.
+def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, across: bool) -> DataFrame:
+    """``FOUND`` of rows (key, part, w0 and, of two words, w1, root), dealt out and sorted by key and part.
+
+    A bucket, which has one key and part, is worked on when it is complete. One of more than ``block`` rows isn't: its
+    rows go out as they come. With ``across``, all pairs within the radius of different roots are found, else links
+    that connect as all pairs do.
     """
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("simhash").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-    rows = prints.select("simhash", F.explode(tables).alias("b")).select("b.t", "b.key", "simhash")
-    rows = rows.repartition(shuffle_partitions(prints.sparkSession), "t", "key").sortWithinPartitions("t", "key")
+
+    def complete(rows: list[np.ndarray], starts: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
+        key, _, prints, roots = rows
+        ends = np.append(starts[1:], len(key))
+        sizes = ends - starts
+        out = np.zeros(len(starts), bool) if not block else sizes > block
+        if large is not None and len(starts):
+            out[0] |= key[0] == large
+        for k in np.flatnonzero(out):
+            some = slice(starts[k], ends[k])
+            yield _found(prints[some], None, key[some], roots[some])
+        two = starts[(sizes == 2) & ~out]
+        near = sum(np.bitwise_count(prints[two, k] ^ prints[two + 1, k]) for k in range(words)) <= radius
+        if across:
+            near &= roots[two] != roots[two + 1]
+        a, b = [prints[two[near]]], [prints[two[near] + 1]]
+        for k in np.flatnonzero((sizes > 2) & ~out):
+            some = slice(starts[k], ends[k])
+            x, y = linking_pairs(prints[some], roots[some], radius) if across else spanning_links(prints[some], radius)
+            a.append(x)
+            b.append(y)
+        yield _found(np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[np.ndarray] = []
+        large = None  # the bucket whose rows go out
         for batch in batches:
-            now = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy()]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            held, out = _buckets(now, radius, final=False)
-            yield out
-        if held is not None:
-            yield _buckets(held, radius, final=True)[1]
-
-    return rows.mapInArrow(run, "a long, b long").filter("a is not null").distinct()
-
-
-def _buckets(rows: list[np.ndarray], radius: int, final: bool) -> tuple[list[np.ndarray] | None, pa.RecordBatch]:
-    """Links of the buckets that are complete, and the rows of the last one, which may go on."""
-    table, key, prints = rows
-    new = np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1
-    starts = np.concatenate([[0], new, [len(key)]])
-    if not final:
-        rest = [x[starts[-2] :] for x in rows] if len(key) else None
-        starts = starts[:-1]
-    else:
-        rest = None
-    sizes = np.diff(starts)
-    a, b = [], []
-    pairs = starts[:-1][sizes == 2]
-    near = np.bitwise_count((prints[pairs] ^ prints[pairs + 1]).view(np.uint64)) <= radius
-    a.append(prints[pairs][near])
-    b.append(prints[pairs + 1][near])
-    for k in np.flatnonzero(sizes > 2):
-        x, y = spanning_links(prints[starts[k] : starts[k + 1]].view(np.uint64), radius)
-        a.append(x.view(np.int64))
-        b.append(y.view(np.int64))
-    return rest, pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            columns = [c.to_numpy() for c in batch.columns]
+            now = [columns[0], columns[1], np.stack(columns[2 : 2 + words], axis=1).view(np.uint64), columns[-1]]
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            if not len(now[0]):
+                continue
+            starts = np.append(0, np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1)
+            last = starts[-1]
+            yield from complete([x[:last] for x in now], starts[:-1], large)
+            held = [x[last:] for x in now]
+            if block and (len(held[0]) > block or held[0][0] == large):
+                large = int(held[0][0])
+                yield _found(held[2], None, held[0], held[3])
+                held = []
+        if held:
+            yield from complete(held, np.zeros(1, np.int64), large)
+
+    dealt_out = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    return dealt_out.mapInArrow(run, FOUND_DDL)
+
+
+def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str, across: bool = False, block: int = BLOCK) -> DataFrame:
+    """Links (w0, w1, other0, other1) between distinct fingerprints, w0 and, of two words, w1, that collide under one of
+    a word's masks and lie within the radius; see ``_in_buckets``. ``across`` needs a number ``root`` of each.
+
+    The rows sorted are as many as fingerprints times masks. A bucket of more than ``block`` of them is cut into
+    blocks, and each pair of blocks is a task's work by itself.
+    """
+    names = [c for c in ("w0", "w1") if c in prints.columns]
+    root = F.col("root") if across else F.lit(0).cast("long")
+    tables = [(w, m) for w, own in zip(names, masks, strict=True) for m in own]
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col(w).bitwiseAND(F.lit(m))) for t, (w, m) in enumerate(tables)])
+    rows = prints.select(F.explode(keys).alias("key"), F.lit(0).cast("long").alias("part"), *names, root.alias("root"))
+    found = materialize(_in_buckets(rows, len(names), radius, block, across), tag)
+    large = found.filter("key is not null").select("key", *names, "root")
+    n_large = large.count()
+    if n_large:
+        sizes = large.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("blocks"))
+        own = F.pmod(F.xxhash64(*names), F.col("blocks"))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))
+        cut = join_unevenly(large, sizes, "key", n_large).withColumn("own", own).withColumn("o", F.explode(others))
+        cut = cut.select("key", (F.least("own", "o") * F.col("blocks") + F.greatest("own", "o")).alias("part"), *names, "root")
+        found = found.unionByName(_in_buckets(cut, len(names), radius, None, across))
+    return found.filter("key is null").select("w0", "w1", "other0", "other1").distinct()
+
+
+def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Links a, b between distinct fingerprints (column ``simhash``) that connect all pairs within the radius."""
+    found = colliding(prints.select(F.col("simhash").alias("w0")), [covering_masks(radius)], radius, "buckets", block=block)
+    return found.select(F.col("w0").alias("a"), F.col("other0").alias("b"))
+
+
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node) with component_id: the least id of the component that ``roots`` makes of its node."""
+    units = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    units = units.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    units = materialize(units.select("node", "first_id", "rows", F.coalesce("root", "node").alias("root")), "units")
+    each = units.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    n_units, n_rows = units.agg(F.count("*"), F.sum("rows")).first()
+    named = join_unevenly(units, each, "root", n_units or 0).select("node", "component_id", F.col("rows").alias("n"))
+    return join_unevenly(rows, materialize(named, "named"), "node", n_rows or 0)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
@@ -157,24 +281,111 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     are all returned. Other columns are left out.
     """
     prints = fingerprints(docs.select(col(id_col).cast("long").alias("doc_id"), col(text).alias("text")), keep=["doc_id"], words=words)
-    prints = materialize(prints, "simhash")
-    least = prints.groupBy("simhash").agg(F.min("doc_id").alias("first_id"))
-    roots = least_reachable(links(least.select("simhash"), radius), tag="simhash-links")
-    # every fingerprint's component by the least fingerprint in it, then by the least document
-    member = least.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    named = member.join(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("simhash", "component_id")
-    return prints.join(named, "simhash").select("doc_id", "simhash", "component_id")
+    prints = materialize(prints.withColumnRenamed("simhash", "node"), "simhash")
+    roots = least_reachable(links(prints.select(F.col("node").alias("simhash")).distinct(), radius), tag="simhash-links")
+    return _named(prints, roots).select("doc_id", F.col("node").alias("simhash"), "component_id")
+
+
+#: Up to so many keys are broadcast, and more are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def _sets_of(source: DataFrame, wanted: DataFrame, n: int, words: int) -> DataFrame:
+    """For each of the ``n`` wanted (doc_id, x) its node and the set of its shingles, from the text (doc_id, x, text)."""
+
+    def make():
+        def work(column: pa.Array):
+            sets = [shingle_set(t.as_py() or "", words) for t in column]
+            return [[x[:, 0].tobytes() for x in sets]]
+
+        return work
+
+    wanted = F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted
+    some = source.join(wanted, ["doc_id", "x"]).select("node", "text")
+    sets = map_columns(some, make, T.StructType([T.StructField("set", T.BinaryType())]), ["text"], ["node"])
+    return sets.groupBy("node").agg(F.min("set").alias("set"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` with one document of each component, the one of the least id, and all columns as they were.
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs a, b of nodes whose sets are at least so similar. Sets of very unequal sizes can't be."""
+
+    def make():
+        return lambda x, y: [[similarity(a.as_py(), b.as_py()) >= similar for a, b in zip(x, y, strict=True)]]
+
+    sized = F.least(F.length("x"), F.length("y")) >= F.lit(similar) * F.greatest(F.length("x"), F.length("y"))
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").filter(sized)
+    near = map_columns(joined, make, T.StructType([T.StructField("near", T.BooleanType())]), ["x", "y"], ["a", "b"], chosen="near")
+    return near.select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = NEAR_WORDS) -> DataFrame:
+    """One row per row of ``docs`` with an id: doc_id, x (a hash of the text), and component_id, the least id reachable by links.
+
+    Documents are linked where their fingerprints collide in a table of one of their two words (as all do that differ
+    in twice ``NEAR_RADIUS`` bits and one, or fewer) and agree in four fifths of all bits, and the Jaccard similarity of their distinct shingles is ``similar`` or more. First the links
+    that connect each bucket are compared exactly; where these leave parts of a group apart, so are all other pairs
+    that collide across the parts. Texts of one fingerprint (as are those without words) are taken as one. Null texts
+    count as empty. Repeated rows are all returned. Other columns, and rows with a null id, are left out.
+    """
+    source = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("x"), col(text).alias("text")).filter("doc_id is not null")
+
+    def make():
+        def work(column: pa.Array):
+            prints = [majority(shingle_set(t.as_py() or "", words)).view(np.int64) for t in column]
+            both = np.stack(prints) if prints else np.empty((0, 2), np.int64)
+            return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+        return work
 
-    Of repeated rows one stays. Different texts under one id that is a component's least all stay, and so do rows
-    with a null id, which can't be named: no text is lost that isn't a near copy of one that stays.
+    two = T.StructType([T.StructField("w0", T.LongType()), T.StructField("w1", T.LongType())])
+    rows = map_columns(source, make, two, ["text"], ["doc_id", "x"])
+    rows = materialize(rows.select("doc_id", "x", F.struct("w0", "w1").alias("node")), "prints")
+    masks = [narrowed(covering_masks(NEAR_RADIUS), KEY_BITS, word) for word in (0, 1)]
+
+    def pairs(prints: DataFrame, tag: str, across: bool = False) -> DataFrame:
+        found = colliding(prints, masks, NEAR_BITS, tag, across)
+        one, other = F.struct("w0", "w1"), F.struct(F.col("other0").alias("w0"), F.col("other1").alias("w1"))
+        return found.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+    tried = materialize(pairs(rows.select("node.*").distinct(), "buckets"), "tried")
+    n = tried.count()
+    nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = rows.join(F.broadcast(nodes) if 2 * n <= BROADCAST_KEYS else nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("r"))
+    sets = materialize(_sets_of(source, wanted.select("node", "r.*"), 2 * n, words), "sets")
+    near = materialize(_verified(tried, sets, similar), "near")
+    parts = least_reachable(near, tag="near-links")
+    if near.count() == n:
+        return _named(rows, parts).select("doc_id", "x", "component_id")
+    groups = least_reachable(tried, tag="tried-links")
+    # groups of which some parts hang together by no pair that was compared: all other pairs across these
+    placed = nodes.join(groups.withColumnRenamed("root", "g"), "node", "left").join(parts, "node", "left")
+    placed = materialize(placed.select("node", F.coalesce("g", "node").alias("g"), F.coalesce("root", "node").alias("part")), "placed")
+    each = placed.groupBy("g").agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("open"))
+    open_ = join_unevenly(placed, each, "g", 2 * n).filter("open").select("node.*", F.xxhash64("part").alias("root"))
+    across = pairs(open_, "open", across=True).join(tried, ["a", "b"], "left_anti")
+    near = near.unionByName(_verified(across, sets, similar))
+    return _named(rows, least_reachable(near, tag="near-links")).select("doc_id", "x", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = NEAR_WORDS) -> DataFrame:
+    """``docs`` with one document of each component of ``near_copies``, the one of the least id, all columns as they were.
+
+    Of rows of one id and text the one whose columns are least as JSON stays. Different texts under one id that is a
+    component's least all stay, and so do rows with a null id, which can't be named: no text is lost that isn't linked
+    to one that stays.
     """
     held, names = numbered(docs)
-    key = names[id_col]
-    found = near_duplicates(held, key, names[text], radius, words)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
-    named = held.join(kept, F.col(key).cast("long") == F.col("kept"), "left_semi").dropDuplicates([key, names[text]])
-    return renamed(named.unionByName(held.filter(F.col(key).isNull())), names)
+    key = [F.col(names[id_col]).cast("long"), F.xxhash64(names[text])]
+    found = near_copies(held, names[id_col], names[text], similar, words)
+    judged = found.groupBy("doc_id", "x").agg(F.count("*").alias("times"), F.first(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    judged = materialize(judged.filter("goes or times > 1"), "judged")
+    n, n_repeated = judged.agg(F.count("*"), F.count(F.when(~F.col("goes"), 1))).first()
+    judged = F.broadcast(judged) if n <= BROADCAST_KEYS else judged
+    marked = held.select("*", key[0].alias("doc_id"), key[1].alias("x")).join(judged, ["doc_id", "x"], "left")
+    kept = marked.filter("goes is null")
+    if n_repeated:
+        own = F.struct(*names.values())
+        once = marked.filter(~F.col("goes")).groupBy("doc_id", "x").agg(F.min_by(own, F.to_json(own)).alias("own"))
+        kept = kept.select(*names.values()).unionByName(once.select("own.*"))
+    return renamed(kept, names)

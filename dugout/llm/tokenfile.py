@@ -9,7 +9,6 @@ stream is the ids of earlier shards, of earlier blocks and of earlier documents
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dugout.llm import simple8b
-from dugout.llm.common import col, shuffle_partitions
+from dugout.llm.common import Memo, col, held, ranges, shuffle_partitions
 
 #: A block is closed when it holds so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 17, 2048
@@ -39,6 +38,8 @@ BLOCKS_DDL = (
 
 _BLANKS = np.arange(256, dtype=np.uint8)
 _BLANKS[[9, 10, 13]] = 32
+#: Bytes of the pieces, and of the words, that a Python worker remembers.
+REMEMBERED = 1 << 25
 #: Texts are encoded together up to so many bytes.
 TOGETHER = 1 << 23
 
@@ -73,54 +74,9 @@ def _halves(pieces: pa.Array) -> pa.Array:
     return pc.if_else(pc.string_is_ascii(halves), pc.ascii_lower(halves), halves)
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` that begin at ``starts``, one after the other."""
-    source = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
-    source += np.arange(len(source))
-    return flat[source]
-
-
-class Memo:
-    """Ids by text for whole arrays at a time. When it is full, what wasn't asked for since the last time goes."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self._set(pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64))
-
-    def _set(self, keys: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.keys, self.ids, self.lengths, self.starts = keys, ids, lengths, np.cumsum(lengths) - lengths
-        self.asked = np.zeros(len(keys), bool)
-
-    def find(self, texts: pa.Array, learn) -> np.ndarray:
-        """The places of all texts; ``learn`` gets the distinct new ones and returns their ids and how many each has."""
-        if len(self.keys) > self.limit:
-            kept = self.asked if 2 * self.asked.sum() < self.limit else np.zeros(len(self.keys), bool)
-            self._set(self.keys.filter(pa.array(kept)), *self[np.flatnonzero(kept)])
-        coded = texts.dictionary_encode()
-        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.keys), -1).to_numpy()
-        new = at < 0
-        self.asked[at[~new]] = True
-        if new.any():
-            asked, missing = self.asked, coded.dictionary.filter(pa.array(new))
-            ids, lengths = learn(missing)
-            at = np.where(new, len(self.keys) - 1 + np.cumsum(new), at)
-            self._set(pa.concat_arrays([self.keys, missing]), np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths]))
-            self.asked[: len(asked)] = asked
-        return at[coded.indices.to_numpy()]
-
-    def __getitem__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts at these places, one after the other, and how many each has."""
-        return _gather(self.ids, self.starts[at], self.lengths[at]), self.lengths[at]
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of ``TOGETHER`` bytes at most, or of one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = before = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
-        yield a, b
-        a, before = b, int(ends[b - 1])
+    return ranges(texts, TOGETHER)
 
 
 class LibraryEncoder:
@@ -130,13 +86,13 @@ class LibraryEncoder:
     its pieces one after the other. Texts that may hold special tokens go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces, self.words = Memo(cached), Memo(cached)
+        self.pieces, self.words = Memo("u4", cached), Memo("u4", cached)
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -162,7 +118,7 @@ class LibraryEncoder:
         All pieces of all texts are looked up at once, the unknown ones are learned, and the ids are gathered by
         cumulative offsets.
         """
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         special = pc.match_substring(texts, "<|")
         lists = _pieces(pc.if_else(special, "", texts))
         ids, lengths = self.pieces[self.pieces.find(lists.flatten(), self._ask_pieces)]
@@ -174,11 +130,6 @@ class LibraryEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
-
-
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append ``end_id`` and write all ids to ``path``, by ascending document id.
 
@@ -195,7 +146,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, block = library_encoder(vocabulary).encode_many, TaskContext.get().partitionId(), 0
+        encode, shard, block = held(LibraryEncoder, vocabulary).encode_many, TaskContext.get().partitionId(), 0
         ids: list = []
         coded: list[bytes] = []
         size = 0

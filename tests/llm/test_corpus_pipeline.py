@@ -37,8 +37,7 @@ def test_stages_against_plain_versions(spark, odd_dir, tmp_path):
     assert rows(good) == [r for r in rows(docs) if model.score(r["text"] or "") >= 0.3]
 
     one = staged("simhash", good)
-    prints = {r["doc_id"]: plain.simhash(r["text"]) for r in rows(good)}
-    least = plain.components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = plain.near_copies({r["doc_id"]: r["text"] for r in rows(good)})
     assert rows(one) == [r for r in rows(good) if least[r["doc_id"]] == r["doc_id"]]
 
     clean = staged("secrets", one)
