@@ -121,21 +121,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A key with more than one row in so many is joined by a broadcast: there are fewer such keys than this.
-HOT = 1000
-
-
-def join_unevenly(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``named``, which has one row for each key and the number ``n`` of its rows; ``n`` is left out.
-
-    Keys with more than one row in ``HOT`` of ``total`` are at most ``HOT``: what ``named`` has of them is broadcast, so
-    that their rows stay where they are. The others are shuffled, and none of them fills a task.
-    """
-    hot = named.filter(F.col("n") > total / HOT).drop("n")
-    cold = named.filter(F.col("n") <= total / HOT).drop("n")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
-
-
 #: Texts are worked on together up to so many bytes.
 TOGETHER = 1 << 21
 

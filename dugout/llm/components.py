@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dugout.llm.common import forget, join_unevenly, materialize
+from dugout.llm.common import forget, materialize
 
 
-def _least(links: DataFrame, value: Column) -> DataFrame:
-    """Of each node u: m, the least ``value`` of its links, and n, their number."""
-    return links.groupBy("u").agg(value.alias("m"), F.count("*").alias("n"))
+def _with_least(links: DataFrame, value: Column, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Links with m, the least ``value`` of the links of their u; and the table of u and m. That is written first: of a
+    join of two tables Spark splits the partition of a node that has very many links."""
+    least = materialize(links.groupBy("u").agg(value.alias("m")), tag)
+    return links.join(least, "u"), least
 
 
-def _large_star(links: DataFrame, total: int) -> DataFrame:
-    """Each node's larger neighbours, linked to the least node it knows."""
+def _round(links: DataFrame, tag: str) -> DataFrame:
+    """Large star and small star on links u > v; their result again has u > v, and every component stays connected."""
+    # large star: each node's larger neighbours are linked to the least node it knows
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    known = join_unevenly(both, _least(both, F.least(F.min("v"), F.col("u"))), "u", 2 * total)
-    return known.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-
-
-def _small_star(links: DataFrame, total: int) -> DataFrame:
-    """Each node and its smaller neighbours, linked to the least of them."""
-    least = _least(links, F.min("v"))
-    joined = join_unevenly(links, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    known, first = _with_least(both, F.least(F.min("v"), F.col("u")), tag)
+    large = materialize(known.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), tag)
+    # small star: each node and its smaller neighbours are linked to the least of them
+    known, second = _with_least(large, F.min("v"), tag)
+    small = known.select(F.col("v").alias("u"), F.col("m").alias("v")).union(second.select("u", F.col("m").alias("v")))
+    small = materialize(small.filter("u <> v").distinct(), tag)
+    for done in (links, first, large, second):
+        forget(done)
+    return small
 
 
 def _stars(links: DataFrame) -> bool:
@@ -38,15 +41,10 @@ def _stars(links: DataFrame) -> bool:
 def least_reachable(links: DataFrame, a: str = "a", b: str = "b", tag: str = "links") -> DataFrame:
     """For every node of a component with others: ``node``, and ``root``, the component's least node, but for the root's own row.
 
-    Nodes are of any type with an order. A node of so many links that it would fill a task gets its minimum by a
-    broadcast (``join_unevenly``). After each step the links are written to the shared folder. The work ends when all
-    links are stars.
+    Nodes are of any type with an order. After each step the links are written to the shared folder. The work ends
+    when all links are stars.
     """
     now = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), tag)
     while not _stars(now):
-        before = now
-        large = materialize(_large_star(before, before.count()), tag)
-        now = materialize(_small_star(large, large.count()), tag)
-        forget(before)
-        forget(large)
+        now = _round(now, tag)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

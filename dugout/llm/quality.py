@@ -70,7 +70,9 @@ def grams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     places = np.concatenate([place, place[:-1][next_], place, place[:-1][next_], place[:-2][third]])
     both = places * BUCKETS + ((grams >> np.uint64(40)) % np.uint64(BUCKETS - 1)).astype(np.int64)
     both.sort()
-    both = both[np.append(both[:-1] != both[1:], len(both) > 0)]
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
     return both // BUCKETS, both % BUCKETS
 
 
@@ -199,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     first = Window.orderBy(F.xxhash64(F.col("_id"), F.lit(11)), "_id")  # of `rows` rows at most
     within = found.withColumn("sum", F.sum(F.size("f")).over(first)).filter(F.col("sum") <= FIT_GRAMS)
     table = within.select("_id", "_label", "f").toArrow().sort_by("_id").combine_chunks()
-    grams = [x.values.to_numpy().astype(np.int64) for x in table.column("f")]
+    grams = [x.values.to_numpy() for x in table.column("f")]
     return fit(grams, np.array(table.column("_label").to_pylist(), np.int64))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import col, join_unevenly, map_columns, materialize, numbered, renamed, shuffle_partitions
+from dugout.llm.common import col, map_columns, materialize, numbered, renamed, shuffle_partitions
 from dugout.llm.components import least_reachable
 
 BITS, SEED = 64, 42
@@ -244,12 +244,11 @@ def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str,
     rows = prints.select(F.explode(keys).alias("key"), F.lit(0).cast("long").alias("part"), *names, root.alias("root"))
     found = materialize(_in_buckets(rows, len(names), radius, block, across), tag)
     large = found.filter("key is not null").select("key", *names, "root")
-    n_large = large.count()
-    if n_large:
-        sizes = large.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).alias("blocks"))
+    if not large.isEmpty():
+        sizes = materialize(large.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
         own = F.pmod(F.xxhash64(*names), F.col("blocks"))
         others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))
-        cut = join_unevenly(large, sizes, "key", n_large).withColumn("own", own).withColumn("o", F.explode(others))
+        cut = large.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others))
         cut = cut.select("key", (F.least("own", "o") * F.col("blocks") + F.greatest("own", "o")).alias("part"), *names, "root")
         found = found.unionByName(_in_buckets(cut, len(names), radius, None, across))
     return found.filter("key is null").select("w0", "w1", "other0", "other1").distinct()
@@ -262,14 +261,14 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
 
 
 def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, node) with component_id: the least id of the component that ``roots`` makes of its node."""
-    units = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-    units = units.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
-    units = materialize(units.select("node", "first_id", "rows", F.coalesce("root", "node").alias("root")), "units")
-    each = units.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    n_units, n_rows = units.agg(F.count("*"), F.sum("rows")).first()
-    named = join_unevenly(units, each, "root", n_units or 0).select("node", "component_id", F.col("rows").alias("n"))
-    return join_unevenly(rows, materialize(named, "named"), "node", n_rows or 0)
+    """``rows`` (doc_id, node) with component_id: the least id of the component that ``roots`` makes of its node.
+
+    What a large component or a much copied node is joined with is written first, so that Spark splits the partition.
+    """
+    units = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    units = materialize(units.select("node", "first_id", F.coalesce("root", "node").alias("root")), "units")
+    each = materialize(units.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
+    return rows.join(materialize(units.join(each, "root").select("node", "component_id"), "named"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
@@ -324,7 +323,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
 
     Documents are linked where their fingerprints collide in a table of one of their two words (as all do that differ
     in twice ``NEAR_RADIUS`` bits and one, or fewer) and agree in four fifths of all bits, and the Jaccard similarity of their distinct shingles is ``similar`` or more. First the links
-    that connect each bucket are compared exactly; where these leave parts of a group apart, so are all other pairs
+    that connect each bucket are compared exactly; where these leave parts of a bucket apart, so are all other pairs
     that collide across the parts. Texts of one fingerprint (as are those without words) are taken as one. Null texts
     count as empty. Repeated rows are all returned. Other columns, and rows with a null id, are left out.
     """
@@ -357,12 +356,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     parts = least_reachable(near, tag="near-links")
     if near.count() == n:
         return _named(rows, parts).select("doc_id", "x", "component_id")
-    groups = least_reachable(tried, tag="tried-links")
-    # groups of which some parts hang together by no pair that was compared: all other pairs across these
-    placed = nodes.join(groups.withColumnRenamed("root", "g"), "node", "left").join(parts, "node", "left")
-    placed = materialize(placed.select("node", F.coalesce("g", "node").alias("g"), F.coalesce("root", "node").alias("part")), "placed")
-    each = placed.groupBy("g").agg(F.count("*").alias("n"), (F.min("part") != F.max("part")).alias("open"))
-    open_ = join_unevenly(placed, each, "g", 2 * n).filter("open").select("node.*", F.xxhash64("part").alias("root"))
+    # parts that pairs lead across: members of a bucket that no compared pair connects are in such, so all other pairs
+    # that collide across them are compared
+    placed = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "placed")
+    at = lambda end: placed.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+    split = tried.join(at("a"), "a").join(at("b"), "b").filter("part_a <> part_b").select(F.explode(F.array("part_a", "part_b")).alias("part"))
+    open_ = placed.join(materialize(split.distinct(), "split"), "part", "left_semi").select("node.*", F.xxhash64("part").alias("root"))
     across = pairs(open_, "open", across=True).join(tried, ["a", "b"], "left_anti")
     near = near.unionByName(_verified(across, sets, similar))
     return _named(rows, least_reachable(near, tag="near-links")).select("doc_id", "x", "component_id")
