@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import col, map_columns
+from dugout.llm.common import col, dealt, map_columns, slices
 
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
@@ -92,16 +92,19 @@ def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", id_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            gathered: dict[str, list[np.ndarray]] = {}
-            for i, name in enumerate(langs):
-                codes = gram_codes(batch.column(1)[i].as_py())
-                if codes is not None:
-                    gathered.setdefault(name, []).append(codes)
-            for name, parts in gathered.items():
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"]
-                )
+            at = 0
+            for part in slices(batch.column(1)):
+                gathered: dict[str, list[np.ndarray]] = {}
+                for name, value in zip(langs[at : at + len(part)], part, strict=True):
+                    codes = gram_codes(value.as_py())
+                    if codes is not None:
+                        gathered.setdefault(name, []).append(codes)
+                at += len(part)
+                for name, codes in gathered.items():
+                    grams, counts = np.unique(np.concatenate(codes), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"]
+                    )
 
     totals = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -122,11 +125,15 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list[
     Repeated rows have equal results; other columns pass through, but for one named like an output.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # as many ranks as n-grams times languages
+
     def make():
+        known = shared.value
+
         def work(column: pa.Array):
-            made = [profiles.predict(t.as_py()) for t in column]
+            made = [known.predict(t.as_py()) for t in column]
             return [m[0] for m in made], [m[1] for m in made]
 
         return work
 
-    return map_columns(docs, make, PREDICTED, [text], keep)
+    return map_columns(dealt(docs), make, PREDICTED, [text], keep)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import Memo, col, held, map_columns, numbered, renamed, slices
+from dugout.llm.common import Memo, col, dealt, held, map_columns, numbered, renamed, slices
 
 #: Buckets of the hashed n-grams. The last feature is the constant one.
 BUCKETS = 1 << 18
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         return work
 
-    return map_columns(docs, make, SCORED, [text], keep)
+    return map_columns(dealt(docs), make, SCORED, [text], keep)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -161,10 +161,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def scan_text(text: str, cuts: Mapping[int, float]) -> list[tuple[int, int, int, float | None]]:
     """Start, kind's number, end and p-value (of random tokens) of every secret, by start, then kind."""
-    base = base_spans(text)
-    found = [(a, kind, b, None) for a, kind, b in base]
+    found: list[tuple[int, int, int, float | None]] = [(a, kind, b, None) for a, kind, b in base_spans(text)]
     for a, b, p in candidates(text):
-        if p > cuts.get(stratum(text[a:b]), 1.0) and not any(x < b and a < y for x, _, y in base):
+        if p > cuts.get(stratum(text[a:b]), 1.0):
             found.append((a, 3, b, p))
     return sorted(found, key=lambda s: s[:3])
 
@@ -217,8 +216,8 @@ def find_secrets(
     """Add ``spans``: kind, start, end (code points, end exclusive) and p-value of every secret of the whole text.
 
     ``cuts`` are those of ``learn_cuts``, learned from ``docs`` where they aren't given. A null or empty text
-    has an empty list. Spans of one kind don't overlap; random tokens that touch a span of another kind are left
-    to it. Repeated rows have equal results; other columns pass through, but for one named ``spans``.
+    has an empty list. Spans of one kind don't overlap; a random token is reported beside a span of another kind that
+    it touches. Runs of fewer than ``LONG`` characters aren't tested. Repeated rows have equal results; other columns pass through, but for one named ``spans``.
     """
     cuts = learn_cuts(docs, text) if cuts is None else cuts
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import col, map_columns, materialize, numbered, renamed, shuffle_partitions
+from dugout.llm.common import col, dealt, map_columns, materialize, numbered, renamed, shuffle_partitions
 from dugout.llm.components import least_reachable
 
 BITS, SEED = 64, 42
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     any other. Null ids are no component's name: a component of such rows only has a null name. Repeated rows
     are all returned. Other columns are left out.
     """
-    prints = fingerprints(docs.select(col(id_col).cast("long").alias("doc_id"), col(text).alias("text")), keep=["doc_id"], words=words)
+    prints = fingerprints(dealt(docs.select(col(id_col).cast("long").alias("doc_id"), col(text).alias("text"))), keep=["doc_id"], words=words)
     prints = materialize(prints.withColumnRenamed("simhash", "node"), "simhash")
     roots = least_reachable(links(prints.select(F.col("node").alias("simhash")).distinct(), radius), tag="simhash-links")
     return _named(prints, roots).select("doc_id", F.col("node").alias("simhash"), "component_id")
@@ -338,7 +338,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
         return work
 
     two = T.StructType([T.StructField("w0", T.LongType()), T.StructField("w1", T.LongType())])
-    rows = map_columns(source, make, two, ["text"], ["doc_id", "x"])
+    rows = map_columns(dealt(source), make, two, ["text"], ["doc_id", "x"])
     rows = materialize(rows.select("doc_id", "x", F.struct("w0", "w1").alias("node")), "prints")
     masks = [narrowed(covering_masks(NEAR_RADIUS), KEY_BITS, word) for word in (0, 1)]
 

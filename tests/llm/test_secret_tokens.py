@@ -62,3 +62,19 @@ def test_cuts_count_distinct_tokens(spark):
     for token in (copied, high):
         assert secrets.learn_cuts(docs(true + words + [f"{token} and {token}"] * 3000)) == once
     assert max(once.values()) < 0.3
+
+
+def test_planted_secrets_and_false_discoveries(spark):
+    """Of planted random values nearly all are found, beside the base spans that hold some; of what is found few are words."""
+    rng = np.random.default_rng(26)
+    letters = list(secrets.ALPHABETS["base62"])
+    planted = ["".join(rng.choice(letters, int(rng.integers(20, 60)))) for _ in range(800)]
+    syllables = ["ba", "tron", "el", "is", "qua", "mor", "ven", "dal", "x2", "k9", "Zu", "Ter"]
+    words = ["".join(rng.choice(syllables, int(rng.integers(9, 16)))) for _ in range(800)]
+    rows = [(i, f"{'password: ' if i % 4 == 0 else 'see '}{p} and {w} there") for i, (p, w) in enumerate(zip(planted, words, strict=True))]
+    hits = wrong = 0
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = {r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"}
+        hits += planted[r["doc_id"]] in found
+        wrong += len(found - {planted[r["doc_id"]]})
+    assert hits > 0.9 * len(planted) and wrong < 0.1 * (hits + wrong)
