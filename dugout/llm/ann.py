@@ -4,7 +4,8 @@ Euclidean order is that of the inner product less half the squared length, so th
 product. A vector's residual from its cell's centre is coded by four bits for each pair of dimensions, under
 the anisotropic loss: error parallel to the vector counts more than error across it, since the queries for
 which the vector scores high point its way. A query's table has its product with every code word; scores
-are sums of table entries, two codes at a time. The best by code are ranked anew by their exact distance.
+are sums of table entries, two codes at a time. Of all that a query scans, the best by code, so many for each
+query however large the table, are ranked anew by their exact distance.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ MAX_CELLS = 4096
 LEAST_ROWS = 256
 #: Share of the cells that a query looks into. These vectors have hardly any clusters; real ones need far less.
 PROBED = 0.65
-#: By code, so many of each cell are ranked by exact distance for each query.
-RERANKED = 48
-#: A part of a cell has at most about so many vectors, and meets at most about so many queries at a time.
+#: So many of each query's best by code are ranked by exact distance.
+RERANKED = 160
+#: A part of the index has about so many vectors, and meets about so many queries at a time.
 PART_ROWS, PART_QUERIES = 8192, 2048
 #: The cosine from which on a query counts in the loss; it sets how much more parallel error weighs.
 ALIGNED = 0.2
@@ -152,7 +153,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """Rows (vec_id, v) that take part: an id, and a vector without null, NaN or infinite components, not all zero,
-    of the commonest length (of several, the greatest). Repeated rows count once."""
+    of the commonest length (of several, the greatest). Repeated rows count once; of several vectors of one id the least
+    counts."""
     rows = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vector).alias("v"))
     rows = rows.filter(
         F.col("vec_id").isNotNull()
@@ -160,10 +162,11 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
         & F.exists("v", lambda x: x != 0)
     )
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("v") == (common["n"] if common else 0))
+    return rows.filter(F.size("v") == (common["n"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-SCHEMA = "query long, d double, rep long, ids array<bigint>"
+MET = pa.schema([("query", pa.int64()), ("score", pa.float32()), ("rep", pa.int64())])
+MET_DDL = "query long, score float, rep long"
 
 
 def search(
@@ -174,16 +177,16 @@ def search(
     rows: query_id, rank, vec_id, score (Euclidean distance in double precision), ties by id.
 
     Copies of a vector are one entry of the index that names its k + 1 least ids, which is all that any query can
-    return of them; queries with equal vectors search once. Cells are cut into parts, and meet queries in blocks,
-    so no group grows with the table. Rows that don't take part (``usable``) neither ask nor are found. Other
+    return of them; queries with equal vectors search once. The index is cut into parts of all cells, whose codes meet
+    queries in blocks, so no group grows with the table. The ``reranked`` best by code of each query, over all parts, are
+    ranked by their distance. Rows that don't take part (``usable``) neither ask nor are found. Other
     columns are left out; too few candidates give as many rows as there are.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector).withColumn("h", F.xxhash64("v"))
+    rows = materialize(usable(vectors, id_col, vector).withColumn("h", F.xxhash64("v")), "usable")
     first = Window.partitionBy("h", "v").orderBy("vec_id")
     reps = (
-        rows.dropDuplicates(["vec_id", "h", "v"])
-        .withColumn("n", F.row_number().over(first))
+        rows.withColumn("n", F.row_number().over(first))
         .filter(F.col("n") <= k + 1)  # planned as a limit for each group, also before the shuffle
         .groupBy("h", "v")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -205,71 +208,68 @@ def search(
         def work(column: pa.Array):
             x = _matrix(column)
             if not len(x):
-                return [], []
+                return [], [], []
             cell = index.cells(x)
-            return pa.array(cell.astype(np.int32)), [c.tobytes() for c in index.codes(x, cell)]
+            half = (x.astype(np.float64) ** 2).sum(1) / 2
+            return pa.array(cell.astype(np.int32)), [c.tobytes() for c in index.codes(x, cell)], pa.array(half.astype(np.float32))
 
         return work
 
-    coded = map_columns(
-        reps.drop("h"), coder, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType())]), ["v"]
-    )
-    coded = materialize(coded, "codes")
-    sizes = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row for each cell
-    parts = [math.ceil(sizes.get(c, 0) / PART_ROWS) for c in range(len(index.centres))]
-    blocks = math.ceil(n_queries / PART_QUERIES)
-    part_count = F.lit(parts)[F.col("cell")]
-    block_of_cell = coded.select(
+    parts, blocks = math.ceil(n_rows / PART_ROWS), math.ceil(n_queries / PART_QUERIES)
+    made = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("half", T.FloatType())])
+    # a block of queries needs the codes, not the vectors
+    coded = map_columns(reps, coder, made, ["v"], ["rep"]).select(
         "*",
-        F.pmod(F.xxhash64("rep"), part_count).cast("int").alias("part"),
+        F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-
-    def prober():
-        def work(column: pa.Array):
-            x = _matrix(column)
-            return [index.probed(x, probed).tolist() if len(x) else []]
-
-        return work
-
-    asking = map_columns(queries, prober, T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType()))]), ["v"])
-    asking = asking.select("query", "v", F.explode("cells").alias("cell")).filter(part_count > 0)
-    asking = asking.select(
-        "query", "v", "cell",
-        F.explode(F.sequence(F.lit(0), part_count - 1)).alias("part"),
+    asking = queries.select(
+        "*",
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
         F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"),
-    )
+    )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query", pa.int64()), ("d", pa.float64()), ("rep", pa.int64()), ("ids", pa.list_(pa.int64()))])
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        left, right = left.combine_chunks(), right.combine_chunks()
-        x, cell = _matrix(left.column("v").combine_chunks()), left.column("cell")[0].as_py()
-        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-        reps_, ids = left.column("rep").to_numpy(), left.column("ids").combine_chunks()
+            return MET.empty_table()
+        cell = left.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)[order]
+        reps_, half = left.column("rep").to_numpy()[order], left.column("half").to_numpy()[order]
+        starts = np.searchsorted(cell[order], np.arange(len(index.centres) + 1))
         q, names = _matrix(right.column("v").combine_chunks()), right.column("query").to_numpy()
-        wide = x.astype(np.float64)
-        half = (wide * wide).sum(1) / 2
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(q), 128):
-            some = q[a : a + 128]
-            centre = index.pad(some) @ index.centres[cell]
-            score = index.scan(some, codes) + centre[None, :] - half[:, None].astype(np.float32)
-            n = min(reranked, len(x))
+        out: list[pa.Table] = []
+        for a in range(0, len(q), 64):
+            some = q[a : a + 64]
+            asks = np.zeros((len(index.centres), len(some)), bool)
+            asks[index.probed(some, probed).T, np.arange(len(some))] = True
+            score = np.full((len(cell), len(some)), -np.inf, np.float32)
+            for c in np.flatnonzero(asks.any(axis=1) & (np.diff(starts) > 0)):
+                who, own = np.flatnonzero(asks[c]), slice(starts[c], starts[c + 1])
+                near = index.scan(some[who], codes[own]) + index.pad(some[who]) @ index.centres[c]
+                score[own, who] = near - half[own, None]
+            n = min(reranked, len(cell))
             best = np.argpartition(-score, n - 1, axis=0)[:n]
-            for j in range(len(some)):
-                c = best[:, j]
-                d = np.sqrt(((wide[c] - some[j].astype(np.float64)) ** 2).sum(1))
-                c, d = (y[np.lexsort((reps_[c], d))[: k + 1]] for y in (c, d))
-                out.append((np.full(len(c), names[a + j]), d, c))
-        who, d, c = (np.concatenate(y) for y in zip(*out, strict=True))
-        return pa.Table.from_arrays([pa.array(who), pa.array(d), pa.array(reps_[c]), ids.take(pa.array(c))], schema=schema)
-
-    met = block_of_cell.groupBy("cell", "part", "block").cogroup(asking.groupBy("cell", "part", "block")).applyInArrow(meet, SCHEMA)
+            found = np.take_along_axis(score, best, axis=0)
+            j, i = np.nonzero(np.isfinite(found).T)
+            out.append(pa.Table.from_arrays([pa.array(names[a + j]), pa.array(found[i, j]), pa.array(reps_[best[i, j]])], schema=MET))
+        return pa.concat_tables(out)
+
+    met = coded.groupBy("part", "block").cogroup(asking.groupBy("part", "block")).applyInArrow(meet, MET_DDL)
+    by_code = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    short = met.withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= reranked).select("query", "rep")
+    short = short.join(reps.select("rep", "ids", "v"), "rep").join(queries.withColumnRenamed("v", "q"), "query")
+
+    def ranker():
+        def work(v: pa.Array, q: pa.Array):
+            return [pa.array(np.sqrt(((_matrix(v).astype(np.float64) - _matrix(q).astype(np.float64)) ** 2).sum(1)))]
+
+        return work
+
+    exact = map_columns(short, ranker, T.StructType([T.StructField("d", T.DoubleType())]), ["v", "q"], ["query", "rep", "ids"])
     nearest = Window.partitionBy("query").orderBy("d", "rep")
     # of the k + 1 nearest entries at most k + 1 ids can be among the nearest
-    near = met.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1)
+    near = exact.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1)
     near = near.select("query", "d", F.explode("ids").alias("vec_id"))
     found = asked.join(near, "query").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))

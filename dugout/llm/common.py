@@ -69,11 +69,16 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            made = work(*[batch.column(i) for i in places])
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
-            out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_kept)], *arrays], names=names)
-            yield out if picked is None else out.filter(out.column(picked))
+        for whole in batches:
+            first = whole.column(places[0])
+            # texts a few at a time, so that neither they nor what is made of them take much memory
+            text = pa.types.is_string(first.type) or pa.types.is_large_string(first.type) or pa.types.is_binary(first.type)
+            for a, b in ranges(first, TOGETHER) if text and len(first) else [(0, len(first))]:
+                batch = whole.slice(a, b - a)
+                made = work(*[batch.column(i) for i in places])
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
+                out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n_kept)], *arrays], names=names)
+                yield out if picked is None else out.filter(out.column(picked))
         pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(run, schema)

@@ -155,13 +155,14 @@ def spanning_links(group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     return group[a], group[b]
 
 
-def linking_pairs(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius of members of different roots."""
+def nearest_across(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member with the nearest one of another root, if that is within the radius."""
     found = [(np.empty((0, prints.shape[1]), prints.dtype),) * 2]
     for k in range(0, len(prints), 64):
-        near = (_apart(prints[k : k + 64], prints[k:]) <= radius) & (roots[k : k + 64, None] != roots[None, k:])
-        i, j = np.nonzero(near)
-        found.append((prints[k + i], prints[k + j]))
+        apart = np.where(roots[k : k + 64, None] == roots[None, :], radius + 1, _apart(prints[k : k + 64], prints))
+        j = apart.argmin(axis=1)
+        near = np.flatnonzero(apart[np.arange(len(j)), j] <= radius)
+        found.append((prints[k + near], prints[j[near]]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
@@ -180,8 +181,9 @@ def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, acr
     """``FOUND`` of rows (key, part, w0 and, of two words, w1, root), dealt out and sorted by key and part.
 
     A bucket, which has one key and part, is worked on when it is complete. One of more than ``block`` rows isn't: its
-    rows go out as they come. With ``across``, all pairs within the radius of different roots are found, else links
-    that connect as all pairs do.
+    rows go out as they come. With ``across``, each member is linked to the nearest within the radius of another root,
+    else links are found that connect the members just as all pairs within the radius do. Both are at most as many as
+    the members.
     """
 
     def complete(rows: list[np.ndarray], starts: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
@@ -201,7 +203,7 @@ def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, acr
         a, b = [prints[two[near]]], [prints[two[near] + 1]]
         for k in np.flatnonzero((sizes > 2) & ~out):
             some = slice(starts[k], ends[k])
-            x, y = linking_pairs(prints[some], roots[some], radius) if across else spanning_links(prints[some], radius)
+            x, y = nearest_across(prints[some], roots[some], radius) if across else spanning_links(prints[some], radius)
             a.append(x)
             b.append(y)
         yield _found(np.concatenate(a), np.concatenate(b))
@@ -322,10 +324,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     """One row per row of ``docs`` with an id: doc_id, x (a hash of the text), and component_id, the least id reachable by links.
 
     Documents are linked where their fingerprints collide in a table of one of their two words (as all do that differ
-    in twice ``NEAR_RADIUS`` bits and one, or fewer) and agree in four fifths of all bits, and the Jaccard similarity of their distinct shingles is ``similar`` or more. First the links
-    that connect each bucket are compared exactly; where these leave parts of a bucket apart, so are all other pairs
-    that collide across the parts. Texts of one fingerprint (as are those without words) are taken as one. Null texts
-    count as empty. Repeated rows are all returned. Other columns, and rows with a null id, are left out.
+    in twice ``NEAR_RADIUS`` bits and one, or fewer) and agree in four fifths of all bits, and the Jaccard similarity of
+    their distinct shingles is ``similar`` or more. The links that connect each bucket are compared exactly. While these
+    leave parts of a bucket apart, each member of such a part is compared with the nearest of another part, round after
+    round until no new link is found: so a bucket never gives more pairs than members. Texts of one fingerprint (as are
+    those without words) are taken as one. Null texts count as empty. Repeated rows are all returned. Other columns, and
+    rows with a null id, are left out.
     """
     source = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("x"), col(text).alias("text")).filter("doc_id is not null")
 
@@ -353,18 +357,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     wanted = rows.join(F.broadcast(nodes) if 2 * n <= BROADCAST_KEYS else nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("r"))
     sets = materialize(_sets_of(source, wanted.select("node", "r.*"), 2 * n, words), "sets")
     near = materialize(_verified(tried, sets, similar), "near")
-    parts = least_reachable(near, tag="near-links")
-    if near.count() == n:
-        return _named(rows, parts).select("doc_id", "x", "component_id")
-    # parts that pairs lead across: members of a bucket that no compared pair connects are in such, so all other pairs
-    # that collide across them are compared
-    placed = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "placed")
-    at = lambda end: placed.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-    split = tried.join(at("a"), "a").join(at("b"), "b").filter("part_a <> part_b").select(F.explode(F.array("part_a", "part_b")).alias("part"))
-    open_ = placed.join(materialize(split.distinct(), "split"), "part", "left_semi").select("node.*", F.xxhash64("part").alias("root"))
-    across = pairs(open_, "open", across=True).join(tried, ["a", "b"], "left_anti")
-    near = near.unionByName(_verified(across, sets, similar))
-    return _named(rows, least_reachable(near, tag="near-links")).select("doc_id", "x", "component_id")
+    while True:
+        parts = least_reachable(near, tag="near-links")
+        if near.count() == tried.count():
+            break
+        # members of a bucket that pairs compared so far leave in several parts are in parts that such a pair leads across
+        placed = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "placed")
+        at = lambda end, placed=placed: placed.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+        split = tried.join(at("a"), "a").join(at("b"), "b").filter("part_a <> part_b").select(F.explode(F.array("part_a", "part_b")).alias("part"))
+        open_ = placed.join(materialize(split.distinct(), "split"), "part", "left_semi").select("node.*", F.xxhash64("part").alias("root"))
+        across = materialize(pairs(open_, "open", across=True).join(tried, ["a", "b"], "left_anti"), "across")
+        more = materialize(_verified(across, sets, similar), "near")
+        if more.isEmpty():
+            break
+        near, tried = materialize(near.unionByName(more), "near"), materialize(tried.unionByName(across), "tried")
+    return _named(rows, parts).select("doc_id", "x", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = NEAR_WORDS) -> DataFrame:

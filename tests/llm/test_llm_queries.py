@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import plain
-from dugout.llm import ctph, queries
+from dugout.llm import ann, ctph, queries
 from plain import sha
 
 Q = queries.queries()
@@ -133,6 +133,30 @@ def test_op5_recall_with_cells(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_op5_goes_by_the_codes(spark, monkeypatch):
+    """Few distances are computed for each query, and codes of no meaning find little."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert ann.RERANKED < 0.15 * table.count()
+    true = {(r["query_id"], r["vec_id"]) for r in ann.search(table, lambda i: i % 100 == 0, probed=1.0, reranked=2000).collect()}
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in ann.search(table, lambda i: i % 100 == 0).collect()}) >= 0.9 * len(true)
+    fit = ann.fit
+
+    def meaningless(x, rows):
+        index = fit(x, rows)
+        index.words[:] = 0
+        index.centres[:] = index.centres.mean(axis=0)
+        return index
+
+    monkeypatch.setattr(ann, "fit", meaningless)
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in ann.search(table, lambda i: i % 100 == 0, probed=1.0).collect()}) < 0.5 * len(true)
+
+
+def test_op5_one_vector_for_an_id(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(7, [100.0, 1.0]), (7, [7.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 5, k=4).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 4), (2, 6), (3, 3), (4, 7)]
+
+
 def test_op6(spark, odd_dir):
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd_dir}/documents.parquet'")
