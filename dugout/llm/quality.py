@@ -200,9 +200,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     found = map_columns(source, make, T.StructType([T.StructField("f", T.ArrayType(T.IntegerType()))]), ["_text"], ["_id", "_label"])
     first = Window.orderBy(F.xxhash64(F.col("_id"), F.lit(11)), "_id")  # of `rows` rows at most
     within = found.withColumn("sum", F.sum(F.size("f")).over(first)).filter(F.col("sum") <= FIT_GRAMS)
-    table = within.select("_id", "_label", "f").toArrow().sort_by("_id").combine_chunks()
-    grams = [x.values.to_numpy() for x in table.column("f")]
-    return fit(grams, np.array(table.column("_label").to_pylist(), np.int64))
+    table = within.select("_id", "_label", "f").toArrow()
+    order = np.argsort(table.column("_id").to_numpy())
+    grams = [x.values.to_numpy() for chunk in table.column("f").chunks for x in chunk]
+    model = fit([grams[i] for i in order], table.column("_label").to_numpy().astype(np.int64)[order])
+    del table, grams
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -241,8 +241,11 @@ def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str,
     """
     names = [c for c in ("w0", "w1") if c in prints.columns]
     root = F.col("root") if across else F.lit(0).cast("long")
-    tables = [(w, m) for w, own in zip(names, masks, strict=True) for m in own]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col(w).bitwiseAND(F.lit(m))) for t, (w, m) in enumerate(tables)])
+
+    def keyed(word: str, own: list[int]):
+        return F.transform(F.array(*map(F.lit, own)), lambda mask: F.xxhash64(F.lit(word), mask, F.col(word).bitwiseAND(mask)))
+
+    keys = F.concat(*map(keyed, names, masks))
     rows = prints.select(F.explode(keys).alias("key"), F.lit(0).cast("long").alias("part"), *names, root.alias("root"))
     found = materialize(_in_buckets(rows, len(names), radius, block, across), tag)
     large = found.filter("key is not null").select("key", *names, "root")
@@ -253,7 +256,7 @@ def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str,
         cut = large.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others))
         cut = cut.select("key", (F.least("own", "o") * F.col("blocks") + F.greatest("own", "o")).alias("part"), *names, "root")
         found = found.unionByName(_in_buckets(cut, len(names), radius, None, across))
-    return found.filter("key is null").select("w0", "w1", "other0", "other1").distinct()
+    return found.filter("key is null").select("w0", "w1", "other0", "other1")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -370,7 +373,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
         more = materialize(_verified(across, sets, similar), "near")
         if more.isEmpty():
             break
-        near, tried = materialize(near.unionByName(more), "near"), materialize(tried.unionByName(across), "tried")
+        near, tried = near.unionByName(more), tried.unionByName(across)
     return _named(rows, parts).select("doc_id", "x", "component_id")
 
 
