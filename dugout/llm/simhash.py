@@ -310,17 +310,15 @@ def _sets_of(source: DataFrame, wanted: DataFrame, n: int, words: int) -> DataFr
     return sets.groupBy("node").agg(F.min("set").alias("set"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs a, b of nodes whose sets are at least so similar. Sets of very unequal sizes can't be."""
+def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs a, b of nodes, written, with ``near``: whether their sets are at least so similar."""
 
     def make():
         return lambda x, y: [[similarity(a.as_py(), b.as_py()) >= similar for a, b in zip(x, y, strict=True)]]
 
-    sized = F.least(F.length("x"), F.length("y")) >= F.lit(similar) * F.greatest(F.length("x"), F.length("y"))
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").filter(sized)
-    near = map_columns(joined, make, T.StructType([T.StructField("near", T.BooleanType())]), ["x", "y"], ["a", "b"], chosen="near")
-    return near.select("a", "b")
+    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return materialize(map_columns(joined, make, T.StructType([T.StructField("near", T.BooleanType())]), ["x", "y"], ["a", "b"]), "compared")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = NEAR_WORDS) -> DataFrame:
@@ -359,21 +357,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = rows.join(F.broadcast(nodes) if 2 * n <= BROADCAST_KEYS else nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("r"))
     sets = materialize(_sets_of(source, wanted.select("node", "r.*"), 2 * n, words), "sets")
-    near = materialize(_verified(tried, sets, similar), "near")
+    compared = _compared(tried, sets, similar)
     while True:
-        parts = least_reachable(near, tag="near-links")
-        if near.count() == tried.count():
-            break
-        # members of a bucket that pairs compared so far leave in several parts are in parts that such a pair leads across
+        parts = least_reachable(compared.filter("near").select("a", "b"), tag="near-links")
+        apart = compared.filter("not near")
+        ends = apart.select(F.col("a").alias("node")).distinct().unionByName(apart.select(F.col("b").alias("node")).distinct()).distinct()
+        # members of a bucket that compared pairs leave in several parts are in parts with an end of a pair that isn't near
         placed = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part")), "placed")
-        at = lambda end, placed=placed: placed.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-        split = tried.join(at("a"), "a").join(at("b"), "b").filter("part_a <> part_b").select(F.explode(F.array("part_a", "part_b")).alias("part"))
-        open_ = placed.join(materialize(split.distinct(), "split"), "part", "left_semi").select("node.*", F.xxhash64("part").alias("root"))
-        across = materialize(pairs(open_, "open", across=True).join(tried, ["a", "b"], "left_anti"), "across")
-        more = materialize(_verified(across, sets, similar), "near")
-        if more.isEmpty():
+        split = materialize(placed.join(ends, "node", "left_semi").select("part").distinct(), "split")
+        open_ = placed.join(split, "part", "left_semi").select("node.*", F.xxhash64("part").alias("root"))
+        across = pairs(open_, "open", across=True).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        more = _compared(across, sets, similar)
+        if more.filter("near").isEmpty():
             break
-        near, tried = near.unionByName(more), tried.unionByName(across)
+        compared = compared.unionByName(more)
     return _named(rows, parts).select("doc_id", "x", "component_id")
 
 
