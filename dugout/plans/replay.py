@@ -1,17 +1,19 @@
 """Replay: the state of every game, play by play.
 
-The event strings are parsed by Catalyst beforehand. What is left is a fold over one game's rows in order
-(some eighty of them): who stands on which base, who plays where, outs and score. It runs grouped by game.
+The event strings are parsed by Catalyst beforehand, fielding credits included. What is left is a fold over one game's
+rows in order (some eighty of them): who stands on which base, who plays where, outs and score. It runs grouped by game,
+once for both of its outputs.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dugout.functions.columns import balls_and_strikes
 from dugout.functions.events import CODES, parse_events
@@ -59,7 +61,7 @@ class Game:
         return self.lines.setdefault((player, position), fresh)
 
     def station(self, player: str, side, position, start: bool = False) -> None:
-        if pd.isna(side) or pd.isna(position) or not 1 <= position <= 9:
+        if side is None or position is None or not 1 <= position <= 9:
             return
         self.fielders[int(side), int(position)] = player
         line = self.line(player, int(position), int(side))
@@ -71,22 +73,22 @@ class Game:
             self.bases[int(base)] = player
             self.placed.add(player)
 
-    def play(self, p) -> dict:
-        half = int(p.half)
-        if (p.inning, half) != self.inning:
-            self.inning, self.outs = (p.inning, half), 0
+    def play(self, p: dict) -> dict:
+        half = int(p["half"])
+        if (p["inning"], half) != self.inning:
+            self.inning, self.outs = (p["inning"], half), 0
             self.bases = {b: r for b, r in self.bases.items() if r in self.placed}
         self.placed = set()
         before = dict(self.bases)
-        moves = {(0 if a["from"] == "B" else int(a["from"])): (_BASE[a["to"]], self._is_out(a)) for a in p.advances}
-        moves = implied_moves(p.plays) | moves
+        moves = {(0 if a["from"] == "B" else int(a["from"])): (_BASE[a["to"]], self._is_out(a)) for a in p["advances"]}
+        moves = implied_moves(p["plays"]) | moves
         if self.strict:
-            for base in re.findall(r"\(([123])\)", p.primary_basic if p.event_code == CODES["genericOut"] else ""):
+            for base in re.findall(r"\(([123])\)", p["primary_basic"] if p["event_code"] == CODES["genericOut"] else ""):
                 moves.setdefault(int(base), (int(base), True))
         if 0 in moves:
             batter = 0 if moves[0][1] else moves[0][0]
         else:
-            batter = int(p.hit_value) or int(p.batter_reached)
+            batter = int(p["hit_value"]) or int(p["batter_reached"])
         ends = {b: (0 if moves[b][1] else moves[b][0]) if b in moves else b for b in before}
         if batter == 1:  # a batter on first forces whoever stands in the way
             for b in (1, 2, 3):
@@ -94,7 +96,7 @@ class Game:
                     break
                 ends[b] = b + 1
         after: dict[int, str] = {}
-        for player, end in [*((before[b], ends[b]) for b in sorted(before)), (p.batter_id, batter)]:
+        for player, end in [*((before[b], ends[b]) for b in sorted(before)), (p["batter_id"], batter)]:
             if 1 <= end <= 3:
                 after[end] = player
         runs = [*ends.values(), batter].count(_HOME)
@@ -105,7 +107,7 @@ class Game:
             **{f"base{b}_before": before.get(b) for b in (1, 2, 3)}, **{f"run{b}_dest": ends.get(b, 0) for b in (1, 2, 3)},
         }
         self.score[half] += runs
-        self.outs += int(p.outs_on_play)
+        self.outs += int(p["outs_on_play"])
         self.bases = after
         self._field(p, fielding)
         return row
@@ -113,19 +115,20 @@ class Game:
     def _is_out(self, advance: dict) -> bool:
         return advance["out"] and not (self.strict and any("E" in x for x in advance["params"]))
 
-    def _field(self, p, side: int) -> None:
+    def _field(self, p: dict, side: int) -> None:
         for (s, position), player in self.fielders.items():
             if s == side:
-                self.line(player, position, side)["outs"] += int(p.outs_on_play)
+                self.line(player, position, side)["outs"] += int(p["outs_on_play"])
         helped = set()
-        for (position, kind), n in credits(p.plays, p.advances, p.event_code, p.primary_basic, p.batter_reached, p.passed_ball).items():
+        for credit in p["credits"]:
+            position, kind = credit["position"], credit["kind"]
             if player := self.fielders.get((side, position)):
-                self.line(player, position, side)[kind] += n
+                self.line(player, position, side)[kind] += 1
                 if kind in ("po", "a"):
                     helped.add((player, position))
         for key in helped:
-            self.lines[key]["dp"] += bool(p.double_play)
-            self.lines[key]["tp"] += bool(p.triple_play)
+            self.lines[key]["dp"] += bool(p["double_play"])
+            self.lines[key]["tp"] += bool(p["triple_play"])
 
 
 def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
@@ -134,9 +137,9 @@ def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments:
     Plays that are blank or ``NP`` are left out. Parsing happens here, before the shuffle by game.
     """
     live = plays.filter(~F.trim(F.coalesce("event", F.lit(""))).isin("", "NP")).withColumn("event", F.trim("event"))
-    parsed = parse_events(live).select("*", balls_and_strikes("count").alias("_c")).select(
+    parsed = parse_events(live).select("*", balls_and_strikes("count").alias("_c"), credits().alias("credits")).select(
         "game_id", "seq", F.lit("play").alias("kind"), "inning", "half", "batter_id", "_c.balls", "_c.strikes",
-        F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", *_PARSED,
+        F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", "credits", *_PARSED,
     )
     who = lambda df, kind, seq: df.select("game_id", seq.alias("seq"), F.lit(kind).alias("kind"), "player_id", "side", "fielding_position")
     out = parsed.unionByName(who(starts, "start", F.lit(-1)), allowMissingColumns=True)
@@ -150,35 +153,55 @@ def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments:
     return out
 
 
-def _walk(pdf: pd.DataFrame, strict: bool) -> tuple[list[dict], Game]:
-    state, rows = Game(strict), []
-    for p in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-        if p.kind == "play":
-            kept = {c: getattr(p, c) for c in ("game_id", "inning", "half", "batter_id", "balls", "strikes", "pitch_seq", "event", *_PARSED)}
-            rows.append({**kept, "play_seq": len(rows), **state.play(p)})
-        elif p.kind == "radj":
+#: Both outputs of the fold in one schema: ``line`` tells a fielding line from a play.
+REPLAYED = T.StructType([
+    T.StructField("line", T.BooleanType()), *PLAY.fields, *[f for f in FIELDING_LINE.fields if f.name not in PLAY.names],
+])
+_KEPT = ("game_id", "inning", "half", "batter_id", "balls", "strikes", "pitch_seq", "event", *_PARSED)
+
+
+def _walk(rows: list[dict], strict: bool) -> list[dict]:
+    """A game's plays, then its fielding lines."""
+    state, out = Game(strict), []
+    for p in sorted(rows, key=lambda p: p["seq"]):
+        if p["kind"] == "play":
+            out.append({**{c: p[c] for c in _KEPT}, "line": False, "play_seq": len(out), **state.play(p)})
+        elif p["kind"] == "radj":
             if strict:
-                state.place(p.player_id, p.fielding_position)
+                state.place(p["player_id"], p["fielding_position"])
         else:
-            state.station(p.player_id, p.side, p.fielding_position, p.kind == "start")
-    return rows, state
+            state.station(p["player_id"], p["side"], p["fielding_position"], p["kind"] == "start")
+    game = rows[0]["game_id"]
+    lines = ({"line": True, "game_id": game, "player_id": who, "position": at, "games": 1, **line} for (who, at), line in state.lines.items())
+    return [*out, *lines]
 
 
-def replay(events: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The tables ``play`` and the fielding lines (game_id, player_id, position, side and sums), from a ``timeline``.
+def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
+    """One pass over a ``timeline``: plays and fielding lines, told apart by ``line``; see ``Game`` for ``strict``.
 
-    By default runners move as the compatible rules say; see ``Game`` for ``strict``.
+    Write it before both are read from it.
     """
+    schema = to_arrow_schema(REPLAYED)
+
+    def fold(game: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(_walk(game.to_pylist(), strict), schema=schema)
+
+    return events.groupBy("game_id").applyInArrow(fold, REPLAYED)
+
 
-    def plays(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = _walk(pdf, strict)
-        return pd.DataFrame(rows, columns=PLAY.names)
+def plays_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("NOT line").select(*PLAY.names)
 
-    def fielding(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state = _walk(pdf, strict)
-        game = pdf["game_id"].iloc[0]
-        rows = [{"game_id": game, "player_id": who, "position": at, "games": 1, **line} for (who, at), line in state.lines.items()]
-        return pd.DataFrame(rows, columns=FIELDING_LINE.names)
 
-    by_game = events.groupBy("game_id")
-    return by_game.applyInPandas(plays, PLAY), by_game.applyInPandas(fielding, FIELDING_LINE)
+def lines_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("line").select(*FIELDING_LINE.names)
+
+
+def replay(events: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The tables ``play`` and the fielding lines (game_id, player_id, position, side and sums), from a ``timeline``.
+
+    Each is a plan of its own; whoever wants both writes ``replayed`` once. By default runners move as the compatible
+    rules say; see ``Game`` for ``strict``.
+    """
+    rows = replayed(events, strict)
+    return plays_of(rows), lines_of(rows)

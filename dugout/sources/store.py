@@ -13,23 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.plans.daily import batting_daily, fielding_daily, pitching_daily
-from dugout.plans.replay import replay, timeline
+from dugout.plans.replay import lines_of, plays_of, replayed, timeline
 from dugout.schemas import TABLES, VERSION
 from dugout.sources.files import REFERENCE_FILES, game_tables, read_game_logs, read_records, read_reference, read_rosters, read_schedules
 
 _VERSIONS = "folder string, version int, applied_at timestamp"
 #: Large tables lie in a folder for each season, so that a season's queries read that season only.
-BY_SEASON = ("play", "batting_daily", "pitching_daily", "fielding_daily", "game_info", "lineup_start", "substitution")
+BY_SEASON = ("_records", "_replayed", "play", "batting_daily", "pitching_daily", "fielding_daily", "game_info", "lineup_start", "substitution")
 
 
-def source_tables(spark: SparkSession, root: str, seasons: Sequence[int] | None = None, strict: bool = False) -> dict[str, DataFrame]:
-    """All tables of a source tree. ``seasons`` limits event files only."""
+def list_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a source tree that don't come from its event files."""
     tables = {name: read_reference(spark, root, name) for name in REFERENCE_FILES}
-    tables |= {"roster": read_rosters(spark, root), "schedule": read_schedules(spark, root), "game_log": read_game_logs(spark, root)}
-    tables |= game_tables(read_records(spark, root, seasons))
-    raw = tables.pop("_plays")
-    tables["play"], tables["_lines"] = replay(timeline(tables["lineup_start"], tables["substitution"], raw, tables["game_adjustment"]), strict)
-    return tables
+    return tables | {"roster": read_rosters(spark, root), "schedule": read_schedules(spark, root), "game_log": read_game_logs(spark, root)}
 
 
 class Store:
@@ -62,14 +58,21 @@ class Store:
     def load(self, root: str, seasons: Sequence[int] | None = None, strict: bool = False) -> dict[str, int]:
         """Rebuild everything from a source tree, and make it current. Returns the number of rows of each table."""
         folder = f"v{VERSION}-{time.time_ns()}"
-        source = source_tables(self.spark, root, seasons, strict)
         written = lambda name: self.spark.read.parquet(f"{self.path}/{folder}/{name}")
+        # event files are read once, and games replayed once: what several tables come from is written first
+        self._write(read_records(self.spark, root, seasons), folder, "_records")
+        source = list_tables(self.spark, root) | game_tables(written("_records").drop("season"))
+        raw = source.pop("_plays")
         for name, df in source.items():
             self._write(df, folder, name)
+        events = timeline(written("lineup_start").drop("season"), written("substitution").drop("season"), raw, written("game_adjustment"))
+        self._write(replayed(events, strict), folder, "_replayed")
+        rows = written("_replayed")
+        self._write(plays_of(rows), folder, "play")
         play, game = written("play"), written("game")
         self._write(batting_daily(play, game), folder, "batting_daily")
         self._write(pitching_daily(play, game, written("earned_runs"), written("lineup_start")), folder, "pitching_daily")
-        self._write(fielding_daily(written("_lines"), game), folder, "fielding_daily")
+        self._write(fielding_daily(lines_of(rows), game), folder, "fielding_daily")
         counts = {name: written(name).count() for name in TABLES}
         self.spark.createDataFrame([(folder, VERSION)], "folder string, version int").withColumn("applied_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/versions")
         return counts
