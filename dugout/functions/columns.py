@@ -97,7 +97,7 @@ def welch_t(in_first: Column, value: ColumnOrName) -> Column:
     """Welch's t between the rows for which the condition holds and those for which it doesn't, in one aggregation."""
     v = _c(value)
     a, b = F.when(in_first, v), F.when(~in_first, v)
-    return (F.avg(a) - F.avg(b)) / F.sqrt(F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b))
+    return (F.avg(a) - F.avg(b)) / F.nullif(F.sqrt(F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b)), F.lit(0.0))
 
 
 def regular_season(game_type: ColumnOrName) -> Column:

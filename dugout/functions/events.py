@@ -50,7 +50,7 @@ def hit_value(code: Column) -> Column:
 
 
 def _plays(part: Column) -> Column:
-    tokens = F.filter(F.transform(F.split(part, r"\+" + _OUTSIDE), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(part, r"\+" + _OUTSIDE), lambda t: F.trim(t)), lambda t: t != "")
     pieces = lambda t: F.split(t, "/" + _OUTSIDE)
     return F.transform(
         tokens,
@@ -63,14 +63,14 @@ def _plays(part: Column) -> Column:
 
 
 def _advances(part: Column) -> Column:
-    tokens = F.filter(F.transform(F.split(part, ";" + _OUTSIDE), F.trim), lambda t: t.rlike("^[B123][-X][123H]"))
+    tokens = F.filter(F.transform(F.split(part, ";" + _OUTSIDE), lambda t: F.trim(t)), lambda t: t.rlike("^[B123][-X][123H]"))
     return F.transform(
         tokens,
         lambda t: F.struct(
             F.substring(t, 1, 1).alias("from"),
             F.substring(t, 3, 1).alias("to"),
             (F.substring(t, 2, 1) == "X").alias("out"),
-            F.regexp_extract_all(F.substring(t, 4, 10000), F.lit(r"\(([^)]*)\)"), F.lit(1)).alias("params"),
+            F.regexp_extract_all(F.substr(t, F.lit(4)), F.lit(r"\(([^)]*)\)"), F.lit(1)).alias("params"),
         ),
     )
 

@@ -79,6 +79,9 @@ def test_advances(spark):
     row = parse_events(spark.createDataFrame([("S8/G6.3-H;2X3(64)(NR);??",)], "event string")).first()
     got = [(a["from"], a["to"], a["out"], a["params"]) for a in row["advances"]]
     assert got == [("3", "H", False, []), ("2", "3", True, ["64", "NR"])]
+    row = parse_events(spark.createDataFrame([("K+PO1(13). 3-H ; 1-2;2-3;B-1",)], "event string")).first()
+    assert [a["from"] + a["to"] for a in row["advances"]] == ["3H", "12", "23", "B1"]
+    assert [p["basic"] for p in row["plays"]] == ["K", "PO1(13)"]
 
 
 def test_null_event(spark):

@@ -1,4 +1,4 @@
-"""Every star-schema query against the same query in SQL, on the smallest tables."""
+"""Every query on star-schema tables, and on games derived from them, against the same query in SQL, on the smallest tables."""
 
 import datetime
 import decimal
@@ -7,8 +7,9 @@ import os
 import duckdb
 import pytest
 
-from dugout.plans import star
+from dugout.plans import derived, star
 
+QUERIES, SQL = {**star.QUERIES, **derived.QUERIES}, {**star.SQL, **derived.SQL}
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -33,10 +34,10 @@ def table(names, rows):
     return sorted(names), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(star.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_as_sql(spark, tables, name):
-    df = star.QUERIES[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     got = table(df.columns, [tuple(r) for r in df.collect()])
-    if name in star.SQL:
-        r = tables.execute(star.SQL[name])
+    if name in SQL:
+        r = tables.execute(SQL[name])
         assert got == table([c[0] for c in r.description], r.fetchall())
