@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import importlib.util
+import string
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import ann, bpe, chat, ctph, langid, mixing, quality, secrets, simhash, tokenfile
+from dugout.llm import ann, bpe, chat, ctph, langid, merkle, mixing, quality, secrets, simhash, tokenfile
 from dugout.llm.common import documents, new_table
 
 
@@ -108,10 +109,16 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.edit_report(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.verified(documents(spark, sf_dir), F.when(tampered, lowered).otherwise(F.col("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_chat_format, op2_secret_scan, op3_language_id, op4_bpe, op5_nearest_neighbours, op6_mixing, op7_quality,
-        op8_token_file, op9_simhash, op10_piecewise_hash,
+        op8_token_file, op9_simhash, op10_piecewise_hash, op11_merkle_manifest,
     )
     return {f.__name__: f for f in named}
 
@@ -137,4 +144,4 @@ FROM turns GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _chat_sql(), "op6_mixing": mixing.oracle_sql()}
+    return {"op1_chat_format": _chat_sql(), "op6_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
