@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import ann, bpe, chat, ctph, langid, merkle, mixing, quality, secrets, simhash, tokenfile
+from dugout.llm import ann, bpe, chat, ctph, langid, merkle, mixing, quality, secrets, simhash, tokenfile, vectorcode
 from dugout.llm.common import documents, new_table
 
 
@@ -115,10 +115,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(documents(spark, sf_dir), F.when(tampered, lowered).otherwise(F.col("text")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_chat_format, op2_secret_scan, op3_language_id, op4_bpe, op5_nearest_neighbours, op6_mixing, op7_quality,
         op8_token_file, op9_simhash, op10_piecewise_hash, op11_merkle_manifest,
+        op12_vector_codes,
     )
     return {f.__name__: f for f in named}
 
@@ -144,4 +149,7 @@ FROM turns GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _chat_sql(), "op6_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
+    return {
+        "op1_chat_format": _chat_sql(), "op6_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(),
+        "op12_vector_codes": vectorcode.oracle_sql(),
+    }
