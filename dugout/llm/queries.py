@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import ann, bpe, chat, ctph, langid, merkle, mixing, quality, secrets, simhash, tokenfile, vectorcode
+from dugout.llm import ann, bpe, chat, ctph, extract, langid, merkle, mixing, quality, secrets, simhash, tokenfile, vectorcode
 from dugout.llm.common import documents, new_table
 
 
@@ -119,11 +119,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcode.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_chat_format, op2_secret_scan, op3_language_id, op4_bpe, op5_nearest_neighbours, op6_mixing, op7_quality,
         op8_token_file, op9_simhash, op10_piecewise_hash, op11_merkle_manifest,
-        op12_vector_codes,
+        op12_vector_codes, op13_html_extraction,
     )
     return {f.__name__: f for f in named}
 
@@ -151,5 +155,5 @@ FROM turns GROUP BY conv_id"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _chat_sql(), "op6_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(),
-        "op12_vector_codes": vectorcode.oracle_sql(),
+        "op12_vector_codes": vectorcode.oracle_sql(), "op13_html_extraction": extract.oracle_sql(),
     }
