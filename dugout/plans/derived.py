@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from dugout.functions import events as grammar
 from dugout.functions.fielding import credits
 from dugout.plans import daily, starters, studies
-from dugout.plans.replay import lines_of, plays_of, replayed, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,14 +198,7 @@ def _rate(top: str, bottom: str, digits: int, factor: int = 1) -> str:
     return _r(f"{factor}.0 * ({top}) / nullif({bottom}, 0)", digits)
 
 
-# --- grammar and replay ----------------------------------------------------------
-
-
-@query(f"!SELECT * FROM (VALUES {_values(EVENTS)}) AS v({', '.join(_PARSED)})")
-def event_grammar(spark, d):
-    """Every event of ``EVENTS``, parsed."""
-    rows = spark.createDataFrame([(e[0],) for e in EVENTS], "event string")
-    return grammar.parse_events(rows).select("event", *_FIELDS)
+# --- grammar ----------------------------------------------------------
 
 
 @query("""SELECT event, count(*) AS n, CAST(sum(len(regexp_extract_all(event, '[B123]-H')) + CASE WHEN regexp_matches(split_part(event, '.', 1), '^(HR|H)([^A-Za-z]|$)') AND NOT contains(event, 'B-H') THEN 1 ELSE 0 END
@@ -229,36 +221,6 @@ def fielding_credits(spark, d):
     return parsed.select("pitcher_id", F.inline(credits())).groupBy("pitcher_id", "position", "kind").agg(F.count("*").alias("n"))
 
 
-#: A game of two half-innings, and what a scorer would write down: outs, score and bases before, runs and ends of each play.
-PLAYS = (
-    ("S8", 0, 0, 0, None, None, None, 0, 1, 0, 0, 0), ("SB2", 0, 0, 0, "v0", None, None, 0, 0, 2, 0, 0), ("W", 0, 0, 0, None, "v0", None, 0, 1, 0, 2, 0),
-    ("D7.2-H;1-3", 0, 0, 0, "v2", "v0", None, 1, 2, 3, 4, 0), ("K", 0, 1, 0, None, "v3", "v2", 0, 0, 0, 2, 3), ("8/SF.3-H", 1, 1, 0, None, "v3", "v2", 1, 0, 0, 2, 4),
-    ("63/G6", 2, 2, 0, None, "v3", None, 0, 0, 0, 2, 0), ("HR/F9", 0, 2, 0, None, None, None, 1, 4, 0, 0, 0), ("HP", 0, 2, 1, None, None, None, 0, 1, 0, 0, 0),
-    ("CS2(26)", 0, 2, 1, "h8", None, None, 0, 0, 0, 0, 0), ("E6", 1, 2, 1, None, None, None, 0, 1, 0, 0, 0), ("T9.1-H", 1, 2, 1, "h10", None, None, 1, 3, 4, 0, 0),
-)
-_AT = ("event", "outs_before", "away_score_before", "home_score_before", "base1_before", "base2_before", "base3_before", "runs_on_play", "batter_dest", "run1_dest", "run2_dest", "run3_dest")
-#: Fielding lines of that game: player, position, side, outs, putouts, assists, errors.
-LINES = (("f2", 2, 0, 1, 0, 1, 0), ("f6", 6, 0, 1, 1, 0, 1), ("g2", 2, 1, 3, 1, 0, 0), ("g3", 3, 1, 3, 1, 0, 0), ("g6", 6, 1, 3, 0, 1, 0), ("g8", 8, 1, 3, 1, 0, 0))
-
-
-def _fixture(spark: SparkSession) -> DataFrame:
-    plays = [("G", i, 1, int(i > 6), f"{'h' if i > 6 else 'v'}{i}", "00", "", p[0]) for i, p in enumerate(PLAYS)]
-    plays = spark.createDataFrame(plays, "game_id string, seq int, inning int, half int, batter_id string, count string, pitches string, event string")
-    lineup = "game_id string, player_id string, side short, fielding_position short"
-    starts = spark.createDataFrame([("G", p, s, n) for p, n, s, *_ in LINES], lineup)
-    return replayed(timeline(starts, spark.createDataFrame([], lineup + ", seq int"), plays))
-
-
-@query(f"!SELECT * FROM (VALUES {_values((i, *p) for i, p in enumerate(PLAYS))}) AS v(play_seq, {', '.join(_AT)})")
-def replay_fixture(spark, d):
-    return plays_of(_fixture(spark)).select("play_seq", *_AT)
-
-
-@query(f"!SELECT * FROM (VALUES {_values(LINES)}) AS v(player_id, position, side, outs, po, a, e)")
-def replay_fielding(spark, d):
-    return lines_of(_fixture(spark)).select("player_id", "position", "side", "outs", "po", "a", "e")
-
-
 # --- daily lines and studies over derived games -----------------------------------
 
 

@@ -1,28 +1,21 @@
 """Replay: the state of every game, play by play.
 
-The event strings are parsed by Catalyst beforehand, fielding credits included. What is left is a fold over one game's
-rows in order (some eighty of them): who stands on which base, who plays where, outs and score. It runs grouped by game,
-once for both of its outputs.
+The event strings are parsed by Catalyst beforehand, fielding credits and the runners' moves included. What is left is a
+fold over one game's rows in order (some eighty of them): who stands on which base, who plays where, outs and score. It is an
+aggregate over an array of structs, so a game is shuffled once, and no row leaves the JVM.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from dugout.functions.columns import balls_and_strikes
 from dugout.functions.events import CODES, parse_events
 from dugout.functions.fielding import credits
 from dugout.schemas import FIELDING_LINE, PLAY
 
-_IMPLIED = re.compile(r"(POCS|SB|CS|PO)([123H])(\([^)]*\))?")
 _HOME = 4
-_BASE = {"1": 1, "2": 2, "3": 3, "H": _HOME}
 #: A play's fields that the parser gives and the output keeps.
 _PARSED = (
     "event_code", "event_name", "hit_value", "at_bat", "sac_fly", "sac_hit", "double_play", "triple_play", "wild_pitch",
@@ -31,104 +24,42 @@ _PARSED = (
 _KINDS = ("po", "a", "e", "pb", "xi")
 
 
-def implied_moves(plays: list[dict]) -> dict[int, tuple[int, bool]]:
-    """Moves that a base-running play implies, by the base it starts from: the base it ends on, and if it is an out."""
-    moves: dict[int, tuple[int, bool]] = {}
-    for play in plays:
-        for kind, base, paren in _IMPLIED.findall(play["basic"]):
-            target = _BASE[base]
-            start = target if kind == "PO" else target - 1
-            if 1 <= start <= 3:  # nobody is stolen from or picked off at home or the plate
-                moves.setdefault(start, (target, kind != "SB" and "E" not in paren))
-    return moves
-
-
-class Game:
-    """One game's state. ``strict`` also retires runners that a fielder's mark puts out, spares runners whose out
-    an error undid, and places the runners of extra innings."""
-
-    def __init__(self, strict: bool = False):
-        self.strict = strict
-        self.bases: dict[int, str] = {}
-        self.fielders: dict[tuple[int, int], str] = {}
-        self.score = [0, 0]
-        self.outs, self.inning = 0, None
-        self.placed: set[str] = set()
-        self.lines: dict[tuple[str, int], dict] = {}
-
-    def line(self, player: str, position: int, side: int) -> dict:
-        fresh = {"side": side, "games_started": False, "outs": 0, "dp": 0, "tp": 0, **dict.fromkeys(_KINDS, 0)}
-        return self.lines.setdefault((player, position), fresh)
-
-    def station(self, player: str, side, position, start: bool = False) -> None:
-        if side is None or position is None or not 1 <= position <= 9:
-            return
-        self.fielders[int(side), int(position)] = player
-        line = self.line(player, int(position), int(side))
-        line["games_started"] |= start
-
-    def place(self, player: str, base) -> None:
-        """A runner put on a base before a half-inning's first play."""
-        if base in (1, 2, 3):
-            self.bases[int(base)] = player
-            self.placed.add(player)
-
-    def play(self, p: dict) -> dict:
-        half = int(p["half"])
-        if (p["inning"], half) != self.inning:
-            self.inning, self.outs = (p["inning"], half), 0
-            self.bases = {b: r for b, r in self.bases.items() if r in self.placed}
-        self.placed = set()
-        before = dict(self.bases)
-        moves = {(0 if a["from"] == "B" else int(a["from"])): (_BASE[a["to"]], self._is_out(a)) for a in p["advances"]}
-        moves = implied_moves(p["plays"]) | moves
-        if self.strict:
-            for base in re.findall(r"\(([123])\)", p["primary_basic"] if p["event_code"] == CODES["genericOut"] else ""):
-                moves.setdefault(int(base), (int(base), True))
-        if 0 in moves:
-            batter = 0 if moves[0][1] else moves[0][0]
-        else:
-            batter = int(p["hit_value"]) or int(p["batter_reached"])
-        ends = {b: (0 if moves[b][1] else moves[b][0]) if b in moves else b for b in before}
-        if batter == 1:  # a batter on first forces whoever stands in the way
-            for b in (1, 2, 3):
-                if b not in before or b in moves:
-                    break
-                ends[b] = b + 1
-        after: dict[int, str] = {}
-        for player, end in [*((before[b], ends[b]) for b in sorted(before)), (p["batter_id"], batter)]:
-            if 1 <= end <= 3:
-                after[end] = player
-        runs = [*ends.values(), batter].count(_HOME)
-        fielding = 1 - half
-        row = {
-            "outs_before": self.outs, "pitcher_id": self.fielders.get((fielding, 1)), "runs_on_play": runs,
-            "away_score_before": self.score[0], "home_score_before": self.score[1], "batter_dest": batter,
-            **{f"base{b}_before": before.get(b) for b in (1, 2, 3)}, **{f"run{b}_dest": ends.get(b, 0) for b in (1, 2, 3)},
-        }
-        self.score[half] += runs
-        self.outs += int(p["outs_on_play"])
-        self.bases = after
-        self._field(p, fielding)
-        return row
-
-    def _is_out(self, advance: dict) -> bool:
-        return advance["out"] and not (self.strict and any("E" in x for x in advance["params"]))
-
-    def _field(self, p: dict, side: int) -> None:
-        for (s, position), player in self.fielders.items():
-            if s == side:
-                self.line(player, position, side)["outs"] += int(p["outs_on_play"])
-        helped = set()
-        for credit in p["credits"]:
-            position, kind = credit["position"], credit["kind"]
-            if player := self.fielders.get((side, position)):
-                self.line(player, position, side)[kind] += 1
-                if kind in ("po", "a"):
-                    helped.add((player, position))
-        for key in helped:
-            self.lines[key]["dp"] += bool(p["double_play"])
-            self.lines[key]["tp"] += bool(p["triple_play"])
+def _number(base: Column) -> Column:
+    return F.when(base == "H", _HOME).otherwise(base.try_cast("int"))
+
+
+def implied_moves(plays: str = "plays") -> Column:
+    """Moves that base-running plays imply: the base each starts from, and where it ends (0 for an out), in order."""
+    found = F.flatten(F.transform(plays, lambda p: F.regexp_extract_all(p["basic"], F.lit(r"((?:POCS|SB|CS|PO)[123H](?:\([^)]*\))?)"), F.lit(1))))
+
+    def move(mark: Column) -> Column:
+        kind, base = F.regexp_extract(mark, "^(POCS|SB|CS|PO)", 1), _number(F.regexp_extract(mark, "^(?:POCS|SB|CS|PO)(.)", 1))
+        out = (kind != "SB") & ~F.contains(mark, F.lit("E"))
+        return F.struct(F.when(kind == "PO", base).otherwise(base - 1).alias("start"), F.when(out, 0).otherwise(base).alias("end"))
+
+    return F.filter(F.transform(found, move), lambda m: m["start"].between(1, 3))  # nobody is stolen from or picked off at home
+
+
+def moves(strict: bool) -> dict[str, Column]:
+    """Where the batter ends (``to0``), and runners from each base (``to1`` to ``to3``): 0 for out or none, 4 for home; null if
+    the event doesn't say. An advance given outright counts, the last of one base, before an implied one, the first."""
+
+    def given(base: str) -> Column:
+        own = F.filter("advances", lambda a: a["from"] == base)
+        last = F.get(own, F.size(own) - 1)
+        out = last["out"] & ~F.exists(last["params"], lambda x: F.contains(x, F.lit("E"))) if strict else last["out"]
+        return F.when(out, 0).otherwise(_number(last["to"]))
+
+    def runner(base: int) -> Column:
+        steps = [given(str(base)), F.get(F.filter("_implied", lambda m: m["start"] == base), F.lit(0))["end"]]
+        if strict:
+            marked = (F.col("event_code") == CODES["genericOut"]) & F.contains("primary_basic", F.lit(f"({base})"))
+            steps.append(F.when(marked, 0))
+        return F.coalesce(*steps)
+
+    by_class = F.when(F.col("hit_value") > 0, F.col("hit_value")).otherwise(F.col("batter_reached").cast("int"))
+    ends = {"to0": F.coalesce(given("B"), by_class)} | {f"to{b}": runner(b) for b in (1, 2, 3)}
+    return {name: F.when(F.col("kind") == "play", end.cast("int")) for name, end in ends.items()}
 
 
 def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
@@ -153,55 +84,119 @@ def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments:
     return out
 
 
-#: Both outputs of the fold in one schema: ``line`` tells a fielding line from a play.
-REPLAYED = T.StructType([
-    T.StructField("line", T.BooleanType()), *PLAY.fields, *[f for f in FIELDING_LINE.fields if f.name not in PLAY.names],
-])
-_KEPT = ("game_id", "inning", "half", "batter_id", "balls", "strikes", "pitch_seq", "event", *_PARSED)
+#: What the fold tells of a play, and what it carries on. Places in arrays count from 0.
+_SEEN = (
+    "struct<outs_before:int,pitcher_id:string,runs_on_play:int,away_score_before:int,home_score_before:int,base1_before:string,base2_before:string,"
+    "base3_before:string,batter_dest:int,run1_dest:int,run2_dest:int,run3_dest:int,fielders:array<string>>"
+)
+_STATE = f"struct<inning:int,half:int,outs:int,bases:array<string>,placed:array<boolean>,score:array<int>,fielders:array<string>,seen:array<{_SEEN}>>"
 
 
-def _walk(rows: list[dict], strict: bool) -> list[dict]:
-    """A game's plays, then its fielding lines."""
-    state, out = Game(strict), []
-    for p in sorted(rows, key=lambda p: p["seq"]):
-        if p["kind"] == "play":
-            out.append({**{c: p[c] for c in _KEPT}, "line": False, "play_seq": len(out), **state.play(p)})
-        elif p["kind"] == "radj":
-            if strict:
-                state.place(p["player_id"], p["fielding_position"])
-        else:
-            state.station(p["player_id"], p["side"], p["fielding_position"], p["kind"] == "start")
-    game = rows[0]["game_id"]
-    lines = ({"line": True, "game_id": game, "player_id": who, "position": at, "games": 1, **line} for (who, at), line in state.lines.items())
-    return [*out, *lines]
+def _let(name: str, value: str, use: str) -> str:
+    """``use`` with the value computed once, under a name."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
-    """One pass over a ``timeline``: plays and fielding lines, told apart by ``line``; see ``Game`` for ``strict``.
+def _state(**fields: str) -> str:
+    """A state: what isn't given stays as it is in ``s``. Its types are those of _STATE, so that no cast copies it."""
+    names = ("inning", "half", "outs", "bases", "placed", "score", "fielders", "seen")
+    return f"struct({', '.join(fields.get(n, f's.{n}') + f' AS {n}' for n in names)})"
 
-    Write it before both are read from it.
-    """
-    schema = to_arrow_schema(REPLAYED)
 
-    def fold(game: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(_walk(game.to_pylist(), strict), schema=schema)
+_NOTHING_SEEN = f"array_append(s.seen, CAST(NULL AS {_SEEN}))"
+
 
-    return events.groupBy("game_id").applyInArrow(fold, REPLAYED)
+def _put(array: str, at: str, value: str) -> str:
+    """The array with the value at that place; unchanged at null."""
+    return f"transform(s.{array}, (x, i) -> CASE WHEN i = {at} THEN {value} ELSE x END)"
+
+
+def _played() -> str:
+    """The state behind a play ``p``."""
+    # where the runner from each base ends; a batter on first forces whoever stands in the way
+    ends, forced = [], "p.to0 = 1"
+    for b in (1, 2, 3):
+        forced += f" AND was.b{b} IS NOT NULL AND p.to{b} IS NULL"
+        ends.append(f"CASE WHEN was.b{b} IS NULL THEN 0 WHEN p.to{b} IS NOT NULL THEN p.to{b} WHEN {forced} THEN {b + 1} ELSE {b} END AS r{b}")
+    # where two end on one base the one from further on stays, and the batter before all
+    on = [f"CASE WHEN p.to0 = {b} THEN p.batter_id " + " ".join(f"WHEN to.r{k} = {b} THEN was.b{k}" for k in (3, 2, 1)) + " END" for b in (1, 2, 3)]
+    runs = " + ".join(f"IF({x} = {_HOME}, 1, 0)" for x in ("p.to0", "to.r1", "to.r2", "to.r3"))
+    field = "slice(s.fielders, IF(p.half = 1, 1, 10), 9)"
+    values = ("was.outs", f"get({field}, 0)", runs, "s.score[0]", "s.score[1]", "was.b1", "was.b2", "was.b3", "p.to0", "to.r1", "to.r2", "to.r3", field)
+    seen = "struct(" + ", ".join(f"{v} AS {n.partition(':')[0]}" for v, n in zip(values, _SEEN[7:-1].split(","), strict=True)) + ")"
+    after = _state(
+        inning="CAST(p.inning AS INT)", half="CAST(p.half AS INT)", outs="was.outs + CAST(p.outs_on_play AS INT)", bases=f"array({', '.join(on)})", placed="array(false, false, false)",
+        score=f"transform(s.score, (x, i) -> x + IF(i = IF(p.half = 1, 1, 0), {runs}, 0))", seen=f"array_append(s.seen, {seen})",
+    )
+    # a new half-inning begins with no outs, and with nobody on base but runners placed there
+    bases = [f"IF(p.inning <=> s.inning AND p.half <=> s.half OR s.placed[{b - 1}], s.bases[{b - 1}], NULL) AS b{b}" for b in (1, 2, 3)]
+    was = f"struct(IF(p.inning <=> s.inning AND p.half <=> s.half, s.outs, 0) AS outs, {', '.join(bases)})"
+    return _let("was", was, _let("to", f"struct({', '.join(ends)})", after))
+
+
+def _fold(strict: bool) -> str:
+    placed = _state(bases=_put("bases", "p.fielding_position - 1", "p.player_id"), placed=_put("placed", "p.fielding_position - 1", "true"), seen=_NOTHING_SEEN)
+    stationed = _state(fielders=_put("fielders", "p.slot", "p.player_id"), seen=_NOTHING_SEEN)
+    step = f"CASE WHEN p.kind = 'play' THEN {_played()} WHEN p.kind = 'radj' THEN {placed if strict else _state(seen=_NOTHING_SEEN)} ELSE {stationed} END"
+    nobody = "array_repeat(CAST(NULL AS STRING), {})"
+    start = f"CAST(struct(NULL, NULL, 0, {nobody.format(3)}, array(false, false, false), array(0, 0), {nobody.format(18)}, array()) AS {_STATE})"
+    return f"aggregate(rows, {start}, (s, p) -> {step}, s -> s.seen)"
+
+
+def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
+    """A ``timeline`` with the state before each play, and the fielders in the field: ``plays_of`` and ``lines_of`` read it.
+
+    ``strict`` also retires runners that a fielder's mark puts out, spares runners whose out an error undid, and places the
+    runners of extra innings. Rows of one ``seq`` go by kind (starts, placed runners, substitutions, plays), position and
+    player. Someone without a side or without a position from 1 to 9 doesn't field; a null player isn't stationed.
+    """
+    rank = F.array_position(F.array(*map(F.lit, ("start", "radj", "sub", "play"))), F.col("kind"))
+    slot = F.expr("CASE WHEN kind IN ('start', 'sub') AND side IN (0, 1) AND fielding_position BETWEEN 1 AND 9 AND player_id IS NOT NULL THEN side * 9 + fielding_position - 1 END")
+    rows = events.withColumn("_implied", implied_moves()).select("*", rank.alias("rank"), slot.cast("int").alias("slot"))
+    rows = rows.withColumns(moves(strict)).drop("_implied")
+    order = ["seq", "rank", "fielding_position", "player_id"]
+    games = rows.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in ("game_id", *order)]))).alias("rows"))
+    both = games.select("game_id", F.expr(f"inline(zip_with(rows, {_fold(strict)}, (row, seen) -> struct(row, seen)))").alias("row", "seen"))
+    return both.select("game_id", "row.*", "seen.*")
 
 
 def plays_of(rows: DataFrame) -> DataFrame:
-    return rows.filter("NOT line").select(*PLAY.names)
+    """The table ``play``: the plays of each game numbered from 0."""
+    plays = rows.filter("kind = 'play'")
+    number = F.row_number().over(Window.partitionBy("game_id").orderBy("seq", "player_id")) - 1
+    return plays.withColumn("play_seq", number).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PLAY])
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    return rows.filter("line").select(*FIELDING_LINE.names)
+    """Fielding lines: who was stationed where, the outs they stood through, and the credits that fell to their position."""
+    count = lambda kind, at: F.size(F.filter("credits", lambda c: (c["kind"] == kind) & (c["position"] == at)))
+
+    def stood(player: Column, i: Column) -> Column:
+        at = i + 1
+        helped = F.exists("credits", lambda c: c["kind"].isin("po", "a") & (c["position"] == at))
+        both = lambda flag: (helped & F.col(flag)).cast("int")
+        return F.struct(
+            player.alias("player_id"), at.alias("position"), (1 - F.col("half")).cast("int").alias("side"), F.lit(False).alias("started"), F.col("outs_on_play").alias("outs"),
+            *[count(k, at).alias(k) for k in _KINDS], both("double_play").alias("dp"), both("triple_play").alias("tp"),
+        )
+
+    nothing = [F.lit(0).alias(c) for c in ("outs", *_KINDS, "dp", "tp")]
+    came = F.struct(
+        F.col("player_id").alias("player_id"), F.col("fielding_position").cast("int").alias("position"), F.col("side").cast("int").alias("side"), (F.col("kind") == "start").alias("started"), *nothing
+    )
+    entries = F.when(F.col("kind") == "play", F.filter(F.transform("fielders", stood), lambda e: e["player_id"].isNotNull())).when(F.col("slot").isNotNull(), F.array(came))
+    lines = rows.select("game_id", "seq", "rank", F.inline(entries)).groupBy("game_id", "player_id", "position").agg(
+        F.min_by("side", F.struct("seq", "rank")).alias("side"), F.lit(1).alias("games"), F.bool_or("started").alias("games_started"),
+        *[F.sum(c).alias(c) for c in ("outs", *_KINDS, "dp", "tp")],
+    )
+    return lines.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FIELDING_LINE])
 
 
 def replay(events: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The tables ``play`` and the fielding lines (game_id, player_id, position, side and sums), from a ``timeline``.
 
     Each is a plan of its own; whoever wants both writes ``replayed`` once. By default runners move as the compatible
-    rules say; see ``Game`` for ``strict``.
+    rules say; see ``replayed`` for ``strict``.
     """
     rows = replayed(events, strict)
     return plays_of(rows), lines_of(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions.events import derived_runs, parse_events
 from dugout.functions.fielding import credits
-from dugout.plans.replay import replay, timeline
+from dugout.plans.replay import lines_of, plays_of, replay, replayed, timeline
 
 # event: expected fields of the parsed play
 EVENTS = {
@@ -151,3 +151,30 @@ def test_fielding_lines(spark):
     assert [r["play_seq"] for r in rows] == [0, 1] and rows[0]["pitcher_id"] == "h1"
     assert (lines["h6", 6]["a"], lines["h6", 6]["games_started"], lines["h3", 3]["po"], lines["h2", 2]["po"]) == (1, True, 1, 1)
     assert lines["h8", 8]["outs"] == 2 and lines["h6", 6]["outs"] == 2
+
+
+#: A game of two half-innings, and what a scorer would write down: outs, score and bases before, runs and ends of each play.
+PLAYS = (
+    ("S8", 0, 0, 0, None, None, None, 0, 1, 0, 0, 0), ("SB2", 0, 0, 0, "v0", None, None, 0, 0, 2, 0, 0), ("W", 0, 0, 0, None, "v0", None, 0, 1, 0, 2, 0),
+    ("D7.2-H;1-3", 0, 0, 0, "v2", "v0", None, 1, 2, 3, 4, 0), ("K", 0, 1, 0, None, "v3", "v2", 0, 0, 0, 2, 3), ("8/SF.3-H", 1, 1, 0, None, "v3", "v2", 1, 0, 0, 2, 4),
+    ("63/G6", 2, 2, 0, None, "v3", None, 0, 0, 0, 2, 0), ("HR/F9", 0, 2, 0, None, None, None, 1, 4, 0, 0, 0), ("HP", 0, 2, 1, None, None, None, 0, 1, 0, 0, 0),
+    ("CS2(26)", 0, 2, 1, "h8", None, None, 0, 0, 0, 0, 0), ("E6", 1, 2, 1, None, None, None, 0, 1, 0, 0, 0), ("T9.1-H", 1, 2, 1, "h10", None, None, 1, 3, 4, 0, 0),
+)
+_AT = ("event", "outs_before", "away_score_before", "home_score_before", "base1_before", "base2_before", "base3_before", "runs_on_play", "batter_dest", "run1_dest", "run2_dest", "run3_dest")
+#: Fielding lines of that game: player, position, side, outs, putouts, assists, errors.
+LINES = (("f2", 2, 0, 1, 0, 1, 0), ("f6", 6, 0, 1, 1, 0, 1), ("g2", 2, 1, 3, 1, 0, 0), ("g3", 3, 1, 3, 1, 0, 0), ("g6", 6, 1, 3, 0, 1, 0), ("g8", 8, 1, 3, 1, 0, 0))
+
+
+def _rows(spark):
+    plays = [("G", i, 1, int(i > 6), f"{'h' if i > 6 else 'v'}{i}", "00", "", p[0]) for i, p in enumerate(PLAYS)]
+    plays = spark.createDataFrame(plays, "game_id string, seq int, inning int, half int, batter_id string, count string, pitches string, event string")
+    lineup = "game_id string, player_id string, side short, fielding_position short"
+    starts = spark.createDataFrame([("G", p, s, n) for p, n, s, *_ in LINES], lineup)
+    return replayed(timeline(starts, spark.createDataFrame([], lineup + ", seq int"), plays))
+
+
+def test_hand_scored_game(spark):
+    rows = _rows(spark)
+    assert [tuple(r) for r in plays_of(rows).orderBy("play_seq").select(*_AT).collect()] == list(PLAYS)
+    got = lines_of(rows).select("player_id", "position", "side", "outs", "po", "a", "e")
+    assert sorted(map(tuple, got.collect())) == sorted(LINES)
