@@ -5,9 +5,8 @@ length, one table keeps the bits whose vector has odd parity with v. The r or fe
 differs give r equations, which some non-zero v solves: in its table the pair collides. So 2^(r+1) - 1 tables
 find every pair within the radius, and every collision is checked.
 
-Near copies by similarity have fingerprints of two such words, each with tables of its own: a pair within twice
-the radius and one is within the radius in one of the words. What collides and agrees in four fifths of all bits
-is compared exactly, by its sets of shingles.
+Near copies by similarity have fingerprints of four such words, each with tables of its own. What collides and agrees
+in four fifths of all bits is compared exactly, by its sets of shingles.
 """
 
 from __future__ import annotations
@@ -26,10 +25,11 @@ from dugout.llm.components import least_reachable
 
 BITS, SEED = 64, 42
 WORDS, RADIUS = 4, 4
-#: Of near copies by similarity: words of a shingle, least Jaccard similarity, radius of each word's tables, bits of a
-#: table's keys, and the most of the 128 bits in which a pair that is compared differs.
+#: Of near copies by similarity: words of a shingle, least Jaccard similarity, words of a fingerprint, radius of each word's
+#: tables, bits of a table's keys, and the most of the 256 bits in which a pair that is compared differs: one at 0.8 differs in
+#: 39 of them, give or take 6.
 NEAR_WORDS, SIMILAR = 5, 0.8
-NEAR_RADIUS, KEY_BITS, NEAR_BITS = 5, 24, 25
+PRINTS, NEAR_RADIUS, KEY_BITS, NEAR_BITS = 4, 5, 20, 56
 #: A bucket of more distinct fingerprints is dealt out by pairs of blocks of about so many.
 BLOCK = 8192
 
@@ -80,6 +80,15 @@ def shingle_set(text: str, words: int = NEAR_WORDS) -> np.ndarray:
     return np.frombuffer(b"".join({digest(s, SEED) for s in _shingles(words_of(text), words)}), np.uint64).reshape(-1, 2)
 
 
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of PRINTS words of a set of 128-bit hashes: of both their words, and of these mixed anew."""
+    mixed = hashes ^ (hashes >> np.uint64(30))
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        mixed = mixed * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(shift)
+    return majority(np.hstack([hashes, mixed]))
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """The Jaccard similarity of two sets of 64-bit hashes; 1 if both are empty."""
     x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
@@ -167,18 +176,19 @@ def nearest_across(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[
 
 
 #: A link from one fingerprint to another; or, with a key, a member of a bucket that is too large for one task.
-FOUND = pa.schema([("key", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64()), ("other0", pa.int64()), ("other1", pa.int64()), ("root", pa.int64())])
-FOUND_DDL = "key long, w0 long, w1 long, other0 long, other1 long, root long"
+_WORDS, _OTHERS = [f"w{k}" for k in range(PRINTS)], [f"other{k}" for k in range(PRINTS)]
+FOUND = pa.schema([(c, pa.int64()) for c in ("key", *_WORDS, *_OTHERS, "root")])
+FOUND_DDL = ", ".join(f"{c} long" for c in FOUND.names)
 
 
 def _found(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, root: np.ndarray | None = None) -> pa.RecordBatch:
     word = lambda x, k: pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) if x is not None and k < x.shape[1] else pa.nulls(len(a), pa.int64())
     number = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
-    return pa.RecordBatch.from_arrays([number(key), word(a, 0), word(a, 1), word(b, 0), word(b, 1), number(root)], schema=FOUND)
+    return pa.RecordBatch.from_arrays([number(key), *[word(x, k) for x in (a, b) for k in range(PRINTS)], number(root)], schema=FOUND)
 
 
 def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, across: bool) -> DataFrame:
-    """``FOUND`` of rows (key, part, w0 and, of two words, w1, root), dealt out and sorted by key and part.
+    """``FOUND`` of rows (key, part, w0 and what more words there are, root), dealt out and sorted by key, part and words.
 
     A bucket, which has one key and part, is worked on when it is complete. One of more than ``block`` rows isn't: its
     rows go out as they come. With ``across``, each member is linked to the nearest within the radius of another root,
@@ -228,18 +238,18 @@ def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, acr
         if held:
             yield from complete(held, np.zeros(1, np.int64), large)
 
-    dealt_out = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    dealt_out = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "part").sortWithinPartitions("key", "part", *_WORDS[:words])
     return dealt_out.mapInArrow(run, FOUND_DDL)
 
 
 def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str, across: bool = False, block: int = BLOCK) -> DataFrame:
-    """Links (w0, w1, other0, other1) between distinct fingerprints, w0 and, of two words, w1, that collide under one of
-    a word's masks and lie within the radius; see ``_in_buckets``. ``across`` needs a number ``root`` of each.
+    """Links (``_WORDS``, ``_OTHERS``) between distinct fingerprints, w0 and what more words there are, that collide under one
+    of a word's masks and lie within the radius; see ``_in_buckets``. ``across`` needs a number ``root`` of each.
 
     The rows sorted are as many as fingerprints times masks. A bucket of more than ``block`` of them is cut into
     blocks, and each pair of blocks is a task's work by itself.
     """
-    names = [c for c in ("w0", "w1") if c in prints.columns]
+    names = [c for c in _WORDS if c in prints.columns]
     root = F.col("root") if across else F.lit(0).cast("long")
 
     def keyed(word: str, own: list[int]):
@@ -256,7 +266,7 @@ def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str,
         cut = large.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others))
         cut = cut.select("key", (F.least("own", "o") * F.col("blocks") + F.greatest("own", "o")).alias("part"), *names, "root")
         found = found.unionByName(_in_buckets(cut, len(names), radius, None, across))
-    return found.filter("key is null").select("w0", "w1", "other0", "other1")
+    return found.filter("key is null").select(*_WORDS, *_OTHERS)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -324,8 +334,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = NEAR_WORDS) -> DataFrame:
     """One row per row of ``docs`` with an id: doc_id, x (a hash of the text), and component_id, the least id reachable by links.
 
-    Documents are linked where their fingerprints collide in a table of one of their two words (as all do that differ
-    in twice ``NEAR_RADIUS`` bits and one, or fewer) and agree in four fifths of all bits, and the Jaccard similarity of
+    Documents are linked where their fingerprints collide in a table of one of their words and agree in four fifths of all
+    bits (``NEAR_BITS``), and the Jaccard similarity of
     their distinct shingles is ``similar`` or more. The links that connect each bucket are compared exactly. While these
     leave parts of a bucket apart, each member of such a part is compared with the nearest of another part, round after
     round until no new link is found: so a bucket never gives more pairs than members. Texts of one fingerprint (as are
@@ -336,20 +346,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
 
     def make():
         def work(column: pa.Array):
-            prints = [majority(shingle_set(t.as_py() or "", words)).view(np.int64) for t in column]
-            both = np.stack(prints) if prints else np.empty((0, 2), np.int64)
-            return pa.array(both[:, 0]), pa.array(both[:, 1])
+            prints = [wide_print(shingle_set(t.as_py() or "", words)).view(np.int64) for t in column]
+            together = np.stack(prints) if prints else np.empty((0, PRINTS), np.int64)
+            return [pa.array(np.ascontiguousarray(together[:, k])) for k in range(PRINTS)]
 
         return work
 
-    two = T.StructType([T.StructField("w0", T.LongType()), T.StructField("w1", T.LongType())])
-    rows = map_columns(dealt(source), make, two, ["text"], ["doc_id", "x"])
-    rows = materialize(rows.select("doc_id", "x", F.struct("w0", "w1").alias("node")), "prints")
-    masks = [narrowed(covering_masks(NEAR_RADIUS), KEY_BITS, word) for word in (0, 1)]
+    made = T.StructType([T.StructField(c, T.LongType()) for c in _WORDS])
+    rows = map_columns(dealt(source), make, made, ["text"], ["doc_id", "x"])
+    rows = materialize(rows.select("doc_id", "x", F.struct(*_WORDS).alias("node")), "prints")
+    masks = [narrowed(covering_masks(NEAR_RADIUS), KEY_BITS, word) for word in range(PRINTS)]
 
     def pairs(prints: DataFrame, tag: str, across: bool = False) -> DataFrame:
         found = colliding(prints, masks, NEAR_BITS, tag, across)
-        one, other = F.struct("w0", "w1"), F.struct(F.col("other0").alias("w0"), F.col("other1").alias("w1"))
+        one, other = F.struct(*_WORDS), F.struct(*[F.col(o).alias(c) for o, c in zip(_OTHERS, _WORDS, strict=True)])
         return found.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
     tried = materialize(pairs(rows.select("node.*").distinct(), "buckets"), "tried")

@@ -3,12 +3,10 @@
 import hashlib
 import re
 
-import numpy as np
 import xxhash
 from tokenizers import Tokenizer
 
 from dugout.llm.queries import vocabulary
-from dugout.llm.simhash import KEY_BITS, NEAR_BITS, NEAR_RADIUS, covering_masks, majority, narrowed, shingle_set
 
 
 def sha(text):
@@ -66,18 +64,18 @@ def components(items, linked):
     return {i: find(i) for i in items}
 
 
+def shingles(text, words=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    parts = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
 def near_copies(texts):
-    """Least member of each text's component: pairs at a Jaccard similarity of 0.8 or more that collide under a mask."""
-    sets = {i: shingle_set(t or "") for i, t in texts.items()}
-    prints = {i: majority(s) for i, s in sets.items()}
-    hashes = {i: set(s[:, 0].tolist()) for i, s in sets.items()}
-    masks = [np.array(narrowed(covering_masks(NEAR_RADIUS), KEY_BITS, w), np.int64).view(np.uint64) for w in (0, 1)]
+    """Least member of each text's component: all pairs at a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    sets = {i: shingles(t) for i, t in texts.items()}
 
     def linked(a, b):
-        x, y = hashes[a], hashes[b]
-        if x != y and len(x & y) < 0.8 * len(x | y):
-            return False
-        apart = prints[a] ^ prints[b]
-        return np.bitwise_count(apart).sum() <= NEAR_BITS and any(((apart[w] & masks[w]) == 0).any() for w in (0, 1))
+        x, y = sets[a], sets[b]
+        return x == y or len(x & y) >= 0.8 * len(x | y)
 
     return components({i: i for i in texts}, linked)

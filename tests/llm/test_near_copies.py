@@ -25,20 +25,16 @@ def test_stage_finds_edited_copies(spark):
     wanted = plain.components(sets, near)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect())
-    # exactly what collides; nearly all that is similar, and nothing goes that isn't similar to what stays
-    colliding = plain.near_copies(dict(enumerate(texts)))
-    assert kept == sorted(i for i in colliding if colliding[i] == i)
-    alone = {i for i in wanted if wanted[i] == i}
-    assert alone <= set(kept) and len(texts) - len(kept) > 0.85 * (len(texts) - len(alone))
+    assert kept == sorted(i for i in wanted if wanted[i] == i) and len(kept) < len(texts) - 75
 
 
 def test_chain_in_one_bucket(spark):
     """Members of a bucket that its least isn't similar to are compared with one another too."""
     words = [f"w{k}" for k in range(400)]
-    texts = [" ".join(words[k * 8 : k * 8 + 200]) for k in range(8)]
+    texts = [" ".join(words[k * 15 : k * 15 + 200]) for k in range(8)]
     sets = [simhash.shingle_set(t)[:, 0].tobytes() for t in texts]
     assert simhash.similarity(sets[0], sets[-1]) < 0.8
-    wanted = plain.near_copies(dict(enumerate(texts)))
+    wanted = plain.components(dict(enumerate(sets)), lambda a, b: simhash.similarity(a, b) >= 0.8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     assert got == wanted == dict.fromkeys(range(8), 0)
