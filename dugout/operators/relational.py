@@ -1,6 +1,7 @@
 """Operators on tables of ordered events: rows by key, running state, look-ahead, unpivots and totals.
 
-All are single-pass windows or partial aggregations on the given keys. Order columns must make the order
+All are single-pass windows, scans or partial aggregations on the given keys; running state is scanned by ranges (``scan``), so
+that a key of any size is many tasks' work. Order columns must make the order
 total; each operator says how it breaks the ties that are left.
 """
 
@@ -11,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dugout.operators.scan import running
+
 
 def _window(keys: Sequence[str], order: Sequence[Column | str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -41,16 +44,12 @@ def unpivot(df: DataFrame, keep: Sequence[str], roles: Mapping[str, Sequence[Col
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.max(value).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running(df, keys, order, {name: value})
 
 
 def trajectory(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], delta: Column) -> DataFrame:
     """Adds ``balance``, the running sum of ``delta``, and ``peak``, its greatest value so far: one sort for both."""
-    return running_max(running_sum(df, keys, order, delta, "balance"), keys, order, F.col("balance"), "peak")
+    return running(df, keys, order, {"balance": delta}, {"peak": "balance"})
 
 
 def surrendered_leads(df: DataFrame, keys: Sequence[str], order: str, delta: Column, threshold: float) -> DataFrame:

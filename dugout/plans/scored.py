@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.functions.events import parse_events
+from dugout.operators import scan
 from dugout.plans.derived import Query, _table, _values
 from dugout.plans.replay import lines_of, plays_of, replayed, timeline
 
@@ -139,3 +140,13 @@ def replay_lines(spark, d):
     """The fielding lines of every game."""
     lines = lines_of(replayed_games(spark, d)).select("game_id", "player_id", "position", "side", "games", "games_started", "outs", "po", "a", "e", "dp")
     return lines.select(*[F.col(c).cast("int").alias(c) if t == "smallint" else F.col(c) for c, t in lines.dtypes])
+
+
+@query(_with("""SELECT p.game_id, p.n - 1 AS play_seq, f.player_id AS pitcher_id FROM play p LEFT JOIN field f ON f.game_id = p.game_id AND f.n = p.n AND f.position = 1""", walk=False))
+def pitcher_of_play(spark, d):
+    """The pitcher of every play, as of the last start or substitution at that position."""
+    starts, subs, plays = sources(spark, d)
+    fielding = plays.select("game_id", (1 - F.col("half")).alias("side"), "seq", (F.col("seq") / 10 - 1).cast("int").alias("play_seq"))
+    came = starts.withColumn("seq", F.lit(-1)).unionByName(subs).filter("fielding_position = 1")
+    came = came.select("game_id", F.col("side").cast("int").alias("side"), F.col("seq").alias("since"), F.col("player_id").alias("pitcher_id"))
+    return scan.asof(fielding, came, ["game_id", "side"], "seq", "since", ["pitcher_id"]).select("game_id", "play_seq", "pitcher_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions.columns import count_if, decade, rate, standard_error, sum_if, welch_t
 from dugout.operators import relational as ops
+from dugout.operators import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,17 +325,21 @@ _PATH = f"""path AS (SELECT *, max(balance) OVER (PARTITION BY user_id ORDER BY
   SELECT user_id, event_id, sum({DELTA}) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS balance FROM events))"""
 
 
+def path_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with what their running state needs, as a scan writes its rows."""
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+
+
 @query("""SELECT event_id, count(*) OVER w AS seen, round(sum(value) OVER w, 4) AS total FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def running_sum(spark, d):
-    e = ops.running_sum(table(spark, d, "events"), ["user_id"], ["event_id"], F.col("value"), "total")
-    e = ops.running_sum(e, ["user_id"], ["event_id"], F.lit(1), "seen")
+    e = scan.running(table(spark, d, "events").select("event_id", "user_id", "value"), ["user_id"], ["event_id"], {"total": F.col("value"), "seen": F.lit(1)})
     return e.select("event_id", "seen", F.round("total", 4).alias("total"))
 
 
 @query(f"WITH {_PATH} SELECT event_id, CAST(balance AS DOUBLE) AS balance, CAST(peak AS DOUBLE) AS peak FROM path")
 def running_peak(spark, d):
-    e = ops.trajectory(table(spark, d, "events"), ["user_id"], ["event_id"], F.expr(DELTA))
+    e = ops.trajectory(path_events(spark, d), ["user_id"], ["event_id"], F.expr(DELTA))
     return e.select("event_id", F.col("balance").cast("double").alias("balance"), F.col("peak").cast("double").alias("peak"))
 
 
@@ -342,14 +347,14 @@ def running_peak(spark, d):
 SELECT user_id, CAST(max(balance) AS DOUBLE) AS peak, arg_min(event_id, (-balance, event_id)) AS peak_at, any_value(level_at) AS level_at,
   CAST(arg_max(balance, event_id) AS DOUBLE) AS final FROM path JOIN lost USING (user_id) GROUP BY user_id""")
 def surrendered_lead(spark, d):
-    found = ops.surrendered_leads(table(spark, d, "events"), ["user_id"], "event_id", F.expr(DELTA), 50)
+    found = ops.surrendered_leads(path_events(spark, d), ["user_id"], "event_id", F.expr(DELTA), 50)
     return found.select("user_id", F.col("peak").cast("double").alias("peak"), "peak_at", "level_at", F.col("final").cast("double").alias("final"))
 
 
 @query(f"""WITH {_PATH}, by_user AS (SELECT user_id, bool_or(peak >= 50) AS led, bool_or(peak >= 50 AND balance <= 0) AS lost FROM path GROUP BY user_id)
 SELECT count(*) FILTER (WHERE led) AS leads, count(*) FILTER (WHERE led AND NOT lost) AS held, count(*) FILTER (WHERE lost) AS surrendered FROM by_user""")
 def lead_population(spark, d):
-    return ops.held_and_surrendered(table(spark, d, "events"), ["user_id"], "event_id", F.expr(DELTA), 50)
+    return ops.held_and_surrendered(path_events(spark, d), ["user_id"], "event_id", F.expr(DELTA), 50)
 
 
 @query("""WITH n AS (SELECT *, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events)
@@ -357,7 +362,7 @@ SELECT user_id, count(*) FILTER (WHERE i <= 2) AS early, count(*) FILTER (WHERE
   round(sum(value) FILTER (WHERE i <= 2), 4) AS early_value, round(sum(value) FILTER (WHERE i > 2), 4) AS late_value FROM n GROUP BY user_id""")
 def batter_index_split(spark, d):
     done = F.col("event_type").isin("purchase", "signup")
-    e = ops.running_sum(table(spark, d, "events"), ["user_id"], ["event_id"], F.when(done, 1).otherwise(0), "i")
+    e = ops.running_sum(path_events(spark, d), ["user_id"], ["event_id"], F.when(done, 1).otherwise(0), "i")
     early = F.col("i") <= 2
     return e.groupBy("user_id").agg(
         count_if(early).alias("early"), count_if(~early).alias("late"),
@@ -365,6 +370,31 @@ def batter_index_split(spark, d):
     )
 
 
+@query("""SELECT p.event_id, p.user_id, CASE WHEN p.ts - v.ts <= INTERVAL 2 DAY THEN v.event_id END AS view_id, CASE WHEN p.ts - v.ts <= INTERVAL 2 DAY THEN v.value END AS view_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY ALL) v
+ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def asof_view(spark, d):
+    """Each purchase with the last view of the same user at or before it, two days back at most."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    views = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    found = scan.asof(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "seen", ["view_id", "view_value"], ["view_id"], tolerance=F.expr("INTERVAL 2 DAYS"))
+    return found.select("event_id", "user_id", "view_id", "view_value")
+
+
+@query("""SELECT o_orderkey, s.line[1] AS next_orderkey, s.line[2] AS next_line, s.l_shipdate AS next_shipdate FROM orders o
+ASOF LEFT JOIN (SELECT o_custkey, l_shipdate, min((l_orderkey, l_linenumber)) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) s
+ON o.o_custkey = s.o_custkey AND o.o_orderdate < s.l_shipdate""")
+def asof_next_shipment(spark, d):
+    """Each order with the first line that is shipped to the same customer after it."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("next_orderkey"), F.col("l_linenumber").alias("next_line"), F.col("l_shipdate").alias("next_shipdate"))
+    sent = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("next_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    names = ["next_orderkey", "next_line", "next_shipdate"]
+    found = scan.asof(orders, sent, ["o_custkey"], "o_orderdate", "next_shipdate", names, ["next_orderkey", "next_line"], forward=True, strict=True)
+    return found.select("o_orderkey", *names)
+
+
 @query("""SELECT year, n_name, revenue, CAST(rank() OVER (PARTITION BY year ORDER BY revenue DESC) AS INTEGER) AS place FROM (
   SELECT CAST(year(o_orderdate) AS INTEGER) AS year, n_name, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)""")

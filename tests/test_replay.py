@@ -81,3 +81,9 @@ def test_no_games(spark):
     rows = replayed(timeline(starts, subs, plays))
     assert plays_of(rows).collect() == lines_of(rows).collect() == []
     assert parse_events(plays).collect() == []
+
+
+def test_pitcher_as_of_is_the_replays(spark):
+    asof = scored.QUERIES["pitcher_of_play"](spark, SMALL).collect()
+    replay = plays_of(scored.replayed_games(spark, SMALL)).select("game_id", "play_seq", "pitcher_id").collect()
+    assert sorted(map(tuple, asof), key=str) == sorted(map(tuple, replay), key=str) and any(r["pitcher_id"] is None for r in asof)
