@@ -7,6 +7,8 @@ expressions into arrays of structs, and flags and counts are folds over those ar
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,26 @@ _NOT_BATTER = [CODES[k] for k in (
 _NO_AT_BAT = [CODES[k] for k in ("walk", "intentionalWalk", "hitByPitch", "interference", "noPlay")]
 _RUNNER_OUT = [CODES["caughtStealing"], CODES["pickoff"]]
 _OUTSIDE = r"(?![^(]*\))"
+_FLAT = r"^[^()]*(?:\([^()]*\)[^()]*)*$"
+
+
+def split_outside(text: Column, sign: str, at_most: int = -1) -> Column:
+    """``text`` cut at each ``sign`` that doesn't lie within parentheses, into ``at_most`` pieces if that is given.
+
+    Depth is the number of parentheses open so far; one that closes none is passed over, and what one that stays open
+    holds goes on to the end. Where all are closed and none is nested, as nearly always, a regular expression does.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("pieces"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = F.when(c == "(", s["depth"] + 1).when(c == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        cut = (c == sign) & (depth == 0) & (F.lit(at_most < 0) | (F.size(s["pieces"]) < at_most))
+        last = F.concat(F.element_at(s["pieces"], -1), c)
+        longer = F.array_append(F.slice(s["pieces"], F.lit(1), F.size(s["pieces"]) - 1), last)
+        return F.struct(depth.alias("depth"), F.when(cut, F.array_append(s["pieces"], F.lit(""))).otherwise(longer).alias("pieces"))
+
+    signs = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    return F.when(text.rlike(_FLAT), F.split(text, re.escape(sign) + _OUTSIDE, at_most)).otherwise(F.aggregate(signs, start, step, lambda s: s["pieces"]))
 
 
 def classify(basic: Column) -> Column:
@@ -50,20 +72,16 @@ def hit_value(code: Column) -> Column:
 
 
 def _plays(part: Column) -> Column:
-    tokens = F.filter(F.transform(F.split(part, r"\+" + _OUTSIDE), lambda t: F.trim(t)), lambda t: t != "")
-    pieces = lambda t: F.split(t, "/" + _OUTSIDE)
+    tokens = F.filter(F.transform(split_outside(part, "+"), lambda t: F.trim(t)), lambda t: t != "")
+    pieces = lambda t: split_outside(t, "/")
     return F.transform(
-        tokens,
-        lambda t: F.struct(
-            pieces(t)[0].alias("basic"),
-            F.slice(pieces(t), F.lit(2), F.greatest(F.size(pieces(t)) - 1, F.lit(0))).alias("modifiers"),
-            classify(pieces(t)[0]).alias("code"),
-        ),
+        F.transform(tokens, pieces),
+        lambda p: F.struct(p[0].alias("basic"), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))).alias("modifiers"), classify(p[0]).alias("code")),
     )
 
 
 def _advances(part: Column) -> Column:
-    tokens = F.filter(F.transform(F.split(part, ";" + _OUTSIDE), lambda t: F.trim(t)), lambda t: t.rlike("^[B123][-X][123H]"))
+    tokens = F.filter(F.transform(split_outside(part, ";"), lambda t: F.trim(t)), lambda t: t.rlike("^[B123][-X][123H]"))
     return F.transform(
         tokens,
         lambda t: F.struct(
@@ -87,7 +105,7 @@ def parse_events(df: DataFrame, event: str = "event") -> DataFrame:
     primary_basic. A null event is parsed as an empty one; malformed advances are left out.
     """
     clean = F.translate(F.trim(F.coalesce(F.col(event), F.lit(""))), "!?#", "")
-    halves = F.split(clean, r"\." + _OUTSIDE, 2)
+    halves = split_outside(clean, ".", 2)
     df = df.withColumns({"plays": _plays(halves[0]), "advances": _advances(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))})
     own = F.filter("plays", lambda p: ~p["code"].isin(_NOT_BATTER))
     nothing = F.struct(F.lit("").alias("basic"), F.array().cast("array<string>").alias("modifiers"), F.lit(0).alias("code"))

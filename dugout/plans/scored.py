@@ -150,3 +150,30 @@ def pitcher_of_play(spark, d):
     came = starts.withColumn("seq", F.lit(-1)).unionByName(subs).filter("fielding_position = 1")
     came = came.select("game_id", F.col("side").cast("int").alias("side"), F.col("seq").alias("since"), F.col("player_id").alias("pitcher_id"))
     return scan.asof(fielding, came, ["game_id", "side"], "seq", "since", ["pitcher_id"]).select("game_id", "play_seq", "pitcher_id")
+
+
+#: Parts with parentheses in parentheses, some never closed or never opened: text, plays; text, modifiers, if one stays open;
+#: text, advances, the first one.
+HEADS = (("S8", 1), ("K+SB2", 2), ("FC6", 1), ("W+WP", 2))
+BRACKETED = (("", 0, False), ("/L(7(8)9+2)", 1, False), ("/G)6", 1, False), ("/F(7.8", 1, True), ("/S((9)", 1, True), ("/D(8(9))/G6", 2, False))
+NESTED = (("", 0, ""), (".1-2(E4(5;6)/TH)", 1, "12"), (".2-H(NR);1-3", 2, "2H"), (".3-H);1-2", 2, "3H"), (".B-2;1-H(UR(.;))", 2, "B2"))
+_NESTING = [
+    f"CAST(l_partkey % {len(HEADS)} AS INT) AS h", f"CAST(l_suppkey % {len(BRACKETED)} AS INT) AS m", f"CAST((l_partkey + l_linenumber) % {len(NESTED)} AS INT) AS a",
+    "concat('/', CAST(floor(l_partkey / 7) % 50 AS INT)) AS tail",
+]
+
+
+@query(f"""WITH hs(h, h_text, plays) AS (VALUES {_values((k, *p) for k, p in enumerate(HEADS))}), ms(m, m_text, modifiers, stays) AS (VALUES {_values((k, *p) for k, p in enumerate(BRACKETED))}),
+av(a, a_text, advances, first_advance) AS (VALUES {_values((k, *p) for k, p in enumerate(NESTED))})
+SELECT h_text || tail || m_text || a_text AS event, plays, modifiers + 1 AS modifiers, CASE WHEN stays THEN 0 ELSE advances END AS advances, CASE WHEN stays THEN '' ELSE first_advance END AS first_advance, count(*) AS n
+FROM (SELECT {", ".join(_NESTING)} FROM lineitem) JOIN hs USING (h) JOIN ms USING (m) JOIN av USING (a) GROUP BY ALL""")
+def nested_events(spark, d):
+    """Events cut by the depth of their parentheses: how many plays, modifiers and advances each has."""
+    rows = _table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber").selectExpr(*_NESTING)
+    part = lambda parts, name: F.get(F.array(*[F.lit(p[0]) for p in parts]), F.col(name))
+    events = rows.groupBy(F.concat(part(HEADS, "h"), F.col("tail"), part(BRACKETED, "m"), part(NESTED, "a")).alias("event")).agg(F.count("*").alias("n"))
+    first = F.get("advances", F.lit(0))
+    return parse_events(events).select(
+        "event", F.size("plays").alias("plays"), F.size(F.flatten(F.transform("plays", lambda p: p["modifiers"]))).alias("modifiers"), F.size("advances").alias("advances"),
+        F.coalesce(F.concat(first["from"], first["to"]), F.lit("")).alias("first_advance"), "n",
+    )

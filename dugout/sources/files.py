@@ -124,14 +124,25 @@ _ID_COLUMNS = (
 )
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of one line. One that begins with a quote goes on to the next single quote, commas included, or to the
+    line's end if there is none; two quotes in it are one, and text behind it up to the comma belongs to it. So no line's
+    fault reaches the next."""
+    # with a comma behind it every field ends in one, but a quote that stays open takes the comma in
+    one = r'\G(?:"(?:[^"]++|"")*+(?:"[^,]*+,|\z)|(?:[^,"][^,]*+)?,)'
+    bodies = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(one), F.lit(0)), lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
+    within, behind = (lambda b, i=i: F.regexp_extract(b, r'(?s)^"((?:[^"]++|"")*+)"?(.*)$', i) for i in (1, 2))
+    return F.transform(bodies, lambda b: F.when(b.startswith('"'), F.concat(F.replace(within(b), F.lit('""'), F.lit('"')), behind(b))).otherwise(b))
+
+
 def read_records(spark: SparkSession, root: str, seasons: Sequence[int] | None = None) -> DataFrame:
     """Records of all event files: game_id, seq (place behind the game's ``id`` line, blank lines not counted), type and
     fields f1 to f6. ``seasons`` prunes folders before anything is read."""
     years = "[0-9][0-9][0-9][0-9]" if seasons is None else "{" + ",".join(map(str, seasons)) + "}"
     files = spark.read.text(f"{root}/seasons/{years}/*.[eE][vV][nNaAeE]", wholetext=True).select(F.col(_FILE).alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n"))).filter("col <> ''")
-    cells = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(7)])
-    parsed = lines.select("file", "pos", F.from_csv("col", cells.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"quote": '"', "escape": '"'}).alias("r")).select("file", "pos", "r.*")
+    fields = lines.select("file", "pos", csv_fields(F.col("col")).alias("f"))
+    parsed = fields.select("file", "pos", *[F.nullif(F.get("f", F.lit(i)), F.lit("")).alias(f"f{i}") for i in range(7)])
     # one file has a season's games of one team: its lines fit a task, and files are dealt over all tasks
     order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     numbered = parsed.withColumn("_game", F.sum(F.when(F.col("f0") == "id", 1).otherwise(0)).over(order))
