@@ -93,6 +93,13 @@ def _advances(part: Column) -> Column:
     )
 
 
+def unparsed_advances(event: Column) -> Column:
+    """What stands among an event's advances and isn't one."""
+    parts = split_outside(F.translate(F.trim(F.coalesce(event, F.lit(""))), "!?#", ""), ".", 2)
+    tokens = F.transform(split_outside(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ";"), lambda t: F.trim(t))
+    return F.filter(tokens, lambda t: (t != "") & ~t.rlike("^[B123][-X][123H]"))
+
+
 def _count(array: str | Column, condition) -> Column:
     return F.size(F.filter(array, condition))
 

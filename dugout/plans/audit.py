@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import count_if, rate
+from dugout.functions.events import parse_events, unparsed_advances
 
 SAMPLES, TOP = 15, 20
 
@@ -35,3 +36,47 @@ def unknown_events(play: DataFrame, top: int = TOP) -> DataFrame:
     """The commonest event strings that the grammar doesn't know."""
     rows = play.filter(F.col("event_code").isNull() | (F.col("event_code") == 0)).groupBy("event").agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "event").limit(top)
+
+
+CATEGORIES = ("unknown_event", "unparsed_advance", "outs_overflow")
+
+
+def findings(records: DataFrame, play: DataFrame) -> DataFrame:
+    """What the grammar and the replay stumble over: category, game_id, seq, event, detail, comment.
+
+    ``records`` is the record stream (``read_records``); a play's comment is the record right behind it, if that is one. Overflowing
+    outs come from the replayed plays, by ``play_seq`` and without comment.
+    """
+    along = Window.partitionBy("game_id").orderBy("seq")
+    ahead = records.filter(F.col("type").isin("play", "com")).select(
+        "game_id", "seq", "type", F.trim("f6").alias("event"), F.lead(F.struct("type", "seq", "f1")).over(along).alias("next")
+    )
+    comment = F.when((F.col("next.type") == "com") & (F.col("next.seq") == F.col("seq") + 1), F.col("next.f1"))
+    plays = ahead.filter("type = 'play' AND event NOT IN ('', 'NP')").select("game_id", "seq", "event", comment.alias("comment"), unparsed_advances(F.col("event")).alias("bad"))
+    parsed = parse_events(plays).select("game_id", "seq", "event", "comment", "bad", "event_code")
+    found = F.filter(
+        F.array(
+            F.when(F.col("event_code") == 0, F.struct(F.lit("unknown_event").alias("category"), F.lit("no known event").alias("detail"))),
+            F.when(F.size("bad") > 0, F.struct(F.lit("unparsed_advance").alias("category"), F.array_join("bad", ",").alias("detail"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    told = parsed.select("game_id", "seq", "event", "comment", F.inline(found)).select("category", "game_id", "seq", "event", "detail", "comment")
+    outs = F.concat(F.col("outs_before").cast("string"), F.lit(" + "), F.col("outs_on_play").cast("string"))
+    beyond = play.filter("outs_before + outs_on_play > 3").select(
+        F.lit("outs_overflow").alias("category"), "game_id", F.col("play_seq").alias("seq"), "event", outs.alias("detail"), F.lit(None).cast("string").alias("comment")
+    )
+    return told.unionByName(beyond)
+
+
+def finding_counts(found: DataFrame, records: DataFrame) -> DataFrame:
+    """Of each category how many, and their share of the plays in percent: one aggregation of one row."""
+    live = records.filter("type = 'play' AND trim(f6) NOT IN ('', 'NP')").select(F.lit("plays").alias("category"))
+    sums = found.select("category").unionByName(live).agg(*[count_if(F.col("category") == c).alias(c) for c in (*CATEGORIES, "plays")])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n"), rate(c, "plays", 3, 100).alias("pct")) for c in CATEGORIES])))
+
+
+def finding_samples(found: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """At most so many of each category, the first by game and place."""
+    first = [found.filter(F.col("category") == c).orderBy("game_id", "seq", "event").limit(samples) for c in CATEGORIES]
+    return first[0].unionByName(first[1]).unionByName(first[2])

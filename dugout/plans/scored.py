@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions.events import parse_events
 from dugout.operators import scan
+from dugout.plans import audit
 from dugout.plans.derived import Query, _table, _values
 from dugout.plans.replay import lines_of, plays_of, replayed, timeline
 
@@ -177,3 +178,61 @@ def nested_events(spark, d):
         "event", F.size("plays").alias("plays"), F.size(F.flatten(F.transform("plays", lambda p: p["modifiers"]))).alias("modifiers"), F.size("advances").alias("advances"),
         F.coalesce(F.concat(first["from"], first["to"]), F.lit("")).alias("first_advance"), "n",
     )
+
+
+# --- audit of the record stream --------------------------------------------------
+
+#: Parts, some of which no grammar knows: text, if the event is known, outs; text, what isn't an advance, outs.
+KNOWN = (("S8", True, 0), ("63", True, 1), ("?Q9", False, 0), ("K", True, 1), ("ZZ", False, 0), ("64(1)3/GDP", True, 2))
+FAULTY = (("", "", 0), (".1-2", "", 0), (".1-2;XX", "XX", 0), (".3*H;2-3;4-5", "3*H,4-5", 0), (".2X3(25)", "", 1), (".(1-2", "(1-2", 0), (".1-2;;2-H", "", 0))
+_AUDITED = [
+    "n", "l_linenumber", "l_partkey", f"CAST(l_partkey % {len(KNOWN)} AS INT) AS h", f"CAST((l_suppkey + l_linenumber) % {len(FAULTY)} AS INT) AS a",
+]
+_NOTED = "l_linenumber % 3 <> 0"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """A record stream as event files give it: plays, comments behind some of them, now and then with a record between."""
+    lines = _table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").selectExpr("l_suppkey", "l_linenumber", *_LINES[:2], _LINES[3])
+    lines = lines.selectExpr("concat('R', g) AS game_id", *_AUDITED)
+    part = lambda parts, name: F.get(F.array(*[F.lit(p[0]) for p in parts]), F.col(name))
+    empty = [F.lit(None).cast("string").alias(f"f{i}") for i in range(7)]
+    half = (F.floor(F.col("n") / 7) % 2).cast("string")
+    plays = lines.select("game_id", (F.col("n") * 3).alias("seq"), F.lit("play").alias("type"), (F.floor(F.col("n") / 14) + 1).cast("string").alias("f1"), half.alias("f2"), F.lit("b").alias("f3"), F.lit("").alias("f4"), F.lit("").alias("f5"), F.concat(part(KNOWN, "h"), part(FAULTY, "a")).alias("f6"))
+    notes = lines.filter(_NOTED).select("game_id", (F.col("n") * 3 + F.when(F.col("l_linenumber") % 3 == 1, 1).otherwise(2)).alias("seq"), F.lit("com").alias("type"), F.concat(F.lit("note "), F.col("l_partkey") % 10).alias("f1"), *empty[2:])
+    return plays.unionByName(notes)
+
+
+def audited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The findings, and the records they are of."""
+    stream = records(spark, d)
+    raw = stream.filter("type = 'play'").select("game_id", "seq", F.col("f1").cast("int").alias("inning"), F.col("f2").cast("int").alias("half"), F.col("f3").alias("batter_id"), F.lit("00").alias("count"), F.col("f5").alias("pitches"), F.col("f6").alias("event"))
+    nobody = spark.createDataFrame([], "game_id string, player_id string, side short, fielding_position short, seq int")
+    return audit.findings(stream, plays_of(replayed(timeline(nobody.drop("seq"), nobody, raw)))), stream
+
+
+_FINDINGS = f"""WITH ks(h, h_text, known, h_outs) AS (VALUES {_values((k, *p) for k, p in enumerate(KNOWN))}), fs(a, a_text, bad, a_outs) AS (VALUES {_values((k, *p) for k, p in enumerate(FAULTY))}),
+numbered AS (SELECT l_suppkey, l_linenumber, {", ".join([*_LINES[:2], _LINES[3]])} FROM lineitem),
+plays AS (SELECT concat('R', g) AS game_id, n, n * 3 AS seq, floor(n / 7) AS stint, h_text || a_text AS event, known, bad, h_outs + a_outs AS outs, CASE WHEN l_linenumber % 3 = 1 THEN concat('note ', l_partkey % 10) END AS comment
+  FROM (SELECT {", ".join(["g", *_AUDITED])} FROM numbered) JOIN ks USING (h) JOIN fs USING (a)),
+summed AS (SELECT *, coalesce(sum(outs) OVER (PARTITION BY game_id, stint ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS outs_before, row_number() OVER (PARTITION BY game_id ORDER BY n) - 1 AS play_seq FROM plays),
+found AS (SELECT 'unknown_event' AS category, game_id, seq, event, 'no known event' AS detail, comment FROM plays WHERE NOT known
+  UNION ALL SELECT 'unparsed_advance', game_id, seq, event, bad, comment FROM plays WHERE bad <> ''
+  UNION ALL SELECT 'outs_overflow', game_id, play_seq, event, concat(CAST(outs_before AS INT), ' + ', outs), NULL FROM summed WHERE outs_before + outs > 3)
+"""
+
+
+@query(_FINDINGS + "SELECT * FROM found")
+def audit_findings(spark, d):
+    """Everything in the record stream that the grammar or the replay stumbles over."""
+    return audited(spark, d)[0]
+
+
+@query(_FINDINGS + "SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY category ORDER BY game_id, seq, event) <= 15")
+def audit_samples(spark, d):
+    return audit.finding_samples(audited(spark, d)[0])
+
+
+@query(_FINDINGS + "SELECT category, count(*) AS n, CAST(round(100.0 * count(*) / (SELECT count(*) FROM plays), 3) AS DOUBLE) AS pct FROM found GROUP BY category")
+def audit_shares(spark, d):
+    return audit.finding_counts(*audited(spark, d)).withColumn("pct", F.col("pct").cast("double"))

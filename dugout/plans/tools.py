@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import re
 import threading
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import count_if, rate
@@ -22,43 +23,68 @@ ROW_CAP, DEFAULT_ROWS, TIMEOUT_S = 1000, 200, 15
 
 @dataclass
 class Answer:
-    """Rows of a capped query: those returned, and whether there are more."""
+    """Rows of a capped query: those returned, whether there are more, and how many there are if that was asked for."""
 
     rows: list[dict]
     truncated: bool
+    total: int | None = None
 
     @property
     def returned(self) -> int:
         return len(self.rows)
 
 
-def capped(df: DataFrame, limit: int = DEFAULT_ROWS) -> Answer:
-    """At most ``limit`` rows (``ROW_CAP`` at most); one more row is fetched to tell if any were left out."""
+def _counted(df: DataFrame, cut: Callable[[DataFrame], DataFrame], ordered: bool = False) -> tuple[list[dict], int]:
+    """The rows that ``cut`` leaves of ``df``, and the number of all of them, from one pass: a metric is observed below the
+    cut. Without an order of its own ``cut`` must read all rows: they are then taken in the order they come in."""
+    metric = Observation()
+    seen = df.observe(metric, F.count(F.lit(1)).alias("n"))
+    if not ordered:
+        seen = seen.withColumn("_came", F.monotonically_increasing_id()).orderBy("_came")
+    rows = [r.asDict(recursive=True) for r in cut(seen).collect()]
+    for r in rows:
+        r.pop("_came", None)
+    return rows, metric.get["n"]
+
+
+def capped(df: DataFrame, limit: int = DEFAULT_ROWS, count: bool = False) -> Answer:
+    """At most ``limit`` rows (``ROW_CAP`` at most); one more row is fetched to tell if any were left out. With ``count`` all
+    rows are read, once, and counted."""
     limit = max(1, min(limit, ROW_CAP))
+    if count:
+        rows, total = _counted(df, lambda seen: seen.limit(limit))
+        return Answer(rows, total > limit, total)
     rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
     return Answer(rows[:limit], len(rows) > limit)
 
 
-def query_sql(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, timeout: float = TIMEOUT_S, views: Mapping[str, DataFrame] | None = None) -> Answer:
-    """Run one SELECT or WITH statement and return its rows, capped.
+def query_sql(
+    spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, timeout: float = TIMEOUT_S, views: Mapping[str, DataFrame] | None = None, count: bool = False
+) -> Answer:
+    """Run one SELECT or WITH statement and return its rows, capped; with ``count``, also how many there are.
 
     The text is run as a subquery: there Spark's grammar has no place for a command, an insertion, also one behind
-    a WITH, or a second statement, so nothing but a query gets through. The job is cancelled after the timeout.
+    a WITH, or a second statement, so nothing but a query gets through. ``views`` are known by their names in the text
+    only; no view of the session is replaced or left. The job is cancelled after the timeout.
     """
     text = sql.strip().rstrip(";").strip()
     if not re.match(r"(?is)(select|with)\b", text):
         raise ValueError("only SELECT or WITH queries can be run")
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
+    names = {name: f"view_{uuid.uuid4().hex}" for name in views or {}}
+    for name, own in names.items():
+        views[name].createTempView(own)
+    known = ", ".join(f"`{name}` AS (SELECT * FROM {own})" for name, own in names.items())
     tag = f"query-sql-{threading.get_ident()}"
     spark.addTag(tag)
     timer = threading.Timer(timeout, spark.interruptTag, [tag])
     timer.start()
     try:
-        return capped(spark.sql(f"SELECT * FROM (\n{text}\n)"), limit)
+        return capped(spark.sql(f"{'WITH ' + known if known else ''} SELECT * FROM (\n{text}\n)"), limit, count)
     finally:
         timer.cancel()
         spark.removeTag(tag)
+        for own in names.values():
+            spark.catalog.dropTempView(own)
 
 
 def describe_schema(tables: Mapping[str, DataFrame]) -> list[str]:
@@ -213,39 +239,74 @@ def where(spec: Mapping[str, Any]) -> Column:
     return out
 
 
+def _beyond(order_by: Sequence[str], row: Mapping[str, Any], forward: bool) -> Column:
+    """Whether a row comes behind the given one in the order, or before it. Nulls are last ascending, first descending."""
+    behind, level = F.lit(False), F.lit(True)
+    for c in order_by:
+        name, down = c.lstrip("-"), c.startswith("-")
+        column, value = F.col(name), row[name]
+        greater = down != forward  # whether the values looked for are greater; null is the greatest
+        if value is None:
+            further = F.lit(False) if greater else column.isNotNull()
+        else:
+            further = (column > value) | column.isNull() if greater else column < value
+        behind, level = behind | (level & further), level & column.eqNullSafe(value)
+    return behind
+
+
 def connection(
     df: DataFrame, filter: Mapping[str, Any] | None = None, condition: Mapping[str, Any] | None = None, order_by: Sequence[str] = (),
-    first: int | None = None, offset: int = 0, after: Mapping[str, Any] | None = None,
-) -> DataFrame:
+    first: int | None = None, offset: int = 0, after: Mapping[str, Any] | None = None, last: int | None = None, before: Mapping[str, Any] | None = None,
+    total: bool = False,
+) -> DataFrame | Page:
     """Rows of a table by filter, equality ``condition`` on lookup columns and order (``-name`` for descending).
 
-    ``first`` and ``offset`` cut a page; ``after`` starts behind a row given by its values of the order's columns,
-    which, unlike an offset, costs no rows before it. Nulls come last ascending and first descending.
+    ``first`` and ``offset`` cut a page from the front, ``last`` one from the end, in the same order. ``after`` starts behind
+    a row given by its values of the order's columns and ``before`` ends before one: unlike an offset, they cost no rows
+    that are skipped. Nulls come last ascending and first descending. With ``total`` the page is read at once, with the
+    number of rows of all pages and whether there are rows on either side of it.
     """
     for name in [*(condition or {}), *(c.lstrip("-") for c in order_by)]:
         if name not in LOOKUPS and not name.endswith(("_id", "_date", "_seq")):
             raise ValueError(f"{name} isn't a lookup column")
+    if last is not None and (first is not None or offset or not order_by):
+        raise ValueError("last needs an order, and no first or offset")
     if filter:
         df = df.filter(where(filter))
     for name, value in (condition or {}).items():
         df = df.filter(F.col(name).eqNullSafe(value))
     order = [F.desc_nulls_first(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in order_by]
-    if after:
-        behind, level = F.lit(False), F.lit(True)
-        for c in order_by:
-            name, down = c.lstrip("-"), c.startswith("-")
-            column, value = F.col(name), after[name]
-            if value is None:
-                beyond = column.isNotNull() if down else F.lit(False)
-            else:
-                beyond = (column < value) if down else ((column > value) | column.isNull())
-            behind, level = behind | (level & beyond), level & column.eqNullSafe(value)
-        df = df.filter(behind)
-    if order:
-        df = df.orderBy(*order)
-    if offset:
-        df = df.offset(offset)
-    return df if first is None else df.limit(first)
+    back = [F.asc_nulls_last(c[1:]) if c.startswith("-") else F.desc_nulls_first(c) for c in order_by]
+
+    def cut(rows: DataFrame, more: int = 0) -> DataFrame:
+        if after:
+            rows = rows.filter(_beyond(order_by, after, True))
+        if before:
+            rows = rows.filter(_beyond(order_by, before, False))
+        if last is not None:
+            return rows.orderBy(*back).limit(last + more)
+        rows = rows.orderBy(*order) if order else rows
+        rows = rows.offset(offset) if offset else rows
+        return rows if first is None else rows.limit(first + more)
+
+    if not total:
+        return cut(df).orderBy(*order) if last is not None else cut(df)
+    rows, n = _counted(df, lambda seen: cut(seen, 1), bool(order))
+    size = first if last is None else last
+    cut_off = size is not None and len(rows) > size
+    rows = rows[:size][::-1] if last is not None else rows[:size]
+    return Page(rows, n, cut_off if last is None else bool(before), cut_off if last is not None else bool(after) or offset > 0)
+
+
+@dataclass
+class Page:
+    """Rows of one page, the number of rows of all pages, and whether there may be rows behind it and before it: exactly told
+    on the side that it is cut from; on the other true if a row or an offset was given."""
+
+    rows: list[dict]
+    total: int
+    has_next: bool
+    has_previous: bool
 
 
 def related(tables: Mapping[str, DataFrame], child: str, column: str = "game_id", parent_rows: DataFrame | None = None, parents: bool = False) -> DataFrame:
