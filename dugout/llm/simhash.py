@@ -164,6 +164,41 @@ def spanning_links(group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     return group[a], group[b]
 
 
+def closest_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the members of one bucket just as all its pairs within the radius do, by near members first: what
+    lies within half the radius is connected, then parts within three quarters, then within all of it. Two parts are
+    linked by the nearest pair that meets as the second is reached."""
+    part = np.arange(len(prints))
+    found: list[tuple[int, int]] = []
+    for share in (0.5, 0.75, 1.0):
+        reach = int(radius * share)
+        rest = np.argsort(part, kind="stable")
+        while len(rest):
+            seed = part[rest[0]]
+            front, rest = rest[part[rest] == seed], rest[part[rest] != seed]
+            while len(front) and len(rest):
+                ahead = []
+                for k in range(0, len(front), 64):
+                    some = front[k : k + 64]
+                    apart = _apart(prints[some], prints[rest])
+                    nearest = apart.min(axis=0)
+                    hit = np.flatnonzero(nearest <= reach)
+                    if not len(hit):
+                        continue
+                    hit = hit[np.lexsort((rest[hit], nearest[hit], part[rest[hit]]))]
+                    first = hit[np.flatnonzero(np.diff(part[rest[hit]], prepend=-1))]  # of each part reached its nearest member
+                    found += zip(some[apart[:, first].argmin(axis=0)].tolist(), rest[first].tolist(), strict=True)
+                    reached = np.isin(part[rest], part[rest[first]])
+                    ahead.append(rest[reached])
+                    rest = rest[~reached]
+                    if not len(rest):
+                        break
+                front = np.concatenate(ahead) if ahead else rest[:0]
+                part[front] = seed
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return prints[a], prints[b]
+
+
 def nearest_across(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Each member with the nearest one of another root, if that is within the radius."""
     found = [(np.empty((0, prints.shape[1]), prints.dtype),) * 2]
@@ -213,7 +248,10 @@ def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, acr
         a, b = [prints[two[near]]], [prints[two[near] + 1]]
         for k in np.flatnonzero((sizes > 2) & ~out):
             some = slice(starts[k], ends[k])
-            x, y = nearest_across(prints[some], roots[some], radius) if across else spanning_links(prints[some], radius)
+            if across:
+                x, y = nearest_across(prints[some], roots[some], radius)
+            else:
+                x, y = (closest_links if words > 1 else spanning_links)(prints[some], radius)
             a.append(x)
             b.append(y)
         yield _found(np.concatenate(a), np.concatenate(b))

@@ -38,3 +38,22 @@ def test_chain_in_one_bucket(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     assert got == wanted == dict.fromkeys(range(8), 0)
+
+
+def test_closest_links():
+    """As many links as it takes, components as of all pairs, and no link where a chain of nearer ones leads too."""
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 40, 150):
+        seeds = rng.integers(0, 1 << 63, (4, 4), dtype=np.uint64)
+        prints = seeds[rng.integers(0, 4, n)].copy()
+        for row in prints:
+            for bit in rng.integers(0, 256, rng.integers(0, 34)):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        apart = lambda a, b: int(np.bitwise_count(a ^ b).sum())
+        rows = {i: i for i in range(n)}
+        wanted = plain.components(rows, lambda a, b: apart(prints[a], prints[b]) <= 56)
+        a, b = simhash.closest_links(prints, 56)
+        at = {p.tobytes(): i for i, p in enumerate(prints)}
+        links = {(at[x.tobytes()], at[y.tobytes()]) for x, y in zip(a, b, strict=True)}
+        got = plain.components(rows, lambda x, y: (prints[x] == prints[y]).all() or (x, y) in links or (y, x) in links)
+        assert got == wanted and len(a) == n - len(set(wanted.values()))
