@@ -59,12 +59,12 @@ def bequeathed_runners(t: Tables, pitcher: str, season: int) -> DataFrame:
     plays = t["play"].join(starts.select("game_id"), "game_id", "left_semi").withColumn("_last", F.max(F.when(mine, F.col("play_seq"))).over(whole_game))
     during = plays.filter(mine).groupBy("game_id").agg(F.sum("runs_on_play").alias("runs_during"))
     movers = {who: [F.col(who), F.col(dest)] for who, dest in _BASES}
-    at_exit = unpivot(plays.filter("play_seq = _last"), ["game_id", "inning", "half"], movers | {"batter": [F.col("batter_id"), F.col("batter_dest")]}, ["runner", "dest"])
-    left_on = at_exit.filter("runner <> '' AND dest BETWEEN 1 AND 3").select("game_id", "inning", "half", "runner")
-    home = unpivot(plays.filter("play_seq > _last"), ["game_id", "inning", "half"], movers, ["runner", "dest"]).filter("dest >= 4")
-    scored = left_on.join(home, ["game_id", "inning", "half", "runner"]).groupBy("game_id").agg(F.count("*").alias("scored"))
-    left = left_on.groupBy("game_id").agg(F.count("*").alias("left_on"))
-    rows = starts.join(during, "game_id").join(left, "game_id", "left").join(scored, "game_id", "left")
+    ends = unpivot(plays.filter("play_seq >= _last"), ["game_id", "inning", "half", "play_seq", "_last"], movers | {"batter": [F.col("batter_id"), F.col("batter_dest")]}, ["runner", "dest"])
+    # one sum by runner in place of a join: of both plays and their later fate the partitions by game will do
+    left, home = F.expr("play_seq = _last AND dest BETWEEN 1 AND 3"), F.expr("play_seq > _last AND role <> 'batter' AND dest >= 4")
+    by_runner = ends.filter("runner <> ''").groupBy("game_id", "inning", "half", "runner").agg(count_if(left).alias("left"), count_if(home).alias("home"))
+    after = by_runner.groupBy("game_id").agg(F.sum("left").alias("left_on"), F.sum(F.col("left") * F.col("home")).alias("scored"))
+    rows = starts.join(during, "game_id").join(after, "game_id", "left")
     return rows.select(
         "game_id", "game_date", F.col("batters_faced").alias("bf"), rate("outs", F.lit(3), 1).alias("ip"), "runs_during",
         F.coalesce("left_on", F.lit(0)).alias("runners_left_on"), F.coalesce("scored", F.lit(0)).alias("bequeathed_scored"),

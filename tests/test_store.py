@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dugout.operators.relational import parity
-from dugout.plans import audit, studies, tools
+from dugout.plans import audit, starters, studies, tools
 from dugout.sources.store import Store
 
 VISITORS = [(f"v{k:03d}a001", k) for k in range(1, 10)]
+STORES = []
 HOME = [(f"h{k:03d}a001", k) for k in range(1, 10)]
 
 
@@ -43,10 +44,11 @@ def tables(spark, tmp_path_factory):
         {0: f'"{date}"', 1: '"0"', 3: '"SDN"', 6: '"SFN"', 9: str(v), 10: str(h), 89: '"v001a001"', 91: '"(none)"'}.get(i, "") for i in range(161)
     )
     write(root, "gamelog/gl2024.txt", "\n".join([cells(20240405, 4, 5), cells(20240406, 0, 0), cells(20240407, 4, 4), "short,line"]) + "\n")
-    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    store = Store(spark, str(tmp_path_factory.mktemp("store")), buckets=4)
     assert store.current() is None
     counts = store.load(str(root))
     assert counts["game"] == 2 and counts["play"] == 19 and counts["game_log"] == 3 and counts["roster"] == 1
+    STORES.append((store, str(root), counts))
     return store.tables()
 
 
@@ -144,3 +146,43 @@ def test_audits(spark, tables):
     a = spark.createDataFrame([(1, "po", 3), (1, "po", 4), (2, "a", 6)], "k int, kind string, position int")
     b = spark.createDataFrame([(1, "po", 4), (1, "po", 3), (2, "a", 5)], "k int, kind string, position int")
     assert {r["kind"]: float(r["share"]) for r in audit.multiset_parity(a, b, ["k"]).collect()} == {"po": 1.0, "a": 0.0}
+
+
+def test_joins_by_game_without_shuffles(spark, tables):
+    store = STORES[0][0]
+    for name in store.spark.catalog.listTables():  # as another session finds them: by the files alone
+        if name.name.startswith("dugout_"):
+            spark.sql(f"DROP TABLE {name.name}")
+    t = store.tables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = starters.bequeathed_runners(t, "h001a001", 2024)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.orderBy("game_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange hashpartitioning(game_id" not in plan and "Bucketed: true" in plan and "SortMergeJoin" in plan
+    assert [r["game_id"] for r in rows] == ["SFN202404050", "SFN202404060"]
+
+
+def test_seasons_prune_folders(tables):
+    store = STORES[0][0]
+    plan = lambda seasons: store.table("play", seasons)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(season" in plan([2024]) or "PartitionFilters: [season" in plan([2024])
+    assert store.table("play", [2024]).count() == 19 and store.table("play", [1999]).count() == 0
+    assert store.tables([1999])["batting_daily"].count() == 0 < store.tables([2024])["batting_daily"].count()
+
+
+def test_two_loads_one_kept(spark, tables, tmp_path):
+    _, root, counts = STORES[0]
+    store = Store(spark, str(tmp_path / "again"), buckets=2)
+    assert store.load(root) == counts == {name: store.table(name).count() for name in counts}
+    first = store.current()
+    (tmp_path / "again" / "v1-b2-5").mkdir()  # what a load that failed leaves
+    assert store.load(root, keep=1) == counts
+    second = store.current()
+    assert second != first and {p.name for p in (tmp_path / "again").iterdir()} == {"versions", second}
+    assert not any((tmp_path / "again" / second / name).exists() for name in ("_records", "_replayed"))
+    assert store.table("play").count() == counts["play"]
