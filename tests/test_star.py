@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from dugout.plans import derived, star
+from dugout.plans import derived, derived_studies, star
 
-QUERIES, SQL = {**star.QUERIES, **derived.QUERIES}, {**star.SQL, **derived.SQL}
+QUERIES, SQL = {**star.QUERIES, **derived.QUERIES, **derived_studies.QUERIES}, {**star.SQL, **derived.SQL, **derived_studies.SQL}
 SMALL = "/root/testdata/sf0.001"
 
 
