@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dugout.operators import sketches
 from dugout.plans import studies, tools
 from dugout.plans.derived import LEAGUE, PITCHER, SEASON, TEAM, Query, _plain, _r, _rate, _REG, _sql, _table, tables
 
@@ -12,11 +13,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     """Registers a query; its SQL is a body behind the tables' WITH clause."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__], SQL[f.__name__] = lambda spark, d: _plain(f(spark, d)), _sql(sql)
+        QUERIES[f.__name__] = lambda spark, d: _plain(f(spark, d))
+        if sql:
+            SQL[f.__name__] = _sql(sql)
         return f
 
     return register
@@ -130,6 +133,15 @@ def study_first_managers(spark, d):
     return studies.first_managers(*sightings(spark, d))
 
 
+#: Years of a look-up relation: those of two clubs' players, the others without one.
+INDUCTED = {"T0-b1": 1999, "T2-b1": 1989, "T2-b10": 1999}
+
+
+@query("SELECT *, CASE player_id " + " ".join(f"WHEN '{p}' THEN {y}" for p, y in INDUCTED.items()) + " END AS inducted FROM (" + _seen(f"SELECT game_id, player_id FROM lineup_start UNION ALL SELECT {', '.join(_SUBS)} FROM lineitem WHERE l_linenumber = 2") + ")")
+def study_sightings_by_induction(spark, d):
+    return studies.by_induction(studies.first_sightings(*sightings(spark, d)), INDUCTED)
+
+
 # --- workload and support -----------------------------------------------------
 
 
@@ -153,9 +165,30 @@ def study_times_through(spark, d):
     return studies.times_through_split(tables(spark, d), PITCHER, batters=1, least_starts=3)
 
 
+@query()
+def season_sketches(spark, d):
+    """Distinct batters, and quantiles of the batters that pitchers faced in a game, by season, from sketches of each day; approximate,
+    so without SQL."""
+    t = tables(spark, d)
+    rows = t["batting_daily"].select(F.lit("batters").alias("kind"), "game_date", "player_id", F.lit(None).cast("int").alias("faced"))
+    rows = rows.unionByName(t["pitching_daily"].select(F.lit("pitchers").alias("kind"), "game_date", "player_id", F.col("batters_faced").alias("faced")))
+    days = sketches.daily(rows, ["kind"], F.col("game_date"), {"players": F.col("player_id")}, {"faced": F.col("faced")})
+    return sketches.merged(days, ["kind", F.year("day").alias("season")], ["players"], {"faced": {"median_faced": 0.5, "p90_faced": 0.9}})
+
+
 _TEAM_RUNS = f"(SELECT game_id, team, year(game_date) AS season, CAST(sum(runs) AS BIGINT) AS runs FROM batting_daily WHERE game_id IN {_REG} GROUP BY ALL)"
 
 
+_OWN_START = f"game_id IN (SELECT game_id FROM pitching_daily WHERE player_id = '{PITCHER}' AND games_started AND game_id IN {_REG})"
+
+
+@query(f"""SELECT CASE WHEN grouping(at_home) = 1 THEN 'TOTAL' WHEN at_home THEN 'home' ELSE 'road' END AS venue, count(*) FILTER (WHERE own) AS own_starts, {_r('avg(runs) FILTER (WHERE own)', 2)} AS runs_own_starts,
+  count(*) FILTER (WHERE NOT own) AS other_games, {_r('avg(runs) FILTER (WHERE NOT own)', 2)} AS runs_other_games
+FROM (SELECT t.runs, home_team = '{TEAM}' AS at_home, {_OWN_START} AS own FROM {_TEAM_RUNS} t JOIN game USING (game_id) WHERE team = '{TEAM}' AND season = {SEASON}) GROUP BY GROUPING SETS ((at_home), ())""")
+def study_run_support(spark, d):
+    return studies.run_support(tables(spark, d), TEAM, PITCHER, SEASON)
+
+
 @query(f"""SELECT host, count(*) AS games, {_rate('sum(runs)', 'count(*)', 2)} AS runs_per_game FROM (SELECT game_id, home_team AS host, sum(runs) AS runs FROM {_TEAM_RUNS} JOIN game USING (game_id) WHERE season = {SEASON} GROUP BY ALL HAVING count(*) = 2) GROUP BY host""")
 def study_runs_by_park(spark, d):
     return studies.runs_by_park(tables(spark, d), SEASON)

@@ -151,6 +151,13 @@ def first_managers(t: Tables, links: DataFrame) -> DataFrame:
     return _first_seen(t, links, unpivot(t["game_log"], ["game_id"], sides, ["player_id"]).drop("role"))
 
 
+def by_induction(rows: DataFrame, years: Mapping[str, int]) -> DataFrame:
+    """Sightings with ``inducted``, the year that a person was honoured by the look-up relation ``years``, in that order: the
+    oldest class first, those without a year last, by name within a class (in binary order)."""
+    known = rows.sparkSession.createDataFrame(list(years.items()), "player_id string, inducted int")
+    return rows.join(known, "player_id", "left").orderBy(F.asc_nulls_last("inducted"), "name", "player_id")
+
+
 # --- a pitcher's workload ----------------------------------------------------
 
 
@@ -245,6 +252,15 @@ def support_test(t: Tables, team: str, pitcher: str, season: int) -> DataFrame:
     ])
 
 
+def run_support(t: Tables, team: str, pitcher: str, season: int) -> DataFrame:
+    """A team's runs a game in the pitcher's starts and in its other games, by venue and over all: one pass for both."""
+    own, runs = F.col("own_start"), F.col("runs").cast("double")
+    mean = lambda c: F.round(F.avg(F.when(c, runs)).cast("decimal(20,8)"), 2)
+    return with_total(support(t, team, pitcher, season), "venue", [
+        count_if(own).alias("own_starts"), mean(own).alias("runs_own_starts"), count_if(~own).alias("other_games"), mean(~own).alias("runs_other_games"),
+    ])
+
+
 def runs_by_park(t: Tables, season: int) -> DataFrame:
     """Runs of both sides a game, by host; games with one side only are left out."""
     home = t["game"].select("game_id", F.col("home_team").alias("host"))

@@ -26,6 +26,13 @@ def read_rows(spark: SparkSession, path: str | list[str], width: int, header: bo
     return spark.read.csv(path, schema=schema, header=header, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
 
 
+def read_headed(spark: SparkSession, path: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a CSV file by the names in its first line, as text; blank lines are left out and empty cells are empty text.
+    ``keep`` names the columns wanted, in order; one that the file lacks is empty text."""
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+    return project_csv(rows, rows.columns if keep is None else keep)
+
+
 def _typed(rows: DataFrame, schema: T.StructType, date=us_date) -> DataFrame:
     """Cells by position, as the schema's types."""
     coerce = {"date": date, "int": int_or_null, "string": lambda c: F.nullif(F.col(c), F.lit(""))}
@@ -101,7 +108,8 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 def project_csv(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The named columns of a frame read with a header, in this order; one that is missing is empty text."""
-    return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in keep])
+    cell = lambda c: F.coalesce(F.col("`" + c.replace("`", "``") + "`"), F.lit(""))
+    return rows.select(*[(cell(c) if c in rows.columns else F.lit("")).alias(c) for c in keep])
 
 
 # --- event files ------------------------------------------------------------

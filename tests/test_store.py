@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dugout.operators.relational import parity
 from dugout.plans import audit, starters, studies, tools
+from dugout.sources.files import read_headed
 from dugout.sources.store import Store
 
 VISITORS = [(f"v{k:03d}a001", k) for k in range(1, 10)]
@@ -186,3 +187,16 @@ def test_two_loads_one_kept(spark, tables, tmp_path):
     assert second != first and {p.name for p in (tmp_path / "again").iterdir()} == {"versions", second}
     assert not any((tmp_path / "again" / second / name).exists() for name in ("_records", "_replayed"))
     assert store.table("play").count() == counts["play"]
+
+
+def test_reader_by_header(spark, tmp_path):
+    (tmp_path / "rows.csv").write_text('EVENT_TX,OUTS,"A ""b"""\n"S8, x",1,\n\nK,,z\n')
+    rows = [tuple(r) for r in read_headed(spark, str(tmp_path / "rows.csv")).collect()]
+    assert rows == [("S8, x", "1", ""), ("K", "", "z")]
+    assert [tuple(r) for r in read_headed(spark, str(tmp_path / "rows.csv"), ["OUTS", "gone", "EVENT_TX"]).collect()] == [("1", "", "S8, x"), ("", "", "K")]
+
+
+def test_induction_order(spark):
+    rows = spark.createDataFrame([("a", "Zed"), ("b", "Amy"), ("c", "Bob"), ("d", "Cy")], "player_id string, name string")
+    got = studies.by_induction(rows, {"a": 1936, "c": 1990, "b": 1990}).collect()
+    assert [(r["player_id"], r["inducted"]) for r in got] == [("a", 1936), ("b", 1990), ("c", 1990), ("d", None)]
