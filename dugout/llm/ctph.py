@@ -42,9 +42,21 @@ def rolling(data: bytes) -> np.ndarray:
     return h
 
 
+def _cuts(size: int, ends: np.ndarray) -> list[int]:
+    """Where pieces end. Of more than twice LENGTH ends, as where lines repeat, those at least so far apart that so many pieces
+    fill the text: so all parts of a text weigh alike."""
+    if len(ends) <= 2 * LENGTH:
+        return (ends + 1).tolist()
+    apart, cuts, last = -(-size // (2 * LENGTH)), [], 0
+    while (k := int(np.searchsorted(ends, last + apart - 1))) < len(ends):
+        last = int(ends[k]) + 1
+        cuts.append(last)
+    return cuts
+
+
 def _signature(data: bytes, ends: np.ndarray) -> str:
-    """A letter for each piece: of the first pieces, and one for all that is left."""
-    cuts = (ends[: LENGTH - 1] + 1).tolist()
+    """A letter for each piece, and one for what is left."""
+    cuts = _cuts(len(data), ends)
     digest = xxhash.xxh32_intdigest
     out = [LETTERS[digest(data[a:b]) & 63] for a, b in zip([0, *cuts], cuts, strict=False)]
     last = cuts[-1] if cuts else 0
@@ -54,20 +66,26 @@ def _signature(data: bytes, ends: np.ndarray) -> str:
 
 
 def fingerprint(text: str) -> str:
-    """``block:signature:signature of the double block``. Equal texts have equal fingerprints; the empty text has ``3::``."""
+    """``block:signature:signature of the double block``. Equal texts have equal fingerprints; the empty text has ``3::``.
+
+    The block is the largest that gives half of LENGTH pieces or more.
+    """
     data = text.encode("utf-8", "surrogatepass")
+    if not data:
+        return f"{LEAST_BLOCK}::"
     block = LEAST_BLOCK
     while block * LENGTH < len(data):
         block *= 2
-    if not data:
-        return f"{block}::"
     h = rolling(data)
-    while True:
-        ends = np.flatnonzero(h % np.uint32(block) == block - 1)
-        if block == LEAST_BLOCK or len(ends) >= LENGTH // 2:
-            break
+    at = lambda size: np.flatnonzero(h % np.uint32(size) == size - 1)
+    ends = at(block)
+    while block > LEAST_BLOCK and len(ends) < LENGTH // 2:
         block //= 2
+        ends = at(block)
     wide = ends[h[ends] % np.uint32(2 * block) == 2 * block - 1]
+    while len(wide) >= LENGTH // 2:
+        block, ends = 2 * block, wide
+        wide = ends[h[ends] % np.uint32(2 * block) == 2 * block - 1]
     return f"{block}:{_signature(data, ends)}:{_signature(data, wide)}"
 
 
