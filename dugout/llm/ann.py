@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: coarse cells, score-aware four-bit codes, exact reranking.
 
 Euclidean order is that of the inner product less half the squared length, so the search is for maximum inner
-product. A vector's residual from its cell's centre is coded by four bits for each pair of dimensions, under
-the anisotropic loss: error parallel to the vector counts more than error across it, since the queries for
-which the vector scores high point its way. A query's table has its product with every code word; scores
-are sums of table entries, two codes at a time. Of all that a query scans, the best by code, so many for each
-query however large the table, are ranked anew by their exact distance.
+product. Vectors are moved to their mean and turned at random, so that no few dimensions hold all that tells them apart.
+A vector's residual from its cell's centre, drawn to a common length, is coded by four bits for each pair of dimensions,
+under the anisotropic loss: error parallel to the residual counts more than error across it, since the queries for
+which the vector scores high point its way. A query's table has its product with every code word, both as seen from the
+cell's centre, so that neither far-off means nor cells of very different width cost precision; scores
+are sums of table entries, two codes at a time. Of each part that a query scans, the best by code are ranked anew
+by their exact distance.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MAX_CELLS = 4096
 LEAST_ROWS = 256
 #: Share of the cells that a query looks into. These vectors have hardly any clusters; real ones need far less.
 PROBED = 0.65
-#: So many of each query's best by code are ranked by exact distance.
+#: So many of each query's best by code, in each part of the index, are ranked by exact distance.
 RERANKED = 160
 #: A part of the index has about so many vectors, and meets about so many queries at a time.
 PART_ROWS, PART_QUERIES = 8192, 2048
@@ -42,6 +44,7 @@ class Index:
     centres: np.ndarray  # cells x dimensions
     words: np.ndarray  # pairs of dimensions x 16 x 2
     weight: float  # of parallel error, that of error across being 1
+    length: float = 1.0  # of the residuals that the words were fitted for
 
     @property
     def width(self) -> int:
@@ -61,11 +64,26 @@ class Index:
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Packed codes, two to a byte."""
         x = self.pad(x)
-        code = _assign(x - self.centres[cell], _directions(x), self.words, self.weight)
+        residual = x - self.centres[cell]
+        code = _assign(residual, _directions(residual), self.words, self.weight)
         if code.shape[1] % 2:
             code = np.pad(code, ((0, 0), (0, 1)))
         return (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8)
 
+    def evened(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors with their residuals drawn to the length that the words were fitted for, and how much shorter they were."""
+        residual = self.pad(x) - self.centres[cell]
+        size = np.sqrt((residual * residual).sum(1)) / np.float32(self.length)
+        return self.centres[cell] + residual / np.maximum(size, 1e-30)[:, None], size
+
+    def lifted(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What a vector's code adds to its squared distance from a query: twice the product of residual and code, less the
+        residual's squared length. The error of such a distance is in proportion to the distance itself."""
+        residual = self.pad(x) - self.centres[cell]
+        each = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)[:, : len(self.words)]
+        coded = self.words[np.arange(len(self.words))[None, :], each].reshape(len(codes), -1) * size[:, None]
+        return 2 * (residual * coded).sum(1) - (residual * residual).sum(1)
+
     def scan(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate products of the residuals with the queries: vectors x queries, by table look-ups."""
         q = self.pad(queries).reshape(len(queries), -1, 2)
@@ -123,7 +141,11 @@ def fit(x: np.ndarray, rows: int, rounds: int = 6, seed: int = 3) -> Index:
     n_cells = 1 if rows < LEAST_ROWS else max(1, min(MAX_CELLS, round(math.sqrt(rows)), len(x) // 4))
     centres = _means(x, n_cells, seed)
     index = Index(centres, np.zeros((d // 2, 16, 2), np.float32), weight)
-    residual, u = x - centres[index.cells(x)], _directions(x)
+    residual = x - centres[index.cells(x)]
+    size = np.sqrt((residual * residual).sum(1))
+    index.length = float(np.sqrt((size**2).mean())) or 1.0
+    # of vectors that are centres themselves nothing is left to code
+    residual, u = residual * (index.length / np.maximum(size, 1e-30))[:, None], _directions(residual)
     pairs = residual.reshape(len(x), -1, 2)
     for m in range(d // 2):
         own = pairs[:, m]
@@ -146,6 +168,25 @@ def fit(x: np.ndarray, rows: int, rounds: int = 6, seed: int = 3) -> Index:
     return index
 
 
+@dataclass
+class Turn:
+    mean: np.ndarray
+    scale: float
+    turn: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return ((x.astype(np.float64) - self.mean) / self.scale @ self.turn).astype(np.float32)
+
+
+def _turned(x: np.ndarray, seed: int = 5) -> Turn:
+    """Moves vectors to the sample's mean, in units of its spread, and turns them at random: distances keep their order."""
+    x = x.astype(np.float64)
+    mean = x.mean(0)
+    scale = float(np.sqrt(((x - mean) ** 2).mean())) or 1.0
+    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1])))[0]
+    return Turn(mean, scale, turn)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 1), values.dtype)
@@ -165,8 +206,8 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == (common["n"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-MET = pa.schema([("query", pa.int64()), ("score", pa.float32()), ("rep", pa.int64())])
-MET_DDL = "query long, score float, rep long"
+MET = pa.schema([("query", pa.int64()), ("d", pa.float64()), ("rep", pa.int64())])
+MET_DDL = "query long, d double, rep long"
 
 
 def search(
@@ -178,8 +219,10 @@ def search(
 
     Copies of a vector are one entry of the index that names its k + 1 least ids, which is all that any query can
     return of them; queries with equal vectors search once. The index is cut into parts of all cells, whose codes meet
-    queries in blocks, so no group grows with the table. The ``reranked`` best by code of each query, over all parts, are
-    ranked by their distance. Rows that don't take part (``usable``) neither ask nor are found. Other
+    queries in blocks, so no group grows with the table. A query looks into the share ``probed`` of the cells, nearest
+    first, and into every other that may hold something nearer than what it found, by the distance of the cell's centre and
+    the cell's width. Of each part the ``reranked`` best by code are ranked by their distance, and the k + 1 nearest
+    leave it. Rows that don't take part (``usable``) neither ask nor are found. Other
     columns are left out; too few candidates give as many rows as there are.
     """
     spark = vectors.sparkSession
@@ -202,23 +245,26 @@ def search(
     if not n_rows or not n_queries:
         return empty
     known = reps.orderBy(F.xxhash64("h", F.lit(1)), "rep").limit(fit_rows).select("v").toArrow()
-    index = fit(_matrix(known.column("v").combine_chunks()), n_rows)
+    known = _matrix(known.column("v").combine_chunks())
+    turned = _turned(known)
+    index = fit(turned(known), n_rows)
 
     def coder():
         def work(column: pa.Array):
-            x = _matrix(column)
-            if not len(x):
-                return [], [], []
+            if not len(column):
+                return [], [], [], []
+            x = turned(_matrix(column))
             cell = index.cells(x)
-            half = (x.astype(np.float64) ** 2).sum(1) / 2
-            return pa.array(cell.astype(np.int32)), [c.tobytes() for c in index.codes(x, cell)], pa.array(half.astype(np.float32))
+            even, size = index.evened(x, cell)
+            codes = index.codes(even, cell)
+            lift = index.lifted(x, cell, codes, size)
+            return pa.array(cell.astype(np.int32)), [c.tobytes() for c in codes], pa.array(size.astype(np.float32)), pa.array(lift.astype(np.float32))
 
         return work
 
     parts, blocks = math.ceil(n_rows / PART_ROWS), math.ceil(n_queries / PART_QUERIES)
-    made = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("half", T.FloatType())])
-    # a block of queries needs the codes, not the vectors
-    coded = map_columns(reps, coder, made, ["v"], ["rep"]).select(
+    made = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("size", T.FloatType()), T.StructField("lift", T.FloatType())])
+    coded = map_columns(reps, coder, made, ["v"], ["rep", "v"]).select(
         "*",
         F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
@@ -234,43 +280,53 @@ def search(
             return MET.empty_table()
         cell = left.column("cell").to_numpy()
         order = np.argsort(cell, kind="stable")
-        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)[order]
-        reps_, half = left.column("rep").to_numpy()[order], left.column("half").to_numpy()[order]
-        starts = np.searchsorted(cell[order], np.arange(len(index.centres) + 1))
-        q, names = _matrix(right.column("v").combine_chunks()), right.column("query").to_numpy()
+        left = left.take(pa.array(order))
+        cell = cell[order]
+        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)
+        reps_, size, lift = (left.column(c).to_numpy() for c in ("rep", "size", "lift"))
+        own_v = _matrix(left.column("v").combine_chunks()).astype(np.float64)
+        starts = np.searchsorted(cell, np.arange(len(index.centres) + 1))
+        held = np.flatnonzero(np.diff(starts) > 0)
+        width = np.zeros(len(index.centres))
+        np.maximum.at(width, cell, np.sqrt(((index.pad(turned(own_v)) - index.centres[cell]).astype(np.float64) ** 2).sum(1)))
+        q, names = _matrix(right.column("v").combine_chunks()).astype(np.float64), right.column("query").to_numpy()
         out: list[pa.Table] = []
+
+        def scored(score: np.ndarray, at: np.ndarray, asks: np.ndarray) -> None:
+            for c in held[asks[held].any(axis=1)]:
+                who, own = np.flatnonzero(asks[c]), slice(starts[c], starts[c + 1])
+                seen = at[who] - index.centres[c]
+                score[own, who] = 2 * size[own, None] * index.scan(seen, codes[own]) - (seen**2).sum(1)[None, :] - lift[own, None]
+
+        def best(score: np.ndarray, n: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows of the n best by code of each query, and their distances; infinite where nothing was seen."""
+            n = min(n, len(score))
+            rows_ = np.argpartition(-score, n - 1, axis=0)[:n]
+            d = np.stack([np.sqrt(((own_v[rows_[:, j]] - some[j]) ** 2).sum(1)) for j in range(len(some))], axis=1)
+            return rows_, np.where(np.isfinite(np.take_along_axis(score, rows_, axis=0)), d, np.inf)
+
         for a in range(0, len(q), 64):
             some = q[a : a + 64]
+            at = index.pad(turned(some))
             asks = np.zeros((len(index.centres), len(some)), bool)
-            asks[index.probed(some, probed).T, np.arange(len(some))] = True
+            asks[index.probed(at, probed).T, np.arange(len(some))] = True
             score = np.full((len(cell), len(some)), -np.inf, np.float32)
-            for c in np.flatnonzero(asks.any(axis=1) & (np.diff(starts) > 0)):
-                who, own = np.flatnonzero(asks[c]), slice(starts[c], starts[c + 1])
-                near = index.scan(some[who], codes[own]) + index.pad(some[who]) @ index.centres[c]
-                score[own, who] = near - half[own, None]
-            n = min(reranked, len(cell))
-            best = np.argpartition(-score, n - 1, axis=0)[:n]
-            found = np.take_along_axis(score, best, axis=0)
-            j, i = np.nonzero(np.isfinite(found).T)
-            out.append(pa.Table.from_arrays([pa.array(names[a + j]), pa.array(found[i, j]), pa.array(reps_[best[i, j]])], schema=MET))
+            scored(score, at, asks)
+            reach = best(score, k + 1, some)[1].max(axis=0) if len(cell) > k else np.full(len(some), np.inf)
+            apart = np.sqrt(((at[None, :, :] - index.centres[:, None, :]).astype(np.float64) ** 2).sum(2))
+            scored(score, at, ~asks & ((apart - width[:, None]) * turned.scale <= reach * (1 + 1e-5)))
+            rows_, d = best(score, reranked, some)
+            near = np.lexsort((reps_[rows_], d), axis=0)[: k + 1]
+            rows_, d = np.take_along_axis(rows_, near, axis=0), np.take_along_axis(d, near, axis=0)
+            j, i = np.nonzero(np.isfinite(d).T)
+            out.append(pa.Table.from_arrays([pa.array(names[a + j]), pa.array(d[i, j]), pa.array(reps_[rows_[i, j]])], schema=MET))
         return pa.concat_tables(out)
 
     met = coded.groupBy("part", "block").cogroup(asking.groupBy("part", "block")).applyInArrow(meet, MET_DDL)
-    by_code = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    short = met.withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= reranked).select("query", "rep")
-    short = short.join(reps.select("rep", "ids", "v"), "rep").join(queries.withColumnRenamed("v", "q"), "query")
-
-    def ranker():
-        def work(v: pa.Array, q: pa.Array):
-            return [pa.array(np.sqrt(((_matrix(v).astype(np.float64) - _matrix(q).astype(np.float64)) ** 2).sum(1)))]
-
-        return work
-
-    exact = map_columns(short, ranker, T.StructType([T.StructField("d", T.DoubleType())]), ["v", "q"], ["query", "rep", "ids"])
     nearest = Window.partitionBy("query").orderBy("d", "rep")
     # of the k + 1 nearest entries at most k + 1 ids can be among the nearest
-    near = exact.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1)
-    near = near.select("query", "d", F.explode("ids").alias("vec_id"))
+    near = met.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1)
+    near = near.join(reps.select("rep", "ids"), "rep").select("query", "d", F.explode("ids").alias("vec_id"))
     found = asked.join(near, "query").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))

@@ -151,6 +151,17 @@ def test_op5_goes_by_the_codes(spark, monkeypatch):
     assert len(true & {(r["query_id"], r["vec_id"]) for r in ann.search(table, lambda i: i % 100 == 0, probed=1.0).collect()}) < 0.5 * len(true)
 
 
+def test_op5_recall_in_tight_clusters(spark):
+    """Clusters far narrower than the gaps between them, with many more members than are ranked by distance."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(5, 64))[rng.integers(0, 5, 5000)] + 1e-3 * rng.normal(size=(5000, 64))).astype(np.float32)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = {(r["query_id"], r["vec_id"]) for r in ann.search(table, lambda i: i % 200 == 0).collect()}
+    x = x.astype(np.float64)
+    true = {(q, int(i)) for q in range(0, 5000, 200) for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:11] if i != q}
+    assert len(found & true) >= 0.9 * len(true)
+
+
 def test_op5_one_vector_for_an_id(spark):
     rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(7, [100.0, 1.0]), (7, [7.0, 1.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 5, k=4).collect()
