@@ -8,10 +8,13 @@ expressions into arrays of structs, and flags and counts are folds over those ar
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dugout.operators.shared import written
+
 #: The documented code of every kind of event.
 CODES = {
     "unknown": 0, "noPlay": 1, "genericOut": 2, "strikeout": 3, "stolenBase": 4, "defensiveIndifference": 5,
@@ -155,6 +158,15 @@ def parse_events(df: DataFrame, event: str = "event") -> DataFrame:
     }).drop("_primary", "_batter_advance", "_runs_out", "_by_class")
 
 
+def once(df: DataFrame, parse: Callable[[DataFrame], DataFrame], event: str = "event", of: DataFrame | None = None) -> DataFrame:
+    """``df`` with what ``parse`` adds to a frame of event strings, each distinct string parsed once: an archive repeats few strings
+    in very many plays. The parsed strings are written, so that Spark knows their size when it joins them, and can split the
+    partition of a frequent one. ``of`` may give the strings from a cheaper plan than ``df``; it must hold all of them."""
+    own = (df if of is None else of).select(event).distinct()
+    parsed = written(parse(own), "events").withColumnRenamed(event, "_string")
+    return df.join(parsed, F.col(event).eqNullSafe(F.col("_string")), "left").drop("_string")
+
+
 def derived_runs(event: Column) -> Column:
     """Runs by counting what the string says: advances to home, a home run's batter, and steals of home."""
     homer = F.split_part(event, F.lit("."), F.lit(1)).rlike(r"^(HR|H)([^A-Za-z]|$)") & ~F.contains(event, F.lit("B-H"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import count_if, rate
-from dugout.functions.events import parse_events, unparsed_advances
+from dugout.functions.events import once, parse_events, unparsed_advances
 
 SAMPLES, TOP = 15, 20
 
@@ -52,8 +52,8 @@ def findings(records: DataFrame, play: DataFrame) -> DataFrame:
         "game_id", "seq", "type", F.trim("f6").alias("event"), F.lead(F.struct("type", "seq", "f1")).over(along).alias("next")
     )
     comment = F.when((F.col("next.type") == "com") & (F.col("next.seq") == F.col("seq") + 1), F.col("next.f1"))
-    plays = ahead.filter("type = 'play' AND event NOT IN ('', 'NP')").select("game_id", "seq", "event", comment.alias("comment"), unparsed_advances(F.col("event")).alias("bad"))
-    parsed = parse_events(plays).select("game_id", "seq", "event", "comment", "bad", "event_code")
+    plays = ahead.filter("type = 'play' AND event NOT IN ('', 'NP')").select("game_id", "seq", "event", comment.alias("comment"))
+    parsed = once(plays, lambda df: parse_events(df).select("event", "event_code", unparsed_advances(F.col("event")).alias("bad")))
     found = F.filter(
         F.array(
             F.when(F.col("event_code") == 0, F.struct(F.lit("unknown_event").alias("category"), F.lit("no known event").alias("detail"))),

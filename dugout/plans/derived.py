@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,9 +64,10 @@ GAME = [
     f"concat({_TEAM['home_team'].format(c='o_custkey', o='o_orderkey')}, '-s', o_orderkey % 3) AS losing_pitcher", "CAST(NULL AS STRING) AS save_pitcher",
 ]
 _SEQ = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS play_seq"
+_EVENT = "CAST(l_partkey % 17 AS INT) AS k"
 _PLACED = [
     "concat('G', l_orderkey) AS game_id", "play_seq", "l_orderkey", "l_partkey", "l_suppkey", "CASE WHEN play_seq <= 2 THEN 1 ELSE 2 END AS inning",
-    "CAST((l_orderkey + CASE WHEN play_seq IN (1, 3, 4, 5) THEN 0 ELSE 1 END) % 2 AS INT) AS half", *_SIDES, "CAST(l_partkey % 17 AS INT) AS k",
+    "CAST((l_orderkey + CASE WHEN play_seq IN (1, 3, 4, 5) THEN 0 ELSE 1 END) % 2 AS INT) AS half", *_SIDES, _EVENT,
 ]
 _TEAMS = ["*", "CASE WHEN half = 0 THEN visitor_team ELSE home_team END AS bats", "CASE WHEN half = 0 THEN home_team ELSE visitor_team END AS fields"]
 _STATE = [
@@ -102,14 +103,22 @@ def raw_plays(spark: SparkSession, d: str) -> DataFrame:
     orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey")
     lines = _table(spark, d, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", _SEQ)
     placed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*_PLACED).selectExpr(*_TEAMS).selectExpr(*_STATE)
-    texts = F.array(*[F.lit(e[0]) for e in EVENTS])
-    return placed.withColumn("event", F.get(texts, F.col("k")))
+    return placed.withColumn("event", _text("k"))
+
+
+def _text(k: str) -> Column:
+    return F.get(F.array(*[F.lit(e[0]) for e in EVENTS]), F.col(k))
+
+
+def parsed_plays(spark: SparkSession, d: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The plays with what ``parse`` adds to their events; the events are those of all lines, with an order or without."""
+    events = _table(spark, d, "lineitem").selectExpr(_EVENT).select(_text("k").alias("event"))
+    return grammar.once(raw_plays(spark, d), parse, of=events)
 
 
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     orders, lines = _table(spark, d, "orders"), _table(spark, d, "lineitem")
-    raw = raw_plays(spark, d)
-    parsed = grammar.parse_events(raw).select(*raw.columns, *_FIELDS)
+    parsed = parsed_plays(spark, d, lambda df: grammar.parse_events(df).select("event", *_FIELDS))
     t = {"game": orders.selectExpr(*GAME), "game_log": orders.selectExpr(*LOG), "earned_runs": lines.selectExpr(*EARNED)}
     t["play"] = parsed.selectExpr(*_MOVED).selectExpr(*_SCORED).selectExpr(*_RUNNING)
     places = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p")) for s in (0, 1) for p in range(1, 10)])
@@ -217,8 +226,8 @@ CREDITS = {
 @query(f"""SELECT pitcher_id, position, kind, count(*) AS n FROM play JOIN (VALUES {_values((e, p, k) for e, c in CREDITS.items() for p, k in c)}) AS c(event, position, kind) USING (event) GROUP BY ALL""")
 def fielding_credits(spark, d):
     """Credits of all plays, by pitcher, position and kind."""
-    parsed = grammar.parse_events(raw_plays(spark, d))
-    return parsed.select("pitcher_id", F.inline(credits())).groupBy("pitcher_id", "position", "kind").agg(F.count("*").alias("n"))
+    parsed = parsed_plays(spark, d, lambda df: grammar.parse_events(df).select("event", credits().alias("credits")))
+    return parsed.select("pitcher_id", F.inline("credits")).groupBy("pitcher_id", "position", "kind").agg(F.count("*").alias("n"))
 
 
 # --- daily lines and studies over derived games -----------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dugout.functions.columns import balls_and_strikes
-from dugout.functions.events import CODES, parse_events
+from dugout.functions.events import CODES, once, parse_events
 from dugout.functions.fielding import credits
 from dugout.schemas import FIELDING_LINE, PLAY
 
@@ -59,18 +59,25 @@ def moves(strict: bool) -> dict[str, Column]:
 
     by_class = F.when(F.col("hit_value") > 0, F.col("hit_value")).otherwise(F.col("batter_reached").cast("int"))
     ends = {"to0": F.coalesce(given("B"), by_class)} | {f"to{b}": runner(b) for b in (1, 2, 3)}
-    return {name: F.when(F.col("kind") == "play", end.cast("int")) for name, end in ends.items()}
+    return {name: end.cast("int") for name, end in ends.items()}
 
 
 def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
     """All that moves a game's state, as one frame: the kinds start, sub, radj and play, in the order of ``seq``.
 
-    Plays that are blank or ``NP`` are left out. Parsing happens here, before the shuffle by game.
+    Plays that are blank or ``NP`` are left out. Parsing happens here, before the shuffle by game, once for each distinct event:
+    ``moves`` and ``strict_moves`` hold where everybody ends.
     """
+
+    def parse(df: DataFrame) -> DataFrame:
+        df = parse_events(df).withColumn("credits", credits()).withColumn("_implied", implied_moves())
+        ends = {name: F.struct(*[c.alias(n) for n, c in moves(strict).items()]) for name, strict in (("moves", False), ("strict_moves", True))}
+        return df.withColumns(ends).select("event", "plays", "advances", "primary_basic", "batter_reached", "credits", *ends, *_PARSED)
+
     live = plays.filter(~F.trim(F.coalesce("event", F.lit(""))).isin("", "NP")).withColumn("event", F.trim("event"))
-    parsed = parse_events(live).select("*", balls_and_strikes("count").alias("_c"), credits().alias("credits")).select(
+    parsed = once(live, parse).select("*", balls_and_strikes("count").alias("_c")).select(
         "game_id", "seq", F.lit("play").alias("kind"), "inning", "half", "batter_id", "_c.balls", "_c.strikes",
-        F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", "credits", *_PARSED,
+        F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", "credits", "moves", "strict_moves", *_PARSED,
     )
     who = lambda df, kind, seq: df.select("game_id", seq.alias("seq"), F.lit(kind).alias("kind"), "player_id", "side", "fielding_position")
     out = parsed.unionByName(who(starts, "start", F.lit(-1)), allowMissingColumns=True)
@@ -152,8 +159,9 @@ def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
     """
     rank = F.array_position(F.array(*map(F.lit, ("start", "radj", "sub", "play"))), F.col("kind"))
     slot = F.expr("CASE WHEN kind IN ('start', 'sub') AND side IN (0, 1) AND fielding_position BETWEEN 1 AND 9 AND player_id IS NOT NULL THEN side * 9 + fielding_position - 1 END")
-    rows = events.withColumn("_implied", implied_moves()).select("*", rank.alias("rank"), slot.cast("int").alias("slot"))
-    rows = rows.withColumns(moves(strict)).drop("_implied")
+    ends = F.col("strict_moves" if strict else "moves")
+    rows = events.select("*", rank.alias("rank"), slot.cast("int").alias("slot"), *[ends[f"to{b}"].alias(f"to{b}") for b in range(4)])
+    rows = rows.drop("plays", "advances", "primary_basic", "batter_reached", "moves", "strict_moves")  # of which the parser has made use
     order = ["seq", "rank", "fielding_position", "player_id"]
     games = rows.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in ("game_id", *order)]))).alias("rows"))
     both = games.select("game_id", F.expr(f"inline(zip_with(rows, {_fold(strict)}, (row, seen) -> struct(row, seen)))").alias("row", "seen"))

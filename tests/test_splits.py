@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from dugout.functions.events import parse_events, split_outside
+from dugout.functions.events import once, parse_events, split_outside
+from dugout.plans import derived, scored
 from dugout.plans import scored
 from dugout.sources.files import csv_fields
 
@@ -82,3 +83,23 @@ def test_nested_events(spark):
     one = parse_events(spark.createDataFrame([("S8/L(7(8)9+2)/G6.1-2(E4(5;6)/TH);2-H",)], "event string")).first()
     assert [(p["basic"], p["modifiers"]) for p in one["plays"]] == [("S8", ["L(7(8)9+2)", "G6"])]
     assert [a["from"] + a["to"] for a in one["advances"]] == ["12", "2H"]
+
+
+def test_each_distinct_event_is_parsed_once(spark):
+    """Null and repeated events keep their rows; what is parsed are the distinct strings."""
+    df = spark.createDataFrame([(1, "K"), (2, None), (3, "K"), (4, "S8.1-3"), (5, "K")], "n int, event string")
+    parsed = []
+
+    def parse(strings):
+        parsed.append(strings.count())
+        return parse_events(strings).select("event", "event_code")
+
+    rows = once(df, parse).orderBy("n").collect()
+    assert parsed == [3] and [(r["n"], r["event"], r["event_code"]) for r in rows] == [(1, "K", 3), (2, None, 0), (3, "K", 3), (4, "S8.1-3", 20), (5, "K", 3)]
+
+
+def test_queries_parse_no_play_row_by_row(spark):
+    d = "/root/testdata/sf0.001"
+    for name, found in {"fielding_credits": derived.QUERIES, "start_log": derived.QUERIES, "replay_lines": scored.QUERIES, "audit_findings": scored.QUERIES}.items():
+        plan = found[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan and "^SB" not in plan
