@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions.columns import count_if, rate, regular_season, sum_if, welch_t
 from dugout.operators.relational import unpivot
+from dugout.operators.shared import written
 from dugout.plans.studies import Tables, regular
 
 _BASES = ("base1_before", "run1_dest"), ("base2_before", "run2_dest"), ("base3_before", "run3_dest")
@@ -153,7 +154,7 @@ def _opponents(t: Tables, team: str, season: int) -> DataFrame:
 
 def lineup_checks(t: Tables, team: str, pitcher: str, catcher: str, season: int, regulars: int = 8, least_outs: int = 150) -> DataFrame:
     """By venue and starter: regulars in the lineup, games with the catcher, and the opposing starters' earned-run average."""
-    games = team_games(t, team, pitcher, season)
+    games = written(team_games(t, team, pitcher, season), "games")
     lineups = _lineups(t, games)
     seen = lineups.join(_regulars(lineups, regulars).withColumn("_regular", F.lit(True)), "player_id", "left")
     caught = (F.col("fielding_position") == 2) & (F.col("player_id") == catcher)
@@ -169,15 +170,16 @@ def lineup_checks(t: Tables, team: str, pitcher: str, catcher: str, season: int,
 
 def regulars_rested(t: Tables, team: str, pitcher: str, season: int, regulars: int = 8) -> DataFrame:
     """For each regular, his share of starts: at home behind the pitcher, at home otherwise, on the road behind the pitcher."""
-    games = team_games(t, team, pitcher, season)
+    games = written(team_games(t, team, pitcher, season), "games")  # read four times, and planned once
     lineups = _lineups(t, games)
     home, own = F.col("at_home"), F.col("own_start")
     kinds = {"own_home": home & own, "other_home": home & ~own, "own_road": ~home & own}
-    total = {k: games.agg(count_if(c)).scalar() for k, c in kinds.items()}
+    total = {k: F.col(f"_all_{k}") for k in kinds}
+    totals = games.agg(*[count_if(c).alias(f"_all_{k}") for k, c in kinds.items()])
     started = lineups.groupBy("player_id").agg(*[count_if(c).alias(k) for k, c in kinds.items()])
     rows = _regulars(lineups, regulars).join(started, "player_id")
     people = t["people"].select("player_id", F.concat_ws(" ", "first_name", "last_name").alias("player"), "bats")
-    return rows.join(people, "player_id").select(
+    return rows.join(people, "player_id").crossJoin(F.broadcast(totals)).select(
         "player_id", "player", "bats", "total_starts", F.col("own_home").alias("started_own_home"), (total["own_home"] - F.col("own_home")).alias("missed_own_home"),
         *[rate(k, total[k], 1, 100).alias(f"pct_{k}") for k in kinds],
     )

@@ -103,3 +103,9 @@ def test_queries_parse_no_play_row_by_row(spark):
     for name, found in {"fielding_credits": derived.QUERIES, "start_log": derived.QUERIES, "replay_lines": scored.QUERIES, "audit_findings": scored.QUERIES}.items():
         plan = found[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
         assert "RLIKE" not in plan and "^SB" not in plan
+
+
+def test_team_games_are_planned_once(spark):
+    """The games behind regulars_rested come of the plays once, not anew for each total."""
+    plan = derived.QUERIES["regulars_rested"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "scalar-subquery" not in plan
