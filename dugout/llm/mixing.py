@@ -24,9 +24,10 @@ KEPT = 0.4
 #: Raking ends when no cell's share of the sample changes by more than this in a round, or after so many rounds.
 STILL, ROUNDS = 1e-5, 30
 NONE, OTHER = "(none)", "(other)"
-#: Topics are words: so many, each in at most this share of its language's documents in a sample of about so many, drawn by
-#: their ids.
-TOPICS, COMMON, TOPIC_ROWS = 12, 0.2, 4000
+#: Topics are words: so many, each in at most this share of its language's documents.
+TOPICS, COMMON = 12, 0.2
+#: The SQL still counts a sample of about so many documents, drawn by their ids: up to as many both count all.
+TOPIC_ROWS = 4000
 WORD = "[A-Za-z]{4,}"
 
 
@@ -36,14 +37,16 @@ def words(text: Column) -> Column:
 
 
 def topic_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> list[str]:
-    """The words that name topics: of the sample's words that are in few enough documents of their language, those in most,
-    each language's first word before any language's second. The driver gets ``TOPICS`` words."""
+    """The words that name topics: of the words that are in few enough documents of their language, those in most, each
+    language's first word before any language's second. All documents with a text and an id are counted; the driver gets
+    ``TOPICS`` words."""
     language = F.coalesce(col(lang).cast("string"), F.lit(NONE)) if lang in docs.columns else F.lit(NONE)
-    some = docs.filter(col(text).isNotNull() & col(id_col).isNotNull())
-    few = draw(F.concat(F.lit("topic "), col(id_col).cast("string")), col(text)) < TOPIC_ROWS / max(1, some.count())
-    some = materialize(some.filter(few).select(language.alias("lang"), col(text).alias("text")), "topics")
-    found = some.select("lang", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    found = found.join(some.groupBy("lang").agg(F.count("*").alias("of")), "lang").filter(F.col("n") <= COMMON * F.col("of"))
+    some = docs.filter(col(text).isNotNull() & col(id_col).isNotNull()).select(language.alias("lang"), col(text).alias("text"))
+    # the empty word stands for the document itself, so that one pass gives both counts
+    each = F.explode(F.array_append(F.array_distinct(words(F.col("text"))), F.lit("")))
+    found = materialize(some.select("lang", each.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "topics")
+    of = found.filter("word = ''").select("lang", F.col("n").alias("of"))
+    found = found.filter("word <> ''").join(F.broadcast(of), "lang").filter(F.col("n") <= COMMON * F.col("of"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= TOPICS)
     best = ranked.groupBy("word").agg(F.min("rank").alias("rank"), F.max("n").alias("n")).orderBy("rank", F.desc("n"), "word")
     return [r["word"] for r in best.limit(TOPICS).collect()]
@@ -138,6 +141,8 @@ def calibrate(
         draw(col(id_col), col(text)).alias("_draw"),
         *[(topic(col(text), named) if d == "topic" else F.coalesce(col(d).cast("string"), F.lit(NONE))).alias(f"_{d}") for d in dimensions],
     )
+    if keep is not None and text not in kept_columns:
+        marked = materialize(marked, "marked")  # without the texts it is small, and the words are sought once
     keys = [f"_{d}" for d in dimensions]
     cells = materialize(marked.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
     wanted = {

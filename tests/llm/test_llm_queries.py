@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import plain
-from dugout.llm import ann, ctph, queries
+from dugout.llm import ann, ctph, mixing, queries
 from plain import sha
 
 Q = queries.queries()
@@ -182,6 +182,24 @@ def test_op6(spark, odd_dir):
         assert r["probability"] == pytest.approx(w["probability"], abs=2e-6) and r["kept"] == w["kept"]
 
 
+def test_topic_words_of_all_documents(spark):
+    """Words of nearly the same frequency, over more documents than a sample would hold: only counts of all give their order."""
+    rng = np.random.default_rng(6)
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(2)) + "word" for i in range(40)]
+    shares = 0.1 + 0.001 * np.arange(40)
+    held = rng.random((9000, 40)) < shares
+    docs = [(i, "xx" if i % 3 else None, " ".join(n for n, h in zip(names, row, strict=True) if h)) for i, row in enumerate(held)]
+    first: dict[str, tuple[int, int]] = {}
+    for lang in ("xx", None):
+        own = held[[i for i, d in enumerate(docs) if d[1] == lang]]
+        counts = {n: int(c) for n, c in zip(names, own.sum(axis=0), strict=True) if c <= mixing.COMMON * len(own)}
+        for rank, name in enumerate(sorted(counts, key=lambda n: (-counts[n], n))[: mixing.TOPICS], 1):
+            was = first.get(name, (rank, 0))
+            first[name] = (min(was[0], rank), max(was[1], counts[name]))
+    wanted = sorted(first, key=lambda n: (first[n][0], -first[n][1], n))[: mixing.TOPICS]
+    assert mixing.topic_words(spark.createDataFrame(docs, "doc_id long, lang string, text string")) == wanted
+
+
 def test_op7(spark):
     d = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
