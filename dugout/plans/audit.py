@@ -41,11 +41,11 @@ def unknown_events(play: DataFrame, top: int = TOP) -> DataFrame:
 CATEGORIES = ("unknown_event", "unparsed_advance", "outs_overflow")
 
 
-def findings(records: DataFrame, play: DataFrame) -> DataFrame:
+def findings(records: DataFrame, play: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """What the grammar and the replay stumble over: category, game_id, seq, event, detail, comment.
 
     ``records`` is the record stream (``read_records``); a play's comment is the record right behind it, if that is one. Overflowing
-    outs come from the replayed plays, by ``play_seq`` and without comment.
+    outs come from the replayed plays, by ``play_seq`` and without comment. ``of``, if given, is a cheaper plan of the trimmed events.
     """
     along = Window.partitionBy("game_id").orderBy("seq")
     ahead = records.filter(F.col("type").isin("play", "com")).select(
@@ -53,7 +53,7 @@ def findings(records: DataFrame, play: DataFrame) -> DataFrame:
     )
     comment = F.when((F.col("next.type") == "com") & (F.col("next.seq") == F.col("seq") + 1), F.col("next.f1"))
     plays = ahead.filter("type = 'play' AND event NOT IN ('', 'NP')").select("game_id", "seq", "event", comment.alias("comment"))
-    parsed = once(plays, lambda df: parse_events(df).select("event", "event_code", unparsed_advances(F.col("event")).alias("bad")))
+    parsed = once(plays, lambda df: parse_events(df).select("event", "event_code", unparsed_advances(F.col("event")).alias("bad")), of=of)
     found = F.filter(
         F.array(
             F.when(F.col("event_code") == 0, F.struct(F.lit("unknown_event").alias("category"), F.lit("no known event").alias("detail"))),

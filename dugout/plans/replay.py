@@ -62,11 +62,11 @@ def moves(strict: bool) -> dict[str, Column]:
     return {name: end.cast("int") for name, end in ends.items()}
 
 
-def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
+def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """All that moves a game's state, as one frame: the kinds start, sub, radj and play, in the order of ``seq``.
 
     Plays that are blank or ``NP`` are left out. Parsing happens here, before the shuffle by game, once for each distinct event:
-    ``moves`` and ``strict_moves`` hold where everybody ends.
+    ``moves`` and ``strict_moves`` hold where everybody ends. ``of``, if given, is a cheaper plan of the column ``event``.
     """
 
     def parse(df: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments:
         ends = {name: F.struct(*[c.alias(n) for n, c in moves(strict).items()]) for name, strict in (("moves", False), ("strict_moves", True))}
         return df.withColumns(ends).select("event", "plays", "advances", "primary_basic", "batter_reached", "credits", *ends, *_PARSED)
 
-    live = plays.filter(~F.trim(F.coalesce("event", F.lit(""))).isin("", "NP")).withColumn("event", F.trim("event"))
-    parsed = once(live, parse).select("*", balls_and_strikes("count").alias("_c")).select(
+    named = lambda df: df.filter(~F.trim(F.coalesce("event", F.lit(""))).isin("", "NP")).withColumn("event", F.trim("event"))
+    parsed = once(named(plays), parse, of=None if of is None else named(of)).select("*", balls_and_strikes("count").alias("_c")).select(
         "game_id", "seq", F.lit("play").alias("kind"), "inning", "half", "batter_id", "_c.balls", "_c.strikes",
         F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", "credits", "moves", "strict_moves", *_PARSED,
     )
@@ -168,6 +168,20 @@ def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
     return both.select("game_id", "row.*", "seen.*")
 
 
+def outs_of(events: DataFrame) -> DataFrame:
+    """The plays of a ``timeline`` with ``play_seq`` and ``outs_before`` as ``plays_of`` has them, and nothing else of the state: outs
+    are a running sum that starts anew with each half-inning, so this is one sort by game without a fold."""
+    order = Window.partitionBy("game_id").orderBy("seq", "player_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("inning").eqNullSafe(F.lag("inning").over(order)) & F.col("half").eqNullSafe(F.lag("half").over(order))
+    plays = events.filter("kind = 'play'").select(
+        "game_id", "seq", "player_id", "event", F.col("outs_on_play").cast("int").alias("outs_on_play"), (F.row_number().over(order) - 1).alias("play_seq"),
+        F.coalesce(F.sum("outs_on_play").over(before), F.lit(0)).alias("_so_far"), same.alias("_same"),
+    )
+    began = F.coalesce(F.last(F.when(~F.col("_same"), F.col("_so_far")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return plays.select("game_id", "play_seq", "event", (F.col("_so_far") - began).cast("int").alias("outs_before"), "outs_on_play")
+
+
 def plays_of(rows: DataFrame) -> DataFrame:
     """The table ``play``: the plays of each game numbered from 0."""
     plays = rows.filter("kind = 'play'")
