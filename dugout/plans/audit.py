@@ -78,5 +78,5 @@ def finding_counts(found: DataFrame, records: DataFrame) -> DataFrame:
 
 def finding_samples(found: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """At most so many of each category, the first by game and place."""
-    first = [found.filter(F.col("category") == c).orderBy("game_id", "seq", "event").limit(samples) for c in CATEGORIES]
-    return first[0].unionByName(first[1]).unionByName(first[2])
+    order = Window.partitionBy("category").orderBy("game_id", "seq", "event")
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= samples).drop("_n")
