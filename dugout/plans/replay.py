@@ -22,6 +22,17 @@ _PARSED = (
     "passed_ball", "outs_on_play", "rbi",
 )
 _KINDS = ("po", "a", "e", "pb", "xi")
+_TALLIES = f"array<struct<position:int,{','.join(f'{c}:int' for c in (*_KINDS, 'dp', 'tp'))}>>"
+
+
+def tallies() -> Column:
+    """A play's credits by position: how many of each kind, and if it is one of a double or triple play."""
+    count = lambda kind, at: F.size(F.filter("credits", lambda c: (c["kind"] == kind) & (c["position"] == at)))
+    helped = lambda at: F.exists("credits", lambda c: c["kind"].isin("po", "a") & (c["position"] == at))
+    both = lambda at, flag: F.coalesce((helped(at) & F.col(flag)).cast("int"), F.lit(0))
+    positions = F.array_distinct(F.filter(F.transform("credits", lambda c: c["position"]), lambda p: p.between(1, 9)))
+    of = lambda at: F.struct(at.alias("position"), *[count(k, at).alias(k) for k in _KINDS], both(at, "double_play").alias("dp"), both(at, "triple_play").alias("tp"))
+    return F.transform(positions, of).cast(_TALLIES)
 
 
 def _number(base: Column) -> Column:
@@ -71,13 +82,14 @@ def timeline(starts: DataFrame, subs: DataFrame, plays: DataFrame, adjustments:
 
     def parse(df: DataFrame) -> DataFrame:
         df = parse_events(df).withColumn("credits", credits()).withColumn("_implied", implied_moves())
+        df = df.withColumn("tallies", tallies())
         ends = {name: F.struct(*[c.alias(n) for n, c in moves(strict).items()]) for name, strict in (("moves", False), ("strict_moves", True))}
-        return df.withColumns(ends).select("event", "plays", "advances", "primary_basic", "batter_reached", "credits", *ends, *_PARSED)
+        return df.withColumns(ends).select("event", "plays", "advances", "primary_basic", "batter_reached", "credits", "tallies", *ends, *_PARSED)
 
     named = lambda df: df.filter(~F.trim(F.coalesce("event", F.lit(""))).isin("", "NP")).withColumn("event", F.trim("event"))
     parsed = once(named(plays), parse, of=None if of is None else named(of)).select("*", balls_and_strikes("count").alias("_c")).select(
         "game_id", "seq", F.lit("play").alias("kind"), "inning", "half", "batter_id", "_c.balls", "_c.strikes",
-        F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", "credits", "moves", "strict_moves", *_PARSED,
+        F.col("pitches").alias("pitch_seq"), "event", "plays", "advances", "primary_basic", "batter_reached", "credits", "tallies", "moves", "strict_moves", *_PARSED,
     )
     who = lambda df, kind, seq: df.select("game_id", seq.alias("seq"), F.lit(kind).alias("kind"), "player_id", "side", "fielding_position")
     out = parsed.unionByName(who(starts, "start", F.lit(-1)), allowMissingColumns=True)
@@ -150,6 +162,16 @@ def _fold(strict: bool) -> str:
     return f"aggregate(rows, {start}, (s, p) -> {step}, s -> s.seen)"
 
 
+def _rank() -> Column:
+    """The place of a kind among rows of one seq."""
+    return F.array_position(F.array(*map(F.lit, ("start", "radj", "sub", "play"))), F.col("kind"))
+
+
+def _slot() -> Column:
+    """Where somebody is stationed: places of side 0 from 0, of side 1 from 9; null for whoever doesn't field."""
+    return F.expr("CAST(CASE WHEN kind IN ('start', 'sub') AND side IN (0, 1) AND fielding_position BETWEEN 1 AND 9 AND player_id IS NOT NULL THEN side * 9 + fielding_position - 1 END AS INT)")
+
+
 def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
     """A ``timeline`` with the state before each play, and the fielders in the field: ``plays_of`` and ``lines_of`` read it.
 
@@ -157,11 +179,9 @@ def replayed(events: DataFrame, strict: bool = False) -> DataFrame:
     runners of extra innings. Rows of one ``seq`` go by kind (starts, placed runners, substitutions, plays), position and
     player. Someone without a side or without a position from 1 to 9 doesn't field; a null player isn't stationed.
     """
-    rank = F.array_position(F.array(*map(F.lit, ("start", "radj", "sub", "play"))), F.col("kind"))
-    slot = F.expr("CASE WHEN kind IN ('start', 'sub') AND side IN (0, 1) AND fielding_position BETWEEN 1 AND 9 AND player_id IS NOT NULL THEN side * 9 + fielding_position - 1 END")
     ends = F.col("strict_moves" if strict else "moves")
-    rows = events.select("*", rank.alias("rank"), slot.cast("int").alias("slot"), *[ends[f"to{b}"].alias(f"to{b}") for b in range(4)])
-    rows = rows.drop("plays", "advances", "primary_basic", "batter_reached", "moves", "strict_moves")  # of which the parser has made use
+    rows = events.select("*", _rank().alias("rank"), _slot().alias("slot"), *[ends[f"to{b}"].alias(f"to{b}") for b in range(4)])
+    rows = rows.drop("plays", "advances", "primary_basic", "batter_reached", "moves", "strict_moves", "tallies")  # of which the parser has made use
     order = ["seq", "rank", "fielding_position", "player_id"]
     games = rows.groupBy("game_id").agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in ("game_id", *order)]))).alias("rows"))
     both = games.select("game_id", F.expr(f"inline(zip_with(rows, {_fold(strict)}, (row, seen) -> struct(row, seen)))").alias("row", "seen"))
@@ -214,6 +234,42 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return lines.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FIELDING_LINE])
 
 
+def lines_from(events: DataFrame) -> DataFrame:
+    """The fielding lines of a ``timeline`` as ``lines_of`` has them, without the fold: of who stands where, a play needs but those whose
+    position it credits, and outs are differences of the running sum of a side's outs."""
+    whole = Window.partitionBy("game_id")
+    order = ["seq", "rank", "fielding_position", "player_id"]
+    earlier = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    play = F.col("kind") == "play"
+    field = F.when(F.col("half") == 1, 0).otherwise(1)  # the side in the field, as the fold has it
+    outs = [F.coalesce(F.when(play & (field == side), F.col("outs_on_play")), F.lit(0)).cast("long") for side in (0, 1)]
+    rows = events.select(
+        "game_id", "seq", _rank().alias("rank"), "fielding_position", "player_id", "side", (F.col("kind") == "start").alias("started"), "tallies",
+        _slot().alias("slot"), F.when(play, field).alias("field"), *[c.alias(f"_out{side}") for side, c in enumerate(outs)],
+    )
+    for side in (0, 1):
+        rows = rows.withColumns({f"_so_far{side}": F.coalesce(F.sum(f"_out{side}").over(earlier), F.lit(0)), f"_all{side}": F.sum(f"_out{side}").over(whole)})
+    rows = rows.filter(F.col("slot").isNotNull() | (F.size("tallies") > 0))
+    of_side = lambda name, slot: F.when(slot < 9, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("position"), *[F.lit(0).alias(c) for c in (*_KINDS, "dp", "tp")])).cast(_TALLIES)
+    rows = rows.select("*", F.inline(F.when(F.col("slot").isNotNull(), none).otherwise(F.col("tallies")))).drop("tallies")
+    rows = rows.withColumn("at", F.coalesce("slot", F.col("field") * 9 + F.col("position") - 1))
+    rows = rows.select("game_id", *order, "side", "started", "slot", "at", *_KINDS, "dp", "tp", of_side("_so_far", F.col("at")).alias("_so_far"), of_side("_all", F.col("at")).alias("_all"))
+    there = Window.partitionBy("game_id", "at").orderBy(*order)
+    # who stands there, since when, and the outs until the next row of that place
+    rows = rows.select(
+        "game_id", "seq", "rank", "side", "started", "slot", (F.col("at") % 9 + 1).alias("position"), *_KINDS, "dp", "tp",
+        F.last(F.when(F.col("slot").isNotNull(), F.col("player_id")), ignorenulls=True).over(there.rowsBetween(Window.unboundedPreceding, 0)).alias("player_id"),
+        (F.coalesce(F.lead("_so_far").over(there), F.col("_all")) - F.col("_so_far")).alias("outs"),
+    ).filter("player_id IS NOT NULL")
+    came = F.when(F.col("slot").isNotNull(), F.struct("seq", "rank", "side"))
+    lines = rows.groupBy("game_id", "player_id", "position").agg(
+        F.min(came)["side"].alias("side"), F.lit(1).alias("games"), F.coalesce(F.bool_or(F.col("started") & F.col("slot").isNotNull()), F.lit(False)).alias("games_started"),
+        *[F.sum(c).alias(c) for c in ("outs", *_KINDS, "dp", "tp")],
+    )
+    return lines.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FIELDING_LINE])
+
+
 def replay(events: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The tables ``play`` and the fielding lines (game_id, player_id, position, side and sums), from a ``timeline``.
 

@@ -1,7 +1,7 @@
 """Outs and fielding lines without a fold, against the fold on random games; what the audit plans."""
 
 from dugout.plans import scored
-from dugout.plans.replay import outs_of, plays_of, replayed, timeline
+from dugout.plans.replay import lines_from, lines_of, outs_of, plays_of, replayed, timeline
 from test_replay import SMALL, games
 
 
@@ -31,3 +31,11 @@ def test_the_audit_folds_no_games(spark):
         plan = scored.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "aggregate(rows" not in plan and "collect_list" not in plan
         assert plan.count("Exchange hashpartitioning(game_id") <= 3  # of the same lines, so that one is run
+
+
+def test_lines_are_the_replays(spark):
+    """Vacant positions, the same player at several and plays of no half-inning included."""
+    events = random_timeline(spark, 12)
+    assert alike(lines_from(events), lines_of(replayed(events)))
+    plan = scored.QUERIES["replay_lines"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(rows" not in plan and "collect_list" not in plan
