@@ -7,14 +7,15 @@ instead. Where a text of columns means the same to both, both use it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dugout.functions import events as grammar
 from dugout.functions.fielding import credits
+from dugout.operators.shared import written
 from dugout.plans import daily, starters, studies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,11 +99,18 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def raw_plays(spark: SparkSession, d: str) -> DataFrame:
-    """The plays before they are parsed: state, and the event's text."""
-    orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    lines = _table(spark, d, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", _SEQ)
-    placed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*_PLACED).selectExpr(*_TEAMS).selectExpr(*_STATE)
+#: Lines that one task numbers and counts: what it holds is bounded by this, not by the input.
+LINES_A_PART = 150_000
+
+
+def raw_plays(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The plays before they are parsed: state, and the event's text. They are cut by game once, into parts of bounded size, so
+    that numbers, orders, scores and sums by game need no other shuffle."""
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // LINES_A_PART))
+    order = Window.partitionBy("game_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    cut = lines.select(F.expr(_PLACED[0]), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").repartition(parts, "game_id")
+    numbered = cut.select("game_id", "l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(order).alias("play_seq"))
+    placed = numbered.join(orders.selectExpr(GAME[0], "o_orderkey", "o_custkey"), "game_id").selectExpr("game_id", *_PLACED[1:]).selectExpr(*_TEAMS).selectExpr(*_STATE)
     return placed.withColumn("event", _text("k"))
 
 
@@ -110,15 +118,19 @@ def _text(k: str) -> Column:
     return F.get(F.array(*[F.lit(e[0]) for e in EVENTS]), F.col(k))
 
 
-def parsed_plays(spark: SparkSession, d: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _parsed(plays: DataFrame, lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The plays with what ``parse`` adds to their events; the events are those of all lines, with an order or without."""
-    events = _table(spark, d, "lineitem").selectExpr(_EVENT).select(_text("k").alias("event"))
-    return grammar.once(raw_plays(spark, d), parse, of=events)
+    return grammar.once(plays, parse, of=lines.selectExpr(_EVENT).select(_text("k").alias("event")))
 
 
-def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def tables(spark: SparkSession, d: str, seasons: Sequence[int] | None = None) -> dict[str, DataFrame]:
+    """The derived tables; with ``seasons``, like ``Store.tables``, the games of these only. Their lines are then written, once."""
     orders, lines = _table(spark, d, "orders"), _table(spark, d, "lineitem")
-    parsed = parsed_plays(spark, d, lambda df: grammar.parse_events(df).select("event", *_FIELDS))
+    if seasons is not None:
+        orders = orders.filter(F.year(F.col("o_orderdate").cast("date")).isin(list(seasons)))
+        theirs = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        lines = written(theirs, "lines")
+    parsed = _parsed(raw_plays(orders, lines), lines, lambda df: grammar.parse_events(df).select("event", *_FIELDS))
     t = {"game": orders.selectExpr(*GAME), "game_log": orders.selectExpr(*LOG), "earned_runs": lines.selectExpr(*EARNED)}
     t["play"] = parsed.selectExpr(*_MOVED).selectExpr(*_SCORED).selectExpr(*_RUNNING)
     places = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(p).alias("p")) for s in (0, 1) for p in range(1, 10)])
@@ -213,7 +225,7 @@ def _rate(top: str, bottom: str, digits: int, factor: int = 1) -> str:
 @query("""SELECT event, count(*) AS n, CAST(sum(len(regexp_extract_all(event, '[B123]-H')) + CASE WHEN regexp_matches(split_part(event, '.', 1), '^(HR|H)([^A-Za-z]|$)') AND NOT contains(event, 'B-H') THEN 1 ELSE 0 END
   + greatest(0, len(regexp_extract_all(event, 'SBH')) - CASE WHEN contains(event, '3-H') THEN 1 ELSE 0 END)) AS BIGINT) AS runs FROM play GROUP BY event""")
 def derived_runs(spark, d):
-    return raw_plays(spark, d).groupBy("event").agg(F.count("*").alias("n"), F.sum(grammar.derived_runs(F.col("event"))).cast("long").alias("runs"))
+    return raw_plays(_table(spark, d, "orders"), _table(spark, d, "lineitem")).groupBy("event").agg(F.count("*").alias("n"), F.sum(grammar.derived_runs(F.col("event"))).cast("long").alias("runs"))
 
 
 #: Credits of the fielders of each event, by the format's rules: position, kind.
@@ -225,9 +237,11 @@ CREDITS = {
 
 @query(f"""SELECT pitcher_id, position, kind, count(*) AS n FROM play JOIN (VALUES {_values((e, p, k) for e, c in CREDITS.items() for p, k in c)}) AS c(event, position, kind) USING (event) GROUP BY ALL""")
 def fielding_credits(spark, d):
-    """Credits of all plays, by pitcher, position and kind."""
-    parsed = parsed_plays(spark, d, lambda df: grammar.parse_events(df).select("event", credits().alias("credits")))
-    return parsed.select("pitcher_id", F.inline("credits")).groupBy("pitcher_id", "position", "kind").agg(F.count("*").alias("n"))
+    """Credits of all plays, by pitcher, position and kind: plays are counted by pitcher and event before they have any."""
+    lines = _table(spark, d, "lineitem")
+    counted = raw_plays(_table(spark, d, "orders"), lines).groupBy("pitcher_id", "event").agg(F.count("*").alias("_plays"))
+    parsed = _parsed(counted, lines, lambda df: grammar.parse_events(df).select("event", credits().alias("credits")))
+    return parsed.select("pitcher_id", "_plays", F.inline("credits")).groupBy("pitcher_id", "position", "kind").agg(F.sum("_plays").alias("n"))
 
 
 # --- daily lines and studies over derived games -----------------------------------
