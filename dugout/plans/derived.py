@@ -272,7 +272,7 @@ _VENUE = "CASE WHEN at_home THEN 'home' ELSE 'road' END AS venue"
     for name, c in {"league": "true", "team": f"team = '{TEAM}'", "team, his starts": f"team = '{TEAM}' AND {_OWN}", "team, other starts": f"team = '{TEAM}' AND NOT {_OWN}"}.items()
 ))
 def bullpen_split(spark, d):
-    return starters.bullpen_split(tables(spark, d), LEAGUE, TEAM, PITCHER, SEASON)
+    return starters.bullpen_split(tables(spark, d, [SEASON]), LEAGUE, TEAM, PITCHER, SEASON)
 
 
 @query(f"""SELECT s.game_id, s.game_date, s.batters_faced AS bf, {_rate('s.outs', '3', 1)} AS ip, during.n AS runs_during, coalesce(lft.n, 0) AS runners_left_on, coalesce(sc.n, 0) AS bequeathed_scored, s.runs AS charged_r, s.earned_runs AS charged_er
@@ -285,7 +285,7 @@ LEFT JOIN (SELECT x.game_id, count(*) AS n FROM (
   JOIN (SELECT game_id, play_seq, inning, half, unnest([base1_before, base2_before, base3_before]) AS who, unnest([run1_dest, run2_dest, run3_dest]) AS dest FROM play) y
   ON x.game_id = y.game_id AND x.inning = y.inning AND x.half = y.half AND x.who = y.who AND y.play_seq > z WHERE x.dest BETWEEN 1 AND 3 AND y.dest >= 4 GROUP BY ALL) sc USING (game_id)""")
 def bequeathed_runners(spark, d):
-    return starters.bequeathed_runners(tables(spark, d), PITCHER, SEASON)
+    return starters.bequeathed_runners(tables(spark, d, [SEASON]), PITCHER, SEASON)
 
 
 @query(f"""SELECT starters, count(*) FILTER (WHERE x > 0) AS exits_with_lead, count(*) FILTER (WHERE x > 0 AND f > 0) AS leads_held, {_rate('count(*) FILTER (WHERE x > 0 AND f > 0)', 'count(*) FILTER (WHERE x > 0)', 1, 100)} AS pct_leads_held,
@@ -297,21 +297,21 @@ def bequeathed_runners(spark, d):
   JOIN (SELECT game_id, max(away_score_before + CASE WHEN half = 0 THEN runs_on_play ELSE 0 END) AS away_f, max(home_score_before + CASE WHEN half = 1 THEN runs_on_play ELSE 0 END) AS home_f FROM play GROUP BY ALL) f USING (game_id)
   LEFT JOIN play nxt ON nxt.game_id = st.game_id AND nxt.play_seq = z + 1) GROUP BY ALL""")
 def lead_holding(spark, d):
-    return starters.lead_holding(tables(spark, d), LEAGUE, TEAM, PITCHER, SEASON)
+    return starters.lead_holding(tables(spark, d, [SEASON]), LEAGUE, TEAM, PITCHER, SEASON)
 
 
 @query(f"""SELECT s.game_id, s.game_date, CASE WHEN home_team = s.team THEN concat('vs ', visitor_team) ELSE concat('at ', home_team) END AS opponent, batters_faced AS bf, {_rate('outs', '3', 1)} AS ip, runs AS r, earned_runs AS er, strikeouts AS so, walks AS bb,
   {_rate('coalesce(po, 0)', '3', 1)} AS pen_ip, coalesce(pr, 0) AS pen_runs, CASE WHEN won THEN 'W' WHEN lost THEN 'L' ELSE '-' END AS decision
 FROM ({_START}) s JOIN game USING (game_id) LEFT JOIN (SELECT game_id, team, CAST(sum(outs) AS BIGINT) AS po, CAST(sum(runs) AS BIGINT) AS pr FROM pitching_daily WHERE player_id <> '{PITCHER}' GROUP BY ALL) o ON o.game_id = s.game_id AND o.team = s.team""")
 def start_log(spark, d):
-    return starters.start_log(tables(spark, d), PITCHER, SEASON)
+    return starters.start_log(tables(spark, d, [SEASON]), PITCHER, SEASON)
 
 
 @query(f"""SELECT CASE WHEN won THEN 'Win' WHEN lost THEN 'Loss' ELSE 'No decision' END AS decision, count(*) AS games, {_rate('sum(outs)', '3 * count(*)', 2)} AS avg_ip, {_rate('sum(s.runs)', 'count(*)', 2)} AS avg_runs_allowed,
   {_rate('sum(b.runs)', 'count(*)', 2)} AS avg_runs_scored, count(*) FILTER (WHERE s.runs <= 2) AS games_allowed_few, count(*) FILTER (WHERE b.runs <= 2) AS games_scored_few
 FROM ({_START}) s JOIN (SELECT game_id, team, sum(runs) AS runs FROM batting_daily GROUP BY ALL) b USING (game_id, team) GROUP BY ALL""")
 def support_by_decision(spark, d):
-    return starters.support_by_decision(tables(spark, d), PITCHER, SEASON)
+    return starters.support_by_decision(tables(spark, d, [SEASON]), PITCHER, SEASON)
 
 
 _LINES = f"SELECT g.*, player_id, fielding_position FROM lineup_start l JOIN ({_GAMES}) g ON g.game_id = l.game_id AND g.side = l.side WHERE fielding_position BETWEEN 2 AND 9"
@@ -323,14 +323,14 @@ FROM ({_GAMES}) g LEFT JOIN (SELECT game_id, count(*) FILTER (WHERE player_id IN
 LEFT JOIN (SELECT game_id, er * 27.0 / o AS era FROM pitching_daily p JOIN (SELECT player_id, sum(outs) AS o, sum(earned_runs) AS er FROM pitching_daily WHERE year(game_date) = {SEASON} GROUP BY ALL HAVING sum(outs) >= 20) USING (player_id)
   WHERE games_started AND team <> '{TEAM}' AND year(game_date) = {SEASON}) USING (game_id) GROUP BY ALL""")
 def lineup_checks(spark, d):
-    return starters.lineup_checks(tables(spark, d), TEAM, PITCHER, "T1-b3", SEASON, least_outs=20)
+    return starters.lineup_checks(tables(spark, d, [SEASON]), TEAM, PITCHER, "T1-b3", SEASON, least_outs=20)
 
 
 @query(f"""SELECT player_id, concat(upper(player_id), ' ', lower(player_id)) AS player, 'R' AS bats, total_starts, a AS started_own_home, na - a AS missed_own_home, {_rate('a', 'na', 1, 100)} AS pct_own_home, {_rate('b', 'nb', 1, 100)} AS pct_other_home, {_rate('c', 'nc', 1, 100)} AS pct_own_road
 FROM ({_REGULARS}) JOIN (SELECT player_id, count(*) FILTER (WHERE at_home AND own_start) AS a, count(*) FILTER (WHERE at_home AND NOT own_start) AS b, count(*) FILTER (WHERE NOT at_home AND own_start) AS c FROM ({_LINES}) GROUP BY ALL) USING (player_id),
   (SELECT count(*) FILTER (WHERE at_home AND own_start) AS na, count(*) FILTER (WHERE at_home AND NOT own_start) AS nb, count(*) FILTER (WHERE NOT at_home AND own_start) AS nc FROM ({_GAMES}))""")
 def regulars_rested(spark, d):
-    return starters.regulars_rested(tables(spark, d), TEAM, PITCHER, SEASON)
+    return starters.regulars_rested(tables(spark, d, [SEASON]), TEAM, PITCHER, SEASON)
 
 
 _FACED = f"""SELECT g.*, runs, throws FROM ({_GAMES}) g JOIN (SELECT game_id, sum(runs) AS runs FROM batting_daily WHERE team = '{TEAM}' AND year(game_date) = {SEASON} GROUP BY ALL) USING (game_id)
@@ -340,7 +340,7 @@ _FACED = f"""SELECT g.*, runs, throws FROM ({_GAMES}) g JOIN (SELECT game_id, su
 @query(f"""SELECT {_VENUE}, own_start, count(*) AS games, count(*) FILTER (WHERE throws = 'L') AS vs_left, {_rate("count(*) FILTER (WHERE throws = 'L')", 'count(*)', 1, 100)} AS pct_vs_left,
   {_r("avg(runs) FILTER (WHERE throws = 'L')", 2)} AS runs_vs_left, {_r("avg(runs) FILTER (WHERE throws = 'R')", 2)} AS runs_vs_right FROM ({_FACED}) GROUP BY ALL""")
 def platoon(spark, d):
-    return starters.platoon(tables(spark, d), TEAM, PITCHER, SEASON)
+    return starters.platoon(tables(spark, d, [SEASON]), TEAM, PITCHER, SEASON)
 
 
 _WELCH = "(avg(runs) FILTER (WHERE {a}) - avg(runs) FILTER (WHERE NOT {a})) / nullif(sqrt(var_samp(runs) FILTER (WHERE {a}) / count(*) FILTER (WHERE {a}) + var_samp(runs) FILTER (WHERE NOT {a}) / count(*) FILTER (WHERE NOT {a})), 0)"
@@ -349,14 +349,14 @@ _WELCH = "(avg(runs) FILTER (WHERE {a}) - avg(runs) FILTER (WHERE NOT {a})) / nu
 @query(f"""SELECT throws AS opposing_hand, count(*) FILTER (WHERE own_start) AS own_games, {_r('avg(runs) FILTER (WHERE own_start)', 2)} AS own_support, count(*) FILTER (WHERE NOT own_start) AS other_games, {_r('avg(runs) FILTER (WHERE NOT own_start)', 2)} AS other_support,
   {_r('avg(runs) FILTER (WHERE own_start) - avg(runs) FILTER (WHERE NOT own_start)', 2)} AS difference, {_r(_WELCH.format(a='own_start'), 2)} AS t_stat FROM ({_FACED}) WHERE at_home GROUP BY ALL""")
 def home_gap_by_hand(spark, d):
-    return starters.home_gap_by_hand(tables(spark, d), TEAM, PITCHER, SEASON)
+    return starters.home_gap_by_hand(tables(spark, d, [SEASON]), TEAM, PITCHER, SEASON)
 
 
 @query(f"""SELECT {{group}} AS venue, count(*) FILTER (WHERE own_start) AS starts, {_r('avg(runs) FILTER (WHERE own_start)', 2)} AS support, count(*) FILTER (WHERE NOT own_start) AS other_games, {_r('avg(runs) FILTER (WHERE NOT own_start)', 2)} AS other_support,
   {_r(_WELCH.format(a='own_start'), 2)} AS t_stat, {_rate('count(*) FILTER (WHERE own_start AND runs <= 1)', 'count(*) FILTER (WHERE own_start)', 1, 100)} AS pct_starts_le1, {_rate('count(*) FILTER (WHERE NOT own_start AND runs <= 1)', 'count(*) FILTER (WHERE NOT own_start)', 1, 100)} AS pct_others_le1
 FROM ({_GAMES}) g JOIN (SELECT game_id, sum(runs) AS runs FROM batting_daily WHERE team = '{TEAM}' GROUP BY ALL) USING (game_id) GROUP BY GROUPING SETS ((at_home), ())""".replace("{group}", "CASE WHEN grouping(at_home) = 1 THEN 'TOTAL' WHEN at_home THEN 'home' ELSE 'road' END"))
 def support_test(spark, d):
-    return studies.support_test(tables(spark, d), TEAM, PITCHER, SEASON)
+    return studies.support_test(tables(spark, d, [SEASON]), TEAM, PITCHER, SEASON)
 
 
 @query(f"""SELECT year(game_date) AS season, count(*) FILTER (WHERE games_started) AS gs, CAST(sum(batters_faced) FILTER (WHERE games_started) AS BIGINT) AS bf_in_starts, {_rate('sum(batters_faced) FILTER (WHERE games_started)', 'count(*) FILTER (WHERE games_started)', 2)} AS bf_per_start,

@@ -186,12 +186,12 @@ _OWN_START = f"game_id IN (SELECT game_id FROM pitching_daily WHERE player_id =
   count(*) FILTER (WHERE NOT own) AS other_games, {_r('avg(runs) FILTER (WHERE NOT own)', 2)} AS runs_other_games
 FROM (SELECT t.runs, home_team = '{TEAM}' AS at_home, {_OWN_START} AS own FROM {_TEAM_RUNS} t JOIN game USING (game_id) WHERE team = '{TEAM}' AND season = {SEASON}) GROUP BY GROUPING SETS ((at_home), ())""")
 def study_run_support(spark, d):
-    return studies.run_support(tables(spark, d), TEAM, PITCHER, SEASON)
+    return studies.run_support(tables(spark, d, [SEASON]), TEAM, PITCHER, SEASON)
 
 
 @query(f"""SELECT host, count(*) AS games, {_rate('sum(runs)', 'count(*)', 2)} AS runs_per_game FROM (SELECT game_id, home_team AS host, sum(runs) AS runs FROM {_TEAM_RUNS} JOIN game USING (game_id) WHERE season = {SEASON} GROUP BY ALL HAVING count(*) = 2) GROUP BY host""")
 def study_runs_by_park(spark, d):
-    return studies.runs_by_park(tables(spark, d), SEASON)
+    return studies.runs_by_park(tables(spark, d, [SEASON]), SEASON)
 
 
 @query(f""", st AS (SELECT game_id, player_id, team FROM pitching_daily WHERE games_started AND year(game_date) = {SEASON} AND game_id IN {_REG}), mine AS (SELECT game_id, player_id FROM st WHERE team = '{TEAM}')
@@ -199,13 +199,13 @@ SELECT player_id, gs, support, sd, se, pct_starts_le2, opposing_era FROM (SELECT
   FROM mine JOIN (SELECT * FROM {_TEAM_RUNS} WHERE team = '{TEAM}') USING (game_id) GROUP BY player_id HAVING count(*) >= 2)
 LEFT JOIN (SELECT m.player_id, {_r('avg(er * 27 / o)', 2)} AS opposing_era FROM mine m JOIN st a ON a.game_id = m.game_id AND a.team <> '{TEAM}' JOIN (SELECT player_id, sum(outs) AS o, sum(earned_runs) AS er FROM pitching_daily WHERE year(game_date) = {SEASON} GROUP BY ALL HAVING sum(outs) >= 10) y ON y.player_id = a.player_id GROUP BY m.player_id) USING (player_id)""")
 def study_support_by_starter(spark, d):
-    return studies.support_by_starter(tables(spark, d), TEAM, SEASON, least_starts=2, least_outs=10)
+    return studies.support_by_starter(tables(spark, d, [SEASON]), TEAM, SEASON, least_starts=2, least_outs=10)
 
 
 @query(f"""SELECT season, {_rate(f"sum(r) FILTER (WHERE team = '{TEAM}')", f"sum(g) FILTER (WHERE team = '{TEAM}')", 2)} AS runs_per_game, max(rank) FILTER (WHERE team = '{TEAM}') AS league_rank, {_rate('sum(r)', 'sum(g)', 2)} AS league_average FROM (
   SELECT *, rank() OVER (PARTITION BY season ORDER BY r / g DESC) AS rank FROM (SELECT season, team, CAST(sum(runs) AS DOUBLE) AS r, count(*) AS g FROM {_TEAM_RUNS} WHERE team IN ({', '.join(f"'{x}'" for x in LEAGUE)}) AND season IN (1995, 1996, 1997) GROUP BY ALL)) GROUP BY season""")
 def study_offense_in_context(spark, d):
-    out = studies.offense_in_context(tables(spark, d), TEAM, LEAGUE, [1995, 1996, 1997])
+    out = studies.offense_in_context(tables(spark, d, [1995, 1996, 1997]), TEAM, LEAGUE, [1995, 1996, 1997])
     return out.withColumn("league_rank", F.col("league_rank").cast("long"))
 
 

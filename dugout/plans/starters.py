@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dugout.functions.columns import count_if, rate, regular_season, sum_if, welch_t
 from dugout.operators.relational import unpivot
 from dugout.operators.shared import written
-from dugout.plans.studies import Tables, regular
+from dugout.plans.studies import Tables, regular, season_lines
 
 _BASES = ("base1_before", "run1_dest"), ("base2_before", "run2_dest"), ("base3_before", "run3_dest")
 
@@ -42,6 +42,7 @@ def bullpen_split(t: Tables, league: Sequence[str], team: str, pitcher: str, sea
 
     One scan; a group without innings has nulls.
     """
+    t = season_lines(t, season)
     lines = regular(t, "pitching_daily").filter(F.col("team").isin(list(league)) & ~F.col("games_started") & _in_season(season))
     lines = lines.join(_starts(t, pitcher, season).withColumn("_own", F.lit(True)), "game_id", "left")
     ours, behind = F.col("team") == team, F.col("_own").isNotNull()
@@ -101,6 +102,7 @@ def lead_holding(t: Tables, league: Sequence[str], team: str, pitcher: str, seas
 
 def start_log(t: Tables, pitcher: str, season: int) -> DataFrame:
     """A line for each start: opponent, what he did, and what his team's other pitchers did in that game."""
+    t = season_lines(t, season)
     starts = _own_starts(t, pitcher, season).select("game_id", "game_date", "team", "outs", "batters_faced", "runs", "earned_runs", "strikeouts", "walks", "won", "lost")
     others = t["pitching_daily"].filter(F.col("player_id") != pitcher).groupBy("game_id", "team").agg(F.sum("outs").alias("pen_outs"), F.sum("runs").alias("pen_runs"))
     game = t["game"].select("game_id", "home_team", "visitor_team")
@@ -154,6 +156,7 @@ def _opponents(t: Tables, team: str, season: int) -> DataFrame:
 
 def lineup_checks(t: Tables, team: str, pitcher: str, catcher: str, season: int, regulars: int = 8, least_outs: int = 150) -> DataFrame:
     """By venue and starter: regulars in the lineup, games with the catcher, and the opposing starters' earned-run average."""
+    t = season_lines(t, season)
     games = written(team_games(t, team, pitcher, season), "games")
     lineups = _lineups(t, games)
     seen = lineups.join(_regulars(lineups, regulars).withColumn("_regular", F.lit(True)), "player_id", "left")
@@ -187,6 +190,7 @@ def regulars_rested(t: Tables, team: str, pitcher: str, season: int, regulars: i
 
 def _faced(t: Tables, team: str, pitcher: str, season: int) -> DataFrame:
     """The team's games with its runs and the hand of each opposing starter."""
+    t = season_lines(t, season)
     runs = t["batting_daily"].filter((F.col("team") == team) & _in_season(season)).groupBy("game_id").agg(F.sum("runs").alias("runs"))
     hands = t["people"].select(F.col("player_id").alias("opponent"), "throws")
     return team_games(t, team, pitcher, season).join(runs, "game_id").join(_opponents(t, team, season), "game_id").join(hands, "opponent")

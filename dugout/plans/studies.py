@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dugout.functions.columns import count_if, decade, rate, regular_season, standard_error, sum_if, welch_t
 from dugout.functions.events import completes_turn, derived_runs
 from dugout.operators.relational import first_per_key, unpivot, with_total
+from dugout.operators.shared import written
 
 Tables = Mapping[str, DataFrame]
 
@@ -166,6 +167,11 @@ def regular(t: Tables, table: str) -> DataFrame:
     return t[table].join(t["game"].filter(regular_season("game_type")).select("game_id"), "game_id", "left_semi")
 
 
+def season_lines(t: Tables, season: int) -> Tables:
+    """The tables with the pitching lines of one season, written: a study that reads them several times makes them once."""
+    return {**t, "pitching_daily": written(t["pitching_daily"].filter(F.year("game_date") == season), "lines")}
+
+
 def _pitched(t: Tables, pitcher: str) -> DataFrame:
     return regular(t, "pitching_daily").filter(F.col("player_id") == pitcher).withColumn("season", F.year("game_date"))
 
@@ -270,10 +276,11 @@ def runs_by_park(t: Tables, season: int) -> DataFrame:
 
 def support_by_starter(t: Tables, team: str, season: int, least_starts: int = 5, least_outs: int = 150) -> DataFrame:
     """Run support of each of a team's starters, its deviation and standard error, and how good their opponents were."""
-    starters = regular(t, "pitching_daily").filter(F.col("games_started") & (F.year("game_date") == season))
+    t = season_lines(t, season)
+    starters = regular(t, "pitching_daily").filter(F.col("games_started"))
     mine = starters.filter(F.col("team") == team).select("game_id", "player_id")
     against = starters.filter(F.col("team") != team).select("game_id", F.col("player_id").alias("opponent"))
-    year = t["pitching_daily"].filter(F.year("game_date") == season).groupBy(F.col("player_id").alias("opponent")).agg(F.sum("outs").alias("o"), F.sum("earned_runs").alias("er"))
+    year = t["pitching_daily"].groupBy(F.col("player_id").alias("opponent")).agg(F.sum("outs").alias("o"), F.sum("earned_runs").alias("er"))
     quality = mine.join(against, "game_id").join(year.filter(F.col("o") >= least_outs), "opponent").groupBy("player_id").agg(F.avg(F.col("er") * 27 / F.col("o")).alias("opposing_era"))
     rounded = lambda c: F.round(c.cast("decimal(20,8)"), 2)
     rows = mine.join(team_runs(t, season, [team]), "game_id").groupBy("player_id").agg(

@@ -37,6 +37,24 @@ def test_credits_are_given_to_counted_plays(spark):
     assert "partial_count" in plan[plan.index("Generate") :]
 
 
+SEASONAL = ("study_support_by_starter", "support_by_decision", "lineup_checks", "platoon", "support_test", "study_run_support", "study_runs_by_park", "start_log")
+
+
+@pytest.mark.parametrize("name", SEASONAL)
+def test_studies_of_a_season_read_its_lines(spark, name):
+    """The plays come from the season's lines, and pitching lines that are read several times from a file of theirs."""
+    plan = plan_of(spark, name)
+    assert "lineitem.parquet" not in plan and "FullOuter" not in plan and plan.count("Window [") <= 2
+
+
+def test_tables_of_seasons(spark):
+    whole, some = derived.tables(spark, SMALL), derived.tables(spark, SMALL, [1996, 1998])
+    games = whole["game"].filter(F.year("game_date").isin(1996, 1998)).select("game_id")
+    for name in ("game", "play", "batting_daily", "pitching_daily", "lineup_start"):
+        own = sorted(map(str, some[name].collect()))
+        assert own and own == sorted(map(str, whole[name].join(games, "game_id", "left_semi").select(*some[name].columns).collect()))
+
+
 PLAY = "game_id string, half int, event string, batter_id string, batter_dest int, event_code int, hit_value int, at_bat boolean, rbi int, sac_hit boolean, sac_fly boolean, double_play boolean"
 PLAY += "".join(f", base{b}_before string, run{b}_dest int" for b in "123")
 
