@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dugout.llm.common import col, map_columns
+from dugout.llm.common import col, map_columns, small_batches
 
 #: The shapes of credentials, and the least length of what counts.
 ASSIGN = re.compile(
@@ -202,6 +202,7 @@ def learn_cuts(docs: DataFrame, text: str = "text", rate: float = 0.05) -> dict[
                 [pa.array(s, pa.int32()), pa.array(h, pa.int64()), pa.array(j, pa.int32())], names=["s", "h", "j"]
             )
 
+    small_batches(docs.sparkSession)
     tokens = docs.select(col(text).alias("text")).mapInArrow(test, "s int, h long, j int").distinct()
     rows = tokens.groupBy("s", "j").agg(F.count("*").alias("n")).collect()
     tables = np.zeros((N_STRATA, BINS), np.int64)
