@@ -32,6 +32,9 @@ NEAR_WORDS, SIMILAR = 5, 0.8
 PRINTS, NEAR_RADIUS, KEY_BITS, NEAR_BITS = 4, 5, 20, 56
 #: A bucket of more distinct fingerprints is dealt out by pairs of blocks of about so many.
 BLOCK = 8192
+#: The pairs of buckets of up to so many fingerprints are compared for many buckets at once. Keys of a fixed length make the buckets
+#: grow with the input, by chance members that are nowhere near: these cost a comparison each, and a bucket of such ones no more.
+SMALL = 128
 
 
 def words_of(text: str) -> list[bytes]:
@@ -210,6 +213,22 @@ def nearest_across(prints: np.ndarray, roots: np.ndarray, radius: int) -> tuple[
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def near_pairs(prints: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all pairs within the radius, the earlier first, and in how many bits each differs. Rows of one bucket stand
+    together; ``ends`` has for each row where its bucket ends, or its own place or less, if it is to be left out. So many rows
+    apart, the pairs of all buckets are compared at once."""
+    words = [np.ascontiguousarray(prints[:, k]) for k in range(prints.shape[1])]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16))]
+    first, step = np.arange(len(prints)), 1
+    while len(first := first[first + step < ends[first]]):
+        apart = sum(np.bitwise_count(w.take(first) ^ w.take(first + step)).astype(np.int16) for w in words)
+        near = np.flatnonzero(apart <= radius)
+        found.append((first[near], first[near] + step, apart[near]))
+        step += 1
+    a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b, apart
+
+
 #: A link from one fingerprint to another; or, with a key, a member of a bucket that is too large for one task.
 _WORDS, _OTHERS = [f"w{k}" for k in range(PRINTS)], [f"other{k}" for k in range(PRINTS)]
 FOUND = pa.schema([(c, pa.int64()) for c in ("key", *_WORDS, *_OTHERS, "root")])
@@ -222,17 +241,19 @@ def _found(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, r
     return pa.RecordBatch.from_arrays([number(key), *[word(x, k) for x in (a, b) for k in range(PRINTS)], number(root)], schema=FOUND)
 
 
-def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, across: bool) -> DataFrame:
-    """``FOUND`` of rows (key, part, w0 and what more words there are, root), dealt out and sorted by key, part and words.
+def _in_buckets(rows: DataFrame, radius: int, block: int | None, across: bool) -> DataFrame:
+    """``FOUND`` of rows (key, part if a bucket has several, w0 and what more words there are, root if ``across``), dealt
+    out and sorted by key and part.
 
-    A bucket, which has one key and part, is worked on when it is complete. One of more than ``block`` rows isn't: its
-    rows go out as they come. With ``across``, each member is linked to the nearest within the radius of another root,
-    else links are found that connect the members just as all pairs within the radius do. Both are at most as many as
-    the members.
+    A bucket, which has one key and part, is worked on when it is complete, its members in the order of their words. One
+    of more than ``block`` rows isn't: its rows go out as they come. With ``across``, each member is linked to the nearest
+    within the radius of another root, else links are found that connect the members just as all pairs within the radius
+    do. Both are at most as many as the members.
     """
+    names = [c for c in _WORDS if c in rows.columns]
+    grouped = [c for c in ("key", "part") if c in rows.columns]
 
-    def complete(rows: list[np.ndarray], starts: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
-        key, _, prints, roots = rows
+    def complete(key: np.ndarray, prints: np.ndarray, roots: np.ndarray | None, starts: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
         ends = np.append(starts[1:], len(key))
         sizes = ends - starts
         out = np.zeros(len(starts), bool) if not block else sizes > block
@@ -240,43 +261,57 @@ def _in_buckets(rows: DataFrame, words: int, radius: int, block: int | None, acr
             out[0] |= key[0] == large
         for k in np.flatnonzero(out):
             some = slice(starts[k], ends[k])
-            yield _found(prints[some], None, key[some], roots[some])
-        two = starts[(sizes == 2) & ~out]
-        near = sum(np.bitwise_count(prints[two, k] ^ prints[two + 1, k]) for k in range(words)) <= radius
+            yield _found(prints[some], None, key[some], roots[some] if across else None)
+        ordered = lambda rows: prints[rows].view(np.int64).T[::-1]
+        whole = (sizes > SMALL) & ~out
+        i, j, apart = near_pairs(prints, np.repeat(np.where(whole | out, 0, ends), sizes), radius)
+        some = np.repeat(whole, sizes)
         if across:
-            near &= roots[two] != roots[two + 1]
-        a, b = [prints[two[near]]], [prints[two[near] + 1]]
-        for k in np.flatnonzero((sizes > 2) & ~out):
-            some = slice(starts[k], ends[k])
+            i, j, apart = (x[roots[i] != roots[j]] for x in (i, j, apart))
+            i, j, apart = np.append(i, j), np.append(j, i), np.append(apart, apart)
+            order = np.lexsort((*ordered(j), apart, i))
+            one = order[np.flatnonzero(np.diff(i[order], prepend=-1))]  # of each member the nearest
+        else:
+            # two members near each other only are a link; one that none is near has no part in any
+            times = np.bincount(np.append(i, j), minlength=len(key))
+            one = np.flatnonzero((times[i] == 1) & (times[j] == 1))
+            times[i[one]] = times[j[one]] = 0
+            some |= times > 0
+        a, b = [prints[i[one]]], [prints[j[one]]]
+        some = np.flatnonzero(some)
+        bucket = np.searchsorted(starts, some, side="right")
+        order = np.lexsort((*ordered(some), bucket))
+        for group in np.split(some[order], np.flatnonzero(np.diff(bucket)) + 1) if len(some) else []:
             if across:
-                x, y = nearest_across(prints[some], roots[some], radius)
+                x, y = nearest_across(prints[group], roots[group], radius)
             else:
-                x, y = (closest_links if words > 1 else spanning_links)(prints[some], radius)
+                x, y = (closest_links if len(names) > 1 else spanning_links)(prints[group], radius)
             a.append(x)
             b.append(y)
         yield _found(np.concatenate(a), np.concatenate(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[str, np.ndarray] = {}
         large = None  # the bucket whose rows go out
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            now = [columns[0], columns[1], np.stack(columns[2 : 2 + words], axis=1).view(np.uint64), columns[-1]]
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
-            if not len(now[0]):
+            now = {c: batch.column(c).to_numpy() for c in (*grouped, *["root"] * across)}
+            now["prints"] = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+            now = {c: np.concatenate([held[c], x]) for c, x in now.items()} if held else now
+            if not len(now["key"]):
                 continue
-            starts = np.append(0, np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1)
+            changes = [now[c][1:] != now[c][:-1] for c in grouped]
+            starts = np.append(0, np.flatnonzero(np.any(changes, axis=0)) + 1)
             last = starts[-1]
-            yield from complete([x[:last] for x in now], starts[:-1], large)
-            held = [x[last:] for x in now]
-            if block and (len(held[0]) > block or held[0][0] == large):
-                large = int(held[0][0])
-                yield _found(held[2], None, held[0], held[3])
-                held = []
+            done, held = ({c: x[some] for c, x in now.items()} for some in (slice(last), slice(last, None)))
+            yield from complete(done["key"], done["prints"], done.get("root"), starts[:-1], large)
+            if block and (len(held["key"]) > block or held["key"][0] == large):
+                large = int(held["key"][0])
+                yield _found(held["prints"], None, held["key"], held.get("root"))
+                held = {}
         if held:
-            yield from complete(held, np.zeros(1, np.int64), large)
+            yield from complete(held["key"], held["prints"], held.get("root"), np.zeros(1, np.int64), large)
 
-    dealt_out = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "part").sortWithinPartitions("key", "part", *_WORDS[:words])
+    dealt_out = rows.repartition(shuffle_partitions(rows.sparkSession), *grouped).sortWithinPartitions(*grouped)
     return dealt_out.mapInArrow(run, FOUND_DDL)
 
 
@@ -288,22 +323,22 @@ def colliding(prints: DataFrame, masks: list[list[int]], radius: int, tag: str,
     blocks, and each pair of blocks is a task's work by itself.
     """
     names = [c for c in _WORDS if c in prints.columns]
-    root = F.col("root") if across else F.lit(0).cast("long")
+    carried = [*names, *["root"] * across]
 
     def keyed(word: str, own: list[int]):
         return F.transform(F.array(*map(F.lit, own)), lambda mask: F.xxhash64(F.lit(word), mask, F.col(word).bitwiseAND(mask)))
 
     keys = F.concat(*map(keyed, names, masks))
-    rows = prints.select(F.explode(keys).alias("key"), F.lit(0).cast("long").alias("part"), *names, root.alias("root"))
-    found = materialize(_in_buckets(rows, len(names), radius, block, across), tag)
-    large = found.filter("key is not null").select("key", *names, "root")
+    rows = prints.select(F.explode(keys).alias("key"), *carried)
+    found = materialize(_in_buckets(rows, radius, block, across), tag)
+    large = found.filter("key is not null").select("key", *carried)
     if not large.isEmpty():
         sizes = materialize(large.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
         own = F.pmod(F.xxhash64(*names), F.col("blocks"))
         others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))
         cut = large.join(sizes, "key").withColumn("own", own).withColumn("o", F.explode(others))
-        cut = cut.select("key", (F.least("own", "o") * F.col("blocks") + F.greatest("own", "o")).alias("part"), *names, "root")
-        found = found.unionByName(_in_buckets(cut, len(names), radius, None, across))
+        cut = cut.select("key", (F.least("own", "o") * F.col("blocks") + F.greatest("own", "o")).alias("part"), *carried)
+        found = found.unionByName(_in_buckets(cut, radius, None, across))
     return found.filter("key is null").select(*_WORDS, *_OTHERS)
 
 

@@ -1,6 +1,11 @@
 """The pipeline's near-copy stage against all pairs by brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import types as T
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 import corpus_pipeline
 import plain
@@ -57,3 +62,48 @@ def test_closest_links():
         links = {(at[x.tobytes()], at[y.tobytes()]) for x, y in zip(a, b, strict=True)}
         got = plain.components(rows, lambda x, y: (prints[x] == prints[y]).all() or (x, y) in links or (y, x) in links)
         assert got == wanted and len(a) == n - len(set(wanted.values()))
+
+
+@pytest.fixture
+def in_process(monkeypatch):
+    """Arrow functions run in this process, so that a test can count what they call."""
+
+    def run(df, function, schema):
+        kind = to_arrow_schema(T._parse_datatype_string(schema))
+        return df.sparkSession.createDataFrame(pa.Table.from_batches(list(function(iter(df.toArrow().to_batches()))), kind), schema)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", run)
+
+
+@pytest.mark.parametrize("small", [128, 8])
+@pytest.mark.parametrize("across", [False, True])
+def test_chance_members_of_buckets(spark, in_process, monkeypatch, small, across):
+    """The links are those of each whole bucket by itself; but for large buckets only members near others are searched."""
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 64, (1500, simhash.PRINTS), np.uint64)
+    for k in range(0, 60, 6):  # ten groups of six, in which 20 bits or so lie between two
+        prints[k : k + 6] = prints[k]
+        for row in prints[k + 1 : k + 6]:
+            for bit in rng.choice(256, 10, replace=False):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    signed = prints.view(np.int64)
+    roots = np.arange(len(prints)) % 3
+    masks = [simhash.narrowed(simhash.covering_masks(5), 6, word)[:3] for word in range(simhash.PRINTS)]
+
+    wanted, search, at = set(), simhash.closest_links, np.lexsort(signed.T[::-1])
+    for word, own in enumerate(masks):
+        for mask in own:
+            key = signed[at, word] & mask
+            for some in (at[key == k] for k in np.unique(key)):
+                a, b = simhash.nearest_across(prints[some], roots[some], 56) if across else search(prints[some], 56)
+                wanted |= {frozenset((x.tobytes(), y.tobytes())) for x, y in zip(a, b, strict=True)}
+
+    calls = []
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "closest_links", lambda p, radius: calls.append(len(p)) or search(p, radius))
+    rows = [(*p, r) for p, r in zip(signed.tolist(), roots.tolist(), strict=True)]
+    table = spark.createDataFrame(rows, [*simhash._WORDS, "root"]).drop(*["root"] * (not across))
+    found = simhash.colliding(table, masks, 56, "test-buckets", across).collect()
+    assert {frozenset(np.array(x, np.int64).tobytes() for x in (r[:4], r[4:])) for r in found} == wanted and wanted
+    if small == 128:
+        assert sum(calls) <= 60 * 3 * simhash.PRINTS
