@@ -436,10 +436,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
         return found.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
     tried = materialize(pairs(rows.select("node.*").distinct(), "buckets"), "tried")
-    n = tried.count()
-    nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = rows.join(F.broadcast(nodes) if 2 * n <= BROADCAST_KEYS else nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("r"))
-    sets = materialize(_sets_of(source, wanted.select("node", "r.*"), 2 * n, words), "sets")
+    # a node is in many pairs: their number would have all texts shuffled long before there are too many nodes to broadcast
+    nodes = materialize(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    n = nodes.count()
+    wanted = rows.join(F.broadcast(nodes) if n <= BROADCAST_KEYS else nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("r"))
+    sets = materialize(_sets_of(source, wanted.select("node", "r.*"), n, words), "sets")
     compared = _compared(tried, sets, similar)
     while True:
         parts = least_reachable(compared.filter("near").select("a", "b"), tag="near-links")

@@ -107,3 +107,20 @@ def test_chance_members_of_buckets(spark, in_process, monkeypatch, small, across
     assert {frozenset(np.array(x, np.int64).tobytes() for x in (r[:4], r[4:])) for r in found} == wanted and wanted
     if small == 128:
         assert sum(calls) <= 60 * 3 * simhash.PRINTS
+
+
+def test_texts_are_joined_by_the_number_of_nodes(spark, monkeypatch):
+    """Pairs, which are several for a node, don't decide whether the texts are shuffled."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(8):
+        base = rng.integers(0, 3000, 250).astype(str)
+        for _ in range(6):
+            copy = base.copy()
+            copy[rng.integers(250)] = "x"
+            texts.append(" ".join(copy))
+    asked, sets_of = [], simhash._sets_of
+    monkeypatch.setattr(simhash, "_sets_of", lambda source, wanted, n, words: asked.append((n, wanted.count())) or sets_of(source, wanted, n, words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_copies(docs).collect()} == set(range(0, 48, 6))
+    assert asked == [(48, 48)]
