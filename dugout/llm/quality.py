@@ -67,8 +67,12 @@ def grams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     two = _joined(s[:-1], s[1:], 3)
     third = next_[1:] & next_[:-1]
     grams = np.concatenate([w, _joined(w[:-1], w[1:], 1)[next_], _joined(s, s, 2), two[next_], _joined(two[:-1], s[2:], 4)[third]])
-    places = np.concatenate([place, place[:-1][next_], place, place[:-1][next_], place[:-2][third]])
-    both = places * BUCKETS + ((grams >> np.uint64(40)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    both = np.concatenate([place, place[:-1][next_], place, place[:-1][next_], place[:-2][third]])
+    grams >>= np.uint64(40)  # in place, as these are a task's largest arrays
+    grams %= np.uint64(BUCKETS - 1)
+    both *= BUCKETS
+    both += grams.view(np.int64)
+    del grams
     both.sort()
     new = np.ones(len(both), bool)
     new[1:] = both[1:] != both[:-1]
